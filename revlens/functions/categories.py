@@ -36,18 +36,15 @@ def category_list(text, categories=ANALYSIS_CATEGORIES, whole_word: bool = False
             return t.rlike(F.concat(F.lit(r"\b"), F.lit(r"\Q"), k, F.lit(r"\E"), F.lit(r"\b")))
         return t.contains(k)
 
-    matched = F.element_at(
-        F.transform(
-            F.array(F.lower(text)),
-            lambda t: F.transform(
-                F.filter(cats, lambda c: F.exists(c["keywords"], lambda k: hit(t, k))),
-                lambda c: c["category"],
-            ),
-        ),
-        1,
-    )
-    return F.when(F.coalesce(F.size(matched), F.lit(0)) > 0, matched).otherwise(
-        F.array(F.lit(GENERAL_CATEGORY)))
+    general = F.array(F.lit(GENERAL_CATEGORY))
+
+    def tag(t):
+        names = F.transform(F.filter(cats, lambda c: F.exists(c["keywords"], lambda k: hit(t, k))),
+                            lambda c: c["category"])
+        # bind the match list once more so the emptiness test does not re-run it
+        return F.element_at(F.transform(F.array(names), lambda m: F.when(F.size(m) > 0, m).otherwise(general)), 1)
+
+    return F.coalesce(F.element_at(F.transform(F.array(F.lower(text)), tag), 1), general)
 
 
 def joined(categories_col, sep: str = ", ") -> Column:
@@ -59,4 +56,5 @@ def split_joined(joined_col, sep: str = ", ") -> Column:
     c = F.col(joined_col) if isinstance(joined_col, str) else joined_col
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), re.escape(sep)), lambda p: F.trim(p))
     parts = F.filter(parts, lambda p: p != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(GENERAL_CATEGORY)))
+    general = F.array(F.lit(GENERAL_CATEGORY))
+    return F.element_at(F.transform(F.array(parts), lambda m: F.when(F.size(m) > 0, m).otherwise(general)), 1)

@@ -156,9 +156,9 @@ def joined_parts(df: DataFrame, key: str, text: str, lex: Lexicon) -> DataFrame:
     toks = df.select(F.col(key).alias("_k"), tokens(text).alias("_t"))
     ctx = toks.select(
         "_k",
-        F.explode(F.transform("_t", lambda w, i: F.struct(
+        F.explode_outer(F.transform("_t", lambda w, i: F.struct(
             w.alias("w"), F.get(F.col("_t"), i - 1).alias("p1"), F.get(F.col("_t"), i - 2).alias("p2")))).alias("c"),
-    ).select("_k", "c.w", "c.p1", "c.p2")
+    ).filter(F.col("c").isNotNull()).select("_k", "c.w", "c.p1", "c.p2")
     hits = ctx.join(lexdf, "w")
     contrib = _contribution(F.col("w"), F.col("p1"), F.col("p2"), lex)
     sums = hits.groupBy("_k").agg(F.sum(contrib).alias("_sent_sum"), F.count(F.lit(1)).cast("int").alias("_sent_hits"))

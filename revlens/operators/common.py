@@ -15,6 +15,19 @@ def pct(num: Column, den: Column) -> Column:
     return F.lit(100.0) * num / F.greatest(den, F.lit(1))
 
 
+def explode_list(df: DataFrame, col: str, name: str) -> DataFrame:
+    """One row per element of an array column (other columns kept).
+
+    ``explode_outer`` plus a NOT NULL filter instead of ``explode``: for a
+    plain explode the optimizer infers ``size(array) > 0`` and pushes it
+    below joins and filters, where it evaluates an expensive array
+    expression (tagging, tokenising) a second time on rows that may later
+    be dropped.
+    """
+    keep = [c for c in df.columns if c != col]
+    return df.select(*keep, F.explode_outer(col).alias(name)).filter(F.col(name).isNotNull())
+
+
 def stack_rows(df: DataFrame, keep: list[str], entries: list[dict[str, Column]]) -> DataFrame:
     """Turn one wide row into ``len(entries)`` long rows (no join, no shuffle).
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.common import count_if, pct, rank_small, stack_rows, store_count_columns
+from revlens.operators.common import count_if, explode_list, pct, rank_small, stack_rows, store_count_columns
 from revlens.schema import SENTIMENT_LABELS, STARS_DESC
 
 
@@ -129,7 +129,7 @@ def sentiment_share(e: DataFrame) -> DataFrame:
 
 def category_totals(e: DataFrame) -> DataFrame:
     """Reviews per category, one review counted in each of its categories."""
-    c = e.select(F.explode("category_list").alias("category")).groupBy("category") \
+    c = explode_list(e, "category_list", "category").groupBy("category") \
          .agg(F.count(F.lit(1)).alias("cnt"))
     # one row per dictionary entry: bounded, ranking in one task is fine
     return rank_small(c, [F.desc("cnt"), F.asc("category")])
@@ -137,7 +137,7 @@ def category_totals(e: DataFrame) -> DataFrame:
 
 def category_metrics(e: DataFrame, stores: list[str]) -> DataFrame:
     """Per category: total, mean rating, % positive / negative, count per store."""
-    x = e.select(F.explode("category_list").alias("category"), "store", "rating", "sentiment")
+    x = explode_list(e.select("category_list", "store", "rating", "sentiment"), "category_list", "category")
     n = F.count(F.lit(1))
     return x.groupBy("category").agg(
         n.alias("total"),

@@ -182,7 +182,8 @@ def weekly_topics(new: DataFrame) -> DataFrame:
     """Count and % of new reviews per category; sums may exceed 100."""
     # every row has at least one category (General otherwise), so counting the
     # first category of each row counts the rows: no second pass, no join
-    c = new.select(F.posexplode("category_list").alias("pos", "category")).groupBy("category") \
+    c = new.select(F.posexplode_outer("category_list").alias("pos", "category")) \
+           .filter(F.col("category").isNotNull()).groupBy("category") \
            .agg(F.count(F.lit(1)).alias("cnt"), count_if(F.col("pos") == 0).alias("_first"))
     # one row per category (bounded by the dictionary): the total window is small
     c = c.withColumn("_total", F.sum("_first").over(Window.partitionBy()))

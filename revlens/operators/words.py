@@ -31,8 +31,11 @@ def word_tokens(text, stopwords=STOPWORDS) -> F.Column:
 
 def word_counts(e: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """Counts per (store, sentiment, word) over rows with text."""
+    # explode_outer + filter: a plain explode makes the optimizer push a
+    # size(tokens) > 0 filter to the scan, which tokenises every text twice
     x = e.filter(F.col("has_text")).select("store", "sentiment",
-                                           F.explode(word_tokens("text", stopwords)).alias("word"))
+                                           F.explode_outer(word_tokens("text", stopwords)).alias("word")) \
+         .filter(F.col("word").isNotNull())
     return x.groupBy("store", "sentiment", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
