@@ -29,15 +29,22 @@ def _dictionary_literal(categories) -> Column:
 def category_list(text, categories=ANALYSIS_CATEGORIES, whole_word: bool = False) -> Column:
     """ARRAY<STRING> of matched categories in dictionary order."""
     text = F.col(text) if isinstance(text, str) else text
+    general = F.array(F.lit(GENERAL_CATEGORY))
+    if whole_word:
+        # one literal pattern per category: compiled once, evaluated in codegen
+        low = F.lower(text)
+        hits = F.array(*[
+            F.when(low.rlike(r"\b(?:" + "|".join(r"\Q" + k.lower() + r"\E" for k in kws) + r")\b"), F.lit(name))
+            for name, kws in categories
+        ])
+        names = F.filter(hits, lambda x: x.isNotNull())
+        return F.element_at(F.transform(F.array(names), lambda m: F.when(F.size(m) > 0, m).otherwise(general)), 1)
+
     cats = _dictionary_literal(categories)
 
     def hit(t, k):
-        if whole_word:
-            return t.rlike(F.concat(F.lit(r"\b"), F.lit(r"\Q"), k, F.lit(r"\E"), F.lit(r"\b")))
         return t.contains(k)
 
-    general = F.array(F.lit(GENERAL_CATEGORY))
-
     def tag(t):
         names = F.transform(F.filter(cats, lambda c: F.exists(c["keywords"], lambda k: hit(t, k))),
                             lambda c: c["category"])
