@@ -64,21 +64,27 @@ def rank_small(df: DataFrame, order: list[Column], name: str = "rank") -> DataFr
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Consecutive 1-based rank in a total order, for unbounded lists.
 
-    Range-partition and sort by the order, number rows within each sorted
-    partition, then add the row count of all earlier partitions.  The
-    per-partition counts are one row per partition (a bounded, broadcast
-    table), so no step gathers the list into one task.
+    One range-partitioned sort (the same exchange a global ``orderBy``
+    uses).  Inside a sorted partition ``monotonically_increasing_id()``
+    holds the partition index in its upper bits and the row position in its
+    lower 33 bits, so the local position needs no window and no second
+    shuffle.  The row count per partition (one row per partition, a bounded
+    table) gives each partition's offset; it is broadcast back.  No step
+    gathers the list into one task.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id()))
-    local = part.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    part = part.withColumn("_pid", F.shiftright(F.col("_mid"), 33)) \
+               .withColumn("_lrn", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1)
+    counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per partition: the running sum runs in one task on a tiny table
     offsets = counts.select(
         "_pid",
-        (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
+        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
     )
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_lrn")).cast("int")) \
-              .drop("_pid", "_lrn", "_off")
+    out = part.join(F.broadcast(offsets), "_pid")
+    return out.withColumn(name, (F.col("_off") + F.col("_lrn")).cast("int")) \
+              .drop("_pid", "_lrn", "_off", "_mid")
