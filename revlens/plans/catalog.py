@@ -30,7 +30,8 @@ from revlens.streaming.incremental import read_history, run_week
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.date = DEFAULT_AS_OF,
-                 enriched: DataFrame | None = None, snapshots: DataFrame | None = None):
+                 enriched: DataFrame | None = None, snapshots: DataFrame | None = None,
+                 new: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
@@ -38,6 +39,8 @@ class Inputs:
             self.__dict__["enriched"] = enriched
         if snapshots is not None:
             self.__dict__["snapshots"] = snapshots
+        if new is not None:
+            self.__dict__["new"] = new
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -45,7 +48,8 @@ class Inputs:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return build_reviews(self.reviews, self.as_of)
+        # text work first, label lookup after: the text stays out of the join
+        return fx.load_enriched(self.spark, self.sf_dir, as_of=self.as_of)
 
     @cached_property
     def snapshots(self) -> DataFrame:

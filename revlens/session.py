@@ -56,3 +56,16 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    Cuts the lineage of a result that several later jobs read (so a lost
+    executor re-reads files instead of recomputing the whole upstream) and
+    pays the upstream cost once.  Never ``localCheckpoint``: the files live
+    in the shared folder, not on one executor's disk.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

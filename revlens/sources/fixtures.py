@@ -60,19 +60,8 @@ def _pick(values: list[str], idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def reviews_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One review per document (``review_id`` = doc_id as text).
-
-    The labels join is left outer on the unique ``doc_id``; the planner
-    broadcasts ``labels`` only when its estimated size is under
-    ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time),
-    otherwise it is a sort-merge join.
-    """
-    d = spread(documents.select("doc_id", "text"))
-    lab = labels.select("doc_id", "quality", "toxic")
-    j = d.join(lab, "doc_id", "left")
-    i = F.col("doc_id")
-    rating = (
+def _rating(i: F.Column) -> F.Column:
+    return (
         F.when(i % 23 == 0, F.lit(None))
         .when(F.col("toxic") == 1, 1 + i % 2)
         .when(F.col("quality") == 0, 2 + i % 2)
@@ -83,17 +72,23 @@ def reviews_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame
         .otherwise(F.lit(1))
         .cast("int")
     )
+
+
+def review_text_side(documents: DataFrame) -> DataFrame:
+    """Every review column that depends on the document alone (no rating), plus ``doc_id``."""
+    d = spread(documents.select("doc_id", "text"))
+    i = F.col("doc_id")
     text = (
         F.when(i % 13 == 0, F.lit(""))
         .when(i % 29 == 0, F.lit("   "))
         .otherwise(F.concat(_pick(TEXT_PREFIXES, i % 9), F.col("text")))
     )
     reply = F.when(i % 3 == 0, F.lit(REPLY_TEXT)).when(i % 31 == 0, F.lit("  ")).otherwise(F.lit(""))
-    return j.select(
+    return d.select(
+        i,
         i.cast("string").alias("review_id"),
         F.concat(F.lit("store_"), (i % N_STORES).cast("string")).alias("store"),
         F.concat(F.lit("author_"), (i % 97).cast("string")).alias("author"),
-        rating.alias("rating"),
         _pick(DATE_PHRASES, i % 16).alias("date_raw"),
         text.alias("text"),
         ((i * 7919) % 41).cast("int").alias("likes"),
@@ -101,10 +96,51 @@ def reviews_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame
     )
 
 
+def attach_rating(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Left join the label lookup on the unique ``doc_id`` and derive ``rating``.
+
+    The planner broadcasts ``labels`` only when its estimated size is under
+    ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time),
+    otherwise it is a sort-merge join.  Callers attach the rating *after*
+    their per-row text work, so with a sort-merge join only the columns a
+    query needs cross the shuffle, not the text.
+    """
+    lab = labels.select("doc_id", "quality", "toxic")
+    j = df.join(lab, "doc_id", "left")
+    return j.withColumn("rating", _rating(F.col("doc_id"))).drop("quality", "toxic")
+
+
+REVIEW_COLUMNS = ["review_id", "store", "author", "rating", "date_raw", "text", "likes", "owner_reply"]
+
+
+def reviews_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """One review per document (``review_id`` = doc_id as text)."""
+    return attach_rating(review_text_side(documents), labels).select(*REVIEW_COLUMNS)
+
+
+def enriched_from_documents(documents: DataFrame, labels: DataFrame, **enrich_args) -> DataFrame:
+    """Enriched reviews, the text work done before the label lookup.
+
+    Dates, tags and sentiment need the document only; the rating needs
+    ``labels``.  Enriching first and joining after keeps the text out of
+    the join's shuffle for every query that does not select it.  Same rows
+    and values as ``build_reviews(reviews_from_documents(...))``.
+    """
+    from revlens.operators.enrich import ENRICHED_COLUMNS, build_reviews
+
+    e = build_reviews(review_text_side(documents), **enrich_args).drop("rating")
+    return attach_rating(e, labels).select(*ENRICHED_COLUMNS)
+
+
 def load_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews_from_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def load_enriched(spark: SparkSession, sf_dir: str, **enrich_args) -> DataFrame:
+    return enriched_from_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                                   **enrich_args)
+
+
 def snapshots_from_reviews(reviews: DataFrame) -> DataFrame:
     """Dated snapshots: each review is copied into the snapshots of its class.
 
