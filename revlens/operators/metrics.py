@@ -17,6 +17,24 @@ from revlens.operators.common import count_if, explode_list, pct, rank_small, st
 from revlens.schema import SENTIMENT_LABELS, STARS_DESC
 
 
+MAX_STORES = 100_000
+
+
+def stores_from_data(e: DataFrame, limit: int = MAX_STORES) -> list[str]:
+    """Store names present in the data, for wide per-store columns.
+
+    Column names must be known when the plan is built, so the distinct
+    names are collected; the count is checked first, and a store list is
+    bounded by the business (a few to thousands), not by the review volume.
+    Sorted by name (a DataFrame has no first-seen order).
+    """
+    names = e.select("store").where(F.col("store").isNotNull()).distinct()
+    n = names.count()
+    if n > limit:
+        raise ValueError(f"{n} distinct stores, more than the {limit} that may become columns")
+    return sorted(r["store"] for r in names.collect())
+
+
 def _sent(label: str):
     return F.col("sentiment") == label
 

@@ -118,3 +118,32 @@ def test_global_rank_is_consecutive(spark):
     r = global_rank(df, [F.asc("k")]).collect()
     assert sorted(x["rank"] for x in r) == list(range(1, 5001))
     assert all(x["rank"] == x["k"] + 1 for x in r)
+
+
+def test_json_snapshot_files_keyed_by_file_name(spark, tmp_path):
+    import json
+    from revlens.schema import RAW_REVIEW_SCHEMA
+    for d, ids in [("2026-01-01", ["a", "b"]), ("2026-01-08", ["b", "c"])]:
+        (tmp_path / f"reviews_{d}.json").write_text(json.dumps([{"review_id": i, "store": "s"} for i in ids]))
+    df = io.read_json_snapshots(spark, str(tmp_path), RAW_REVIEW_SCHEMA)
+    got = sorted((r["snapshot_date"], r["review_id"]) for r in df.collect())
+    assert got == [(dt.date(2026, 1, 1), "a"), (dt.date(2026, 1, 1), "b"),
+                   (dt.date(2026, 1, 8), "b"), (dt.date(2026, 1, 8), "c")]
+    new = weekly.diff_new(df.filter(F.col("snapshot_date") == dt.date(2026, 1, 8)),
+                          df.filter(F.col("snapshot_date") == dt.date(2026, 1, 1)))
+    assert [r["review_id"] for r in new.collect()] == ["c"]
+
+
+def test_stores_from_data(spark):
+    e = Inputs(spark, SF001).enriched
+    assert metrics.stores_from_data(e) == [f"store_{k}" for k in range(5)]
+    import pytest
+    with pytest.raises(ValueError):
+        metrics.stores_from_data(e, limit=2)
+
+
+def test_enrich_before_lookup_equals_enrich_after(spark):
+    a = build_reviews(fx.load_reviews(spark, SF001)).drop("category_list")
+    b = fx.load_enriched(spark, SF001).drop("category_list")
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
