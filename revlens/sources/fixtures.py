@@ -99,13 +99,18 @@ def review_text_side(documents: DataFrame) -> DataFrame:
 def attach_rating(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Left join the label lookup on the unique ``doc_id`` and derive ``rating``.
 
-    The planner broadcasts ``labels`` only when its estimated size is under
+    The planner broadcasts the lookup only when its estimated size is under
     ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time),
     otherwise it is a sort-merge join.  Callers attach the rating *after*
     their per-row text work, so with a sort-merge join only the columns a
     query needs cross the shuffle, not the text.
+
+    The lookup is one row per ``doc_id`` (an aggregate, so a duplicated
+    label can never multiply reviews).  Because the optimizer then knows
+    the key is unique, a query that never reads ``rating`` has the join
+    removed altogether (outer-join elimination): no lookup, no shuffle.
     """
-    lab = labels.select("doc_id", "quality", "toxic")
+    lab = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     j = df.join(lab, "doc_id", "left")
     return j.withColumn("rating", _rating(F.col("doc_id"))).drop("quality", "toxic")
 

@@ -57,10 +57,18 @@ def test_new_reviews_is_anti_join(spark):
 
 def test_enrichment_has_no_join_or_aggregate(spark):
     e = Inputs(spark, SF001).enriched
-    opt = _optimized(e)
-    assert "Aggregate" not in opt
-    # the only join is the labels lookup of the fixture derivation
-    assert opt.count("Join ") == 1
+    # text-derived columns only: the label lookup is eliminated, nothing but a projection remains
+    opt = _optimized(e.select("review_id", "store", "month", "categories", "sentiment", "sent_score"))
+    assert "Aggregate" not in opt and "Join" not in opt
+    # with the rating, the only join is the (unique-key) label lookup
+    assert _optimized(e).count("Join ") == 1
+
+
+def test_label_lookup_skipped_when_rating_unused(spark):
+    df = QUERIES["top_words"](Inputs(spark, SF001))
+    assert "labels" not in _plan(df)
+    df = QUERIES["store_comparison"](Inputs(spark, SF001))
+    assert "labels" in _plan(df)
 
 
 def test_dedup_is_partial_aggregate(spark):
