@@ -147,3 +147,17 @@ def test_enrich_before_lookup_equals_enrich_after(spark):
     b = fx.load_enriched(spark, SF001).drop("category_list")
     assert a.columns == b.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_global_rank_spreads_a_hot_key(spark):
+    """A third of the rows share one order key: they still land in several range partitions."""
+    from revlens.operators.common import global_rank
+    df = spark.range(0, 9000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    ranked = global_rank(df, [F.asc("k")])
+    r = ranked.collect()
+    assert sorted(x["rank"] for x in r) == list(range(1, 9001))
+    hot = sorted(x["rank"] for x in r if x["k"] == 0)
+    assert hot == list(range(1, 3001))
+    parts = ranked.filter(F.col("k") == 0).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
