@@ -26,13 +26,17 @@ def _dictionary_literal(categories) -> Column:
     ])
 
 
-def category_list(text, categories=ANALYSIS_CATEGORIES, whole_word: bool = False) -> Column:
-    """ARRAY<STRING> of matched categories in dictionary order."""
+def category_list(text, categories=ANALYSIS_CATEGORIES, whole_word: bool = False, lowered: bool = False) -> Column:
+    """ARRAY<STRING> of matched categories in dictionary order.
+
+    ``lowered=True`` when ``text`` is already lower-cased (shared with the
+    sentiment tokens, so the text is lower-cased once per row).
+    """
     text = F.col(text) if isinstance(text, str) else text
     general = F.array(F.lit(GENERAL_CATEGORY))
     if whole_word:
         # one literal pattern per category: compiled once, evaluated in codegen
-        low = F.lower(text)
+        low = text if lowered else F.lower(text)
         hits = F.array(*[
             F.when(low.rlike(r"\b(?:" + "|".join(r"\Q" + k.lower() + r"\E" for k in kws) + r")\b"), F.lit(name))
             for name, kws in categories
@@ -51,7 +55,8 @@ def category_list(text, categories=ANALYSIS_CATEGORIES, whole_word: bool = False
         # bind the match list once more so the emptiness test does not re-run it
         return F.element_at(F.transform(F.array(names), lambda m: F.when(F.size(m) > 0, m).otherwise(general)), 1)
 
-    return F.coalesce(F.element_at(F.transform(F.array(F.lower(text)), tag), 1), general)
+    low = text if lowered else F.lower(text)
+    return F.coalesce(F.element_at(F.transform(F.array(low), tag), 1), general)
 
 
 def joined(categories_col, sep: str = ", ") -> Column:

@@ -71,9 +71,9 @@ class Lexicon:
         return len(self.rows)
 
 
-def tokens(text) -> Column:
+def tokens(text, lowered: bool = False) -> Column:
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(text), F.lit(SENTIMENT_TOKEN_PATTERN), 0)
+    return F.regexp_extract_all(text if lowered else F.lower(text), F.lit(SENTIMENT_TOKEN_PATTERN), 0)
 
 
 def _boost(base: Column, mult: Column) -> Column:
@@ -99,7 +99,7 @@ def _contribution(w: Column, p1: Column, p2: Column, lex: Lexicon) -> Column:
     return F.when(neg, -boosted).otherwise(boosted * 2)
 
 
-def inline_parts(text, lex: Lexicon) -> Column:
+def inline_parts(text, lex: Lexicon, lowered: bool = False) -> Column:
     """STRUCT<sum BIGINT, hits INT> of the review text, all inside codegen."""
     words = sorted(lex.polarity)
 
@@ -117,7 +117,7 @@ def inline_parts(text, lex: Lexicon) -> Column:
             F.size(hits).alias("hits"),
         )
 
-    return F.element_at(F.transform(F.array(tokens(text)), per_text), 1)
+    return F.element_at(F.transform(F.array(tokens(text, lowered)), per_text), 1)
 
 
 def score_from_parts(s: Column, n: Column) -> Column:
@@ -168,13 +168,17 @@ def joined_parts(df: DataFrame, key: str, text: str, lex: Lexicon) -> DataFrame:
 
 
 def with_sentiment(df: DataFrame, text: str = "text", key: str = "review_id",
-                   lexicon: Lexicon | None = None, strategy: str = "auto") -> DataFrame:
-    """Add ``sent_sum``, ``sent_hits``, ``sent_score``, ``score_e4``, ``sentiment``."""
+                   lexicon: Lexicon | None = None, strategy: str = "auto", lowered_text: str | None = None) -> DataFrame:
+    """Add ``sent_sum``, ``sent_hits``, ``sent_score``, ``score_e4``, ``sentiment``.
+
+    ``lowered_text`` names a column already holding ``lower(text)``.
+    """
     lex = lexicon or Lexicon.default()
     if strategy == "auto":
         strategy = "inline" if len(lex) <= INLINE_MAX_WORDS else "join"
     if strategy == "inline":
-        out = df.withColumn("_sp", inline_parts(text, lex)) \
+        src = lowered_text or text
+        out = df.withColumn("_sp", inline_parts(src, lex, lowered=lowered_text is not None)) \
                 .withColumn("_sent_sum", F.col("_sp.sum")).withColumn("_sent_hits", F.col("_sp.hits")).drop("_sp")
     elif strategy == "join":
         out = joined_parts(df, key, text, lex)

@@ -61,16 +61,17 @@ def build_reviews(reviews: DataFrame, as_of: _dt.date = DEFAULT_AS_OF, categorie
                   whole_word: bool = False, defaults: bool = True) -> DataFrame:
     """Enriched reviews: one row per input row, columns ``ENRICHED_COLUMNS``."""
     df = apply_defaults(reviews) if defaults else reviews
-    d = dates.resolve_relative_date(F.col("date_raw"), as_of, extended_dates)
-    df = df.withColumn("review_date", d)
+    df = dates.with_review_date(df, "date_raw", as_of, extended_dates)
     df = (df.withColumn("month", F.trunc("review_date", "MM"))
             .withColumn("month_year", dates.month_year(F.col("review_date")))
             .withColumn("year", F.substring("month_year", 1, 4))
             .withColumn("has_reply", is_nonblank("owner_reply"))
             .withColumn("has_text", is_nonblank("text"))
-            .withColumn("category_list", cat.category_list("text", categories, whole_word)))
+            # lower-cased once, read by the tags and the sentiment tokens
+            .withColumn("_lt", F.lower("text")))
+    df = df.withColumn("category_list", cat.category_list(F.col("_lt"), categories, whole_word, lowered=True))
     df = df.withColumn("categories", cat.joined(F.col("category_list")))
-    df = with_sentiment(df, "text", "review_id", lexicon)
+    df = with_sentiment(df, "text", "review_id", lexicon, lowered_text="_lt").drop("_lt")
     extra = [c for c in df.columns if c not in ENRICHED_COLUMNS]
     return df.select(*ENRICHED_COLUMNS, *extra)
 
