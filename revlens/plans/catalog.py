@@ -21,7 +21,7 @@ from revlens.operators import metrics, notable, trends, weekly, words
 from revlens.operators.enrich import build_reviews, enrich_if_blank
 from revlens.schema import (DEFAULT_AS_OF, TRUNC_CRITICAL, TRUNC_NOTABLE, TRUNC_PRINTED, TRUNC_REPLY,
                             WEEKLY_CATEGORIES)
-from revlens.session import fresh_path
+from revlens.session import fresh_path, materialize
 from revlens.sources import cards as cards_mod
 from revlens.sources import fixtures as fx
 from revlens.sources import io
@@ -117,13 +117,24 @@ def q_latest_snapshot(i: Inputs) -> DataFrame:
     return rows.select("snapshot_date", "review_id", "store", "rating")
 
 
+# One result table per sheet of the two reports (name -> registered query).
+REPORT_SHEETS = {
+    "dashboard": "store_comparison", "all_reviews": "all_reviews", "ratings": "rating_distribution",
+    "sentiment": "sentiment_stats", "categories": "category_metrics", "trends": "monthly_detail",
+    "notable_reviews": "notable_critical", "top_words": "top_words",
+    "weekly_summary": "weekly_overall", "all_new_reviews": "triage_list", "critical_reviews": "flagged_reviews",
+    "weekly_trends": "snapshot_trends_wide",
+}
+
+
 def q_write_report(i: Inputs) -> DataFrame:
+    """Write every sheet's result table under report=<name>/ and read back the row counts (SNK3)."""
     path = fresh_path(i.spark, "report")
-    results = {
-        "store_comparison": metrics.store_comparison(i.enriched),
-        "rating_distribution": metrics.rating_distribution(i.enriched),
-        "category_totals": metrics.category_totals(i.enriched),
-    }
+    # enrich once and diff once: every sheet reads these materialised tables
+    # (lineage cut in the shared folder, so a lost executor re-reads files)
+    shared = Inputs(i.spark, i.sf_dir, i.as_of, enriched=materialize(i.enriched, "report-enriched"),
+                    snapshots=i.snapshots, new=materialize(i.new, "report-new"))
+    results = {sheet: QUERIES[query](shared) for sheet, query in REPORT_SHEETS.items()}
     io.write_report(results, path)
     parts = [io.read_report(i.spark, path, name).agg(F.count(F.lit(1)).alias("rows"))
              .select(F.lit(name).alias("report"), "rows") for name in results]

@@ -494,10 +494,16 @@ SQL["star_bar"] = (
     "SELECT stars, repeat('★', stars) AS star_label, cnt, pct, repeat('█', CAST(floor(pct / 5) AS INTEGER)) AS bar, "
     "repeat('█', CAST(floor(pct / 4) AS INTEGER)) AS bar_print FROM ("
     + SQL["rating_distribution"] + ") WHERE is_all")
-SQL["write_report"] = (
-    "SELECT 'store_comparison' AS report, count(*) AS rows FROM (" + SQL["store_comparison"] + ") "
-    "UNION ALL SELECT 'rating_distribution', count(*) FROM (" + SQL["rating_distribution"] + ") "
-    "UNION ALL SELECT 'category_totals', count(*) FROM (" + SQL["category_totals"] + ")")
+# report sheets (kept equal to catalog.REPORT_SHEETS)
+REPORT_SHEETS = {
+    "dashboard": "store_comparison", "all_reviews": "all_reviews", "ratings": "rating_distribution",
+    "sentiment": "sentiment_stats", "categories": "category_metrics", "trends": "monthly_detail",
+    "notable_reviews": "notable_critical", "top_words": "top_words",
+    "weekly_summary": "weekly_overall", "all_new_reviews": "triage_list", "critical_reviews": "flagged_reviews",
+    "weekly_trends": "snapshot_trends_wide",
+}
+SQL["write_report"] = " UNION ALL ".join(
+    f"SELECT {q(sheet)} AS report, count(*) AS rows FROM ({SQL[query]})" for sheet, query in REPORT_SHEETS.items())
 
 # token table for the word counts (only used by top_words)
 _TW = (f"tw AS (SELECT e.store, e.sentiment, t.w AS word FROM enriched e, "
@@ -508,7 +514,7 @@ _TW = (f"tw AS (SELECT e.store, e.sentiment, t.w AS word FROM enriched e, "
 def oracle_sql() -> dict[str, str]:
     out = {}
     for k, body in SQL.items():
-        if k == "top_words":
+        if k in ("top_words", "write_report"):
             out[k] = "WITH " + PRELUDE.strip() + ",\n" + _TW + ",\n__q AS (\n" + body + "\n)\nSELECT * FROM __q"
         else:
             out[k] = with_prelude(body)
