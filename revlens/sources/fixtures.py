@@ -13,6 +13,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.sources.io import spread
+
 # FIXED VALUES (fixture rules): relative-date phrase by doc_id % 16,
 # text prefix by doc_id % 9, owner reply text.
 DATE_PHRASES = [
@@ -42,20 +44,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A small file with one row group is one task, and all per-row text work
-    would then run on one core.  Only in that case the rows are dealt
-    round-robin over ``defaultParallelism`` partitions; a large input (many
-    splits) is left as it is, so at scale this adds no shuffle.
-    """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
-
-
 def _pick(values: list[str], idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 

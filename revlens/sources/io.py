@@ -19,10 +19,28 @@ from revlens.operators.enrich import apply_defaults
 from revlens.schema import RAW_REVIEW_SCHEMA
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A small file with one row group is one task, and all per-row text work
+    would then run on one core.  Only in that case the rows are dealt
+    round-robin over ``defaultParallelism`` partitions; a large input (many
+    splits) is left as it is, so at scale this adds no shuffle.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
 def read_reviews_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Raw review scan with an explicit schema and record defaults (SRC1, P1, P2)."""
+    """Raw review scan with an explicit schema and record defaults (SRC1, P1, P2).
+
+    A multi-line JSON file is one task; the rows are spread over the cores
+    before any per-row work (a no-op when there are enough files).
+    """
     raw = spark.read.schema(RAW_REVIEW_SCHEMA).option("multiLine", multiline).json(path)
-    return apply_defaults(raw)
+    return apply_defaults(spread(raw))
 
 
 def write_reviews(df: DataFrame, path: str, fmt: str = "parquet") -> None:
