@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from revlens import jobs
 from revlens.plans.catalog import QUERIES, Inputs
