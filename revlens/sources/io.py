@@ -27,8 +27,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     round-robin over ``defaultParallelism`` partitions; a large input (many
     splits) is left as it is, so at scale this adds no shuffle.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan to the server
+        return df
+    if parts < n:
         return df.repartition(n)
     return df
 
