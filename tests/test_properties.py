@@ -161,3 +161,12 @@ def test_global_rank_spreads_a_hot_key(spark):
     assert hot == list(range(1, 3001))
     parts = ranked.filter(F.col("k") == 0).select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
+
+
+def test_spread_only_when_too_few_splits(spark):
+    one = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id")
+    assert one.rdd.getNumPartitions() == 1
+    spread = io.spread(one, min_partitions=4)
+    assert spread.rdd.getNumPartitions() == 4 and spread.count() == one.count()
+    many = spark.range(0, 1000, numPartitions=8)
+    assert io.spread(many, min_partitions=4) is many
