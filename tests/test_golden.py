@@ -191,3 +191,23 @@ def test_build_reviews_defaults_missing_columns(spark):
     df2 = spark.createDataFrame([("1", "s", "x", "five"), ("2", "s", "x", "4")], "review_id string, store string, "
                                 "text string, rating string")
     assert sorted((r["review_id"], r["rating"]) for r in build_reviews(df2).collect()) == [("1", None), ("2", 4)]
+
+
+def test_empty_inputs(spark):
+    """Empty input: typed empty results, and the weekly row is all zero (not missing)."""
+    from revlens import jobs
+    from revlens.sources.fixtures import store_dimension
+    empty = spark.createDataFrame([], "review_id string, store string, rating int, date_raw string, text string, "
+                                      "likes int, owner_reply string")
+    e = build_reviews(empty)
+    for name, df in jobs.analysis_sheets(e, ["store_0"]).items():
+        df.collect()  # plans and runs
+    assert jobs.analysis_sheets(e, ["store_0"])["store_comparison"].count() == 0
+    new = weekly.enrich_new(empty.withColumn("snapshot_date", F.lit(AS_OF)))
+    row = weekly.weekly_overall(new).collect()
+    assert len(row) == 1 and row[0]["total"] == 0 and row[0]["avg_rating"] is None
+    assert [r["cnt"] for r in weekly.weekly_star_dist(new).collect()] == [0, 0, 0, 0, 0]
+    by_store = weekly.weekly_by_store(new, store_dimension(spark)).collect()
+    assert len(by_store) == 6 and all(r["total"] == 0 and r["avg_rating"] is None for r in by_store)
+    one_date = empty.withColumn("snapshot_date", F.lit(AS_OF))
+    assert weekly.snapshot_trends(one_date, ["store_0"]).count() == 0
