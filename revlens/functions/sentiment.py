@@ -146,8 +146,12 @@ def label_from_parts(text, s: Column, n: Column) -> Column:
 def joined_parts(df: DataFrame, key: str, text: str, lex: Lexicon) -> DataFrame:
     """``df`` plus columns ``_sent_sum``, ``_sent_hits`` by the join strategy.
 
-    ``key`` must identify rows of ``df``.  Only (key, token context) rows are
-    exploded and shuffled (after a map-side partial sum), never the text.
+    ``key`` must identify rows of ``df``.  The exploded (key, token context)
+    rows are joined to the lexicon and partially summed map-side, so the
+    aggregation shuffle carries one partial row per review and task.  The
+    re-attach is a left join on the key: broadcast when the sums are small,
+    otherwise a shuffle join that moves ``df``'s rows; that is why this
+    strategy is only the fallback for lexicons too large to inline.
     """
     spark = df.sparkSession
     lexdf = spark.createDataFrame([(w, p) for w, p in lex.polarity.items()], "w string, pol int")
