@@ -57,6 +57,13 @@ def main(argv):
     print("| --- | " + " | ".join("---" for _ in COUNTS) + " |")
     for r in rows:
         print("| " + " | ".join(r) + " |")
+    print("\n## Headline plans (physical plan, broadcasts disabled)\n")
+    for name in ("store_comparison", "top_words", "new_reviews"):
+        df = QUERIES[name](Inputs(spark, sf_dir))
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        lines = [ln if len(ln) <= 220 else ln[:217] + "..." for ln in plan.splitlines()]
+        print(f"### {name}\n\n```\n" + "\n".join(lines) + "\n```\n")
     spark.stop()
 
 
