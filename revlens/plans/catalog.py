@@ -295,7 +295,10 @@ def q_weekly_run(i: Inputs) -> DataFrame:
         rows = weekly.snapshot_at(arrived, d).drop("snapshot_date")
         run_week(rows, d, snap_path, hist_path)
     if len(dates) < 2:
-        return weekly.weekly_overall(i.new).limit(0)
+        # baseline only: no history rows, same columns as the history table
+        empty = weekly.weekly_overall(arrived.limit(0).withColumn("has_reply", F.lit(False)))
+        return empty.select(F.lit(None).cast("date").alias("as_of"), F.lit(None).cast("date").alias("prev_date"),
+                            "*").limit(0)
     return read_history(i.spark, hist_path)
 
 

@@ -41,3 +41,11 @@ def test_baseline_run_writes_no_history(spark):
     assert run_week(second, dt.date(2026, 2, 23), snap_path, hist_path) == dt.date(2026, 2, 16)
     h = read_history(spark, hist_path).collect()
     assert len(h) == 1 and h[0]["total"] == 200
+
+
+def test_weekly_run_with_one_snapshot_is_empty_with_history_columns(spark):
+    snaps = Inputs(spark, SF001).snapshots
+    one = Inputs(spark, SF001, snapshots=snaps.filter(F.col("snapshot_date") == F.lit(dt.date(2026, 2, 16))))
+    a = QUERIES["weekly_run"](one)
+    b = QUERIES["weekly_run"](Inputs(spark, SF001))
+    assert a.count() == 0 and sorted(a.columns) == sorted(b.columns)
