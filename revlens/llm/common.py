@@ -31,7 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def _byte_values(fold: bool) -> np.ndarray:
+def byte_values(fold: bool) -> np.ndarray:
+    """A random value for each byte; a byte of value 0 at a word's end does not count."""
     with np.errstate(over="ignore"):
         t = mix((np.arange(256, dtype=U) + U(1)) * GOLDEN)
     t[_SPACE] = 0
@@ -40,7 +41,7 @@ def _byte_values(fold: bool) -> np.ndarray:
     return t
 
 
-_FOLDED, _EXACT = _byte_values(True), _byte_values(False)
+_FOLDED, _EXACT = byte_values(True), byte_values(False)
 _STEP = 0xD1342543DE82EF95  # odd: the weight of a byte is a power of it
 
 
@@ -80,15 +81,17 @@ def _segment_words(data: np.ndarray, breaks: np.ndarray, table: np.ndarray):
         return starts, mix(np.add.reduceat(value, starts - starts[0]) + GOLDEN)
 
 
-def word_groups(col: pa.Array, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_groups(col: pa.Array, fold: bool = True, table: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Word hashes of whole texts, for groups of consecutive documents.
 
     Yields ``(first, end, counts, hashes)``: documents ``first:end`` have
     ``counts`` words each, whose hashes follow one another in ``hashes``.
-    ``fold`` lower-cases A-Z first.  Null and empty texts have no words.
+    ``fold`` lower-cases A-Z first; ``table`` gives other byte values (see
+    ``byte_values``).  Null and empty texts have no words.
     """
     data, off = text_bytes(col)
-    table, n, first = (_FOLDED if fold else _EXACT), len(off) - 1, 0
+    table = table if table is not None else _FOLDED if fold else _EXACT
+    n, first = len(off) - 1, 0
     while first < n:
         end = max(first + 1, int(np.searchsorted(off, off[first] + GROUP_BYTES, "right")) - 1)
         edges, at, stop = off[first:end + 1], int(off[first]), int(off[end])

@@ -37,5 +37,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         return bpe.digests(table(spark, sf_dir, "documents"), f.read(), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_minhash, op9_bpe)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import quality_rules
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_minhash, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
