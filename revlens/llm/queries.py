@@ -29,6 +29,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import quality_knn
+    return quality_knn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,5 +47,5 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_minhash, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe)}
 ORACLE_SQL: dict[str, str] = {}
