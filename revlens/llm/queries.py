@@ -47,5 +47,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe)}
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import cap_filters
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
+                                 op10_cap_filters)}
 ORACLE_SQL: dict[str, str] = {}
