@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import lm_score
+    return lm_score.lm_scores(table(spark, sf_dir, "documents")).documents
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm import packing
     with open(tokenizer_file(TOKENIZER), encoding="utf-8") as f:
@@ -52,6 +57,6 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
+QUERIES = {f.__name__: f for f in (op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
                                  op10_cap_filters)}
 ORACLE_SQL: dict[str, str] = {}
