@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import warc
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm import lm_score
     return lm_score.lm_scores(table(spark, sf_dir, "documents")).documents
@@ -57,6 +62,20 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
+QUERIES = {f.__name__: f for f in (op2_warc, op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
                                  op10_cap_filters)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Base 32 of a SHA-1 in hex: eight blocks of 20 bits, four letters each.
+_OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)
+    FOR i IN range(0, 32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (html)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2}
