@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.llm import licenses
+
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_texts(spark))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm import warc
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -62,7 +68,7 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
                                  op10_cap_filters)}
 
 #: Base 32 of a SHA-1 in hex: eight blocks of 20 bits, four letters each.
@@ -78,4 +84,4 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM p JOIN f USING (html)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op2_warc": _OP2}
