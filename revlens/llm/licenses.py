@@ -11,7 +11,7 @@ up: the whole document, and each of its lines against short notices such as
 Defined results: a null or empty text, or one of separators and copyright
 lines only, has no words; its digest is null and it matches nothing.  Every
 row is one result row, also with a null or repeated key; rows that agree in
-key and canonical text share their notices.  Other columns are not read.
+key and text share their notices.  Other columns are not read.
 Known texts that are null, empty or the same after all (several ids for one
 digest) count under the smallest id.
 """
@@ -103,7 +103,13 @@ def known_rows() -> list[tuple[str, str, str]]:
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(known_rows(), "licence string, kind string, text string")
+    """The known texts as a table whose size Spark knows."""
+    values = ", ".join("(" + ", ".join(_quoted(x) for x in r) + ")" for r in known_rows())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS k(licence, kind, text)")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 # ---------------------------------------------------------------- canonical form and scan
@@ -118,29 +124,26 @@ def canonical(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form in hex; null for a text without words."""
+    """SHA-256 of the canonical form in hex; empty for a text without words."""
     c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+    return F.coalesce(F.sha2(F.nullif(c, F.lit("")), 256), F.lit(""))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, digest, licence (of the whole text, or null), notices (licences of lines that are notices, sorted)."""
-    known = known.select("licence", "kind", digest(F.col("text")).alias("digest")).filter("digest is not null") \
+    known = known.select("licence", "kind", digest(F.col("text")).alias("digest")).filter("digest != ''") \
         .groupBy("kind", "digest").agg(F.min("licence").alias("licence"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    whole = rows.select("key", digest(F.col("text")).alias("digest"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     texts = known.filter("kind = 'text'").select("digest", "licence")
-    whole = salted_left_join(whole, texts, ["digest"], F.col("key"))
+    whole = salted_left_join(rows.select("key", "hash", digest(F.col("text")).alias("digest")), texts, ["digest"], F.col("key"))
     # Lines: only the matching ones leave the join, so what is gathered by document is small.
-    lines = rows.select("key", digest(F.col("text")).alias("digest"), F.explode(F.split("text", "\n")).alias("line")) \
-        .select("key", "digest", digest(F.col("line")).alias("line_digest"))
+    lines = rows.select("key", "hash", F.explode(F.split("text", "\n")).alias("line")) \
+        .select("key", "hash", digest(F.col("line")).alias("line_digest"))
     notices = known.filter("kind = 'notice'").select(F.col("digest").alias("line_digest"), "licence")
-    found = salted_left_join(lines, notices, ["line_digest"], F.col("key")).filter("licence is not null") \
-        .select("key", "digest", "licence").distinct() \
-        .groupBy("key", "digest").agg(F.array_sort(F.collect_list("licence")).alias("notices"))
-    found = found.withColumnsRenamed({"key": "_key", "digest": "_digest"})
-    out = whole.join(found, F.col("key").eqNullSafe(F.col("_key")) & F.col("digest").eqNullSafe(F.col("_digest")), "left")
-    return out.select(F.col("key").alias(key), "digest", "licence", F.array_join("notices", ",").alias("notices"))
+    found = salted_left_join(lines, notices, ["line_digest"], F.xxhash64("key", "hash")).filter("licence is not null") \
+        .groupBy(F.col("key").alias("_key"), F.col("hash").alias("_hash")).agg(F.array_sort(F.collect_set("licence")).alias("notices"))
+    out = whole.join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash")), "left")
+    return out.select(F.col("key").alias(key), F.nullif("digest", F.lit("")).alias("digest"), "licence", F.array_join("notices", ",").alias("notices"))
 
 
 def oracle_sql() -> str:
