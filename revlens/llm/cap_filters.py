@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import salted_left_join
+from revlens.llm.common import roots, salted_left_join, units
 from revlens.llm.components import connected_components
 from revlens.session import materialize
 
@@ -143,19 +143,6 @@ def memberships(classes: DataFrame, sizes: dict[int, int], threshold: float, who
 
 # ---------------------------------------------------------------- comparison
 
-def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Smallest place that each of ``n`` places reaches by the links (p, q)."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, p, root[q])
-        np.minimum.at(new, q, root[p])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def compare_unit(f: int, side: np.ndarray, cls: np.ndarray, c: np.ndarray, x: np.ndarray, own: list[np.ndarray],
                  threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, linked vectors, root's place) of the linked places of one unit: links within it (one side) or across its two sides."""
@@ -175,44 +162,23 @@ def compare_unit(f: int, side: np.ndarray, cls: np.ndarray, c: np.ndarray, x: np
         p, q = p[here], q[here]
     links = np.bincount(p, c[q], len(cls)) + np.bincount(q, c[p], len(cls))
     on = np.flatnonzero(links)
-    return on, links[on].astype(np.int64), _roots(len(cls), p, q)[on]
+    return on, links[on].astype(np.int64), roots(len(cls), p, q)[on]
 
 
 def _compare(kind: str, threshold: float):
+    size = 4 if kind == "<f4" else 8
+
     def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of the unit that is still open; units are at most two blocks
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.column_stack([np.asarray(b.column(k)) for k in ("filter", "i", "j")])
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if held:
-                last = held[-1]
-                if any(last.column(k)[last.num_rows - 1].as_py() != b.column(k)[0].as_py() for k in ("filter", "i", "j")):
-                    yield from unit(held)
-                    held = []
-            for s, e in zip(np.append(0, cuts), np.append(cuts, b.num_rows)):
-                if s and held:
-                    yield from unit(held)
-                    held = []
-                held.append(b.slice(s, e - s))
-        if held:
-            yield from unit(held)
-
-    def unit(parts):
-        t = pa.Table.from_batches(parts)
-        if t.num_rows < 2:
-            return
-        vectors = t.column("vector").to_pylist()
-        size = 4 if kind == "<f4" else 8
-        x = _unit(vectors, kind, len(vectors[0]) // size)
-        own = [np.frombuffer(o, np.int64) for o in t.column("filters").to_pylist()]
-        cls, side = t.column("cls").to_numpy(), t.column("side").to_numpy()
-        if len(np.unique(side)) == 1 and t.column("i")[0].as_py() != t.column("j")[0].as_py():
-            return  # the other side has no rows
-        on, links, root = compare_unit(t.column("filter")[0].as_py(), side, cls, t.column("c").to_numpy(), x, own, threshold)
-        if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(links), pa.array(cls[root])], ["cls", "links", "root"])
+        for t in units(batches, ["filter", "i", "j"]):
+            side = t.column("side").to_numpy()
+            if t.num_rows < 2 or (t.column("i")[0] != t.column("j")[0] and (side == side[0]).all()):
+                continue  # nothing to compare
+            vectors = t.column("vector").to_pylist()
+            x, cls = _unit(vectors, kind, len(vectors[0]) // size), t.column("cls").to_numpy()
+            own = [np.frombuffer(o, np.int64) for o in t.column("filters").to_pylist()]
+            on, links, root = compare_unit(t.column("filter")[0].as_py(), side, cls, t.column("c").to_numpy(), x, own, threshold)
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(links), pa.array(cls[root])], ["cls", "links", "root"])
 
     return run
 

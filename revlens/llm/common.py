@@ -143,3 +143,35 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
 def held_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def units(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in ``keys``, from batches sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.column_stack([np.asarray(b.column(c)) for c in keys])
+        starts = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+            if held and (s or tuple(k[s]) != last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = tuple(k[s])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Smallest place that each of ``n`` places reaches by the links (p, q)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, p, root[q])
+        np.minimum.at(new, q, root[p])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

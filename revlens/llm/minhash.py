@@ -11,13 +11,15 @@
    candidate) alone put it below the threshold is linked with nothing and
    leaves;
 4. in every band bucket all members are confirmed against one centre on
-   their full sets, and the links are joined into components;
-5. members of a bucket whose components still differ are confirmed pair by
-   pair, also on full sets; components of all links are the result.
+   their full sets, and the links are joined into components.  What a member
+   has and the centre has not, or the other way round, is kept: against the
+   same centre these differences stand for the full sets;
+5. members of a centre whose components still differ are compared by their
+   differences, in blocks, and the components of all links are the result.
 
 Step 5 leaves no candidate pair undecided: two members of a bucket are
-either in one component already or compared.  So a group of near copies
-costs about one comparison a member, not one a pair.
+either in one component already or compared.  A group of near copies costs
+about one full comparison a member, and no row is made for a pair.
 
 With ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.85 is missed
 with a probability of 7e-6, a more similar one less often.
@@ -33,16 +35,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import GOLDEN, U, mix, salted_left_join, windows, word_groups
+from revlens.llm.common import GOLDEN, U, mix, roots, salted_left_join, units, windows, word_groups
 from revlens.llm.components import connected_components
 from revlens.session import materialize
 
 WORDS = 5
 THRESHOLD = 85  # per cent of the union
 BANDS, ROWS = 25, 6
+BLOCK = 1_024
+UNITS = "array<struct<kind:int,i:int,j:int>>"
 
 
 # ---------------------------------------------------------------- shingles and signatures
@@ -147,27 +151,101 @@ def full_sets(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame
 
 # ---------------------------------------------------------------- links
 
-def _possible(na: Column, ua: Column, nb: Column, ub: Column, threshold: int) -> Column:
-    """Whether two sets can reach the threshold: their common part excludes each one's own shingles."""
-    most = F.least(na - ua, nb - ub)
-    return most * 100 >= (na + nb - most) * threshold
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    """Pairs (centre, id) with both sizes, what their full sets differ in, and whether they reach the threshold."""
+    a = sets.select(F.col("id").alias("centre"), F.col("shingles").alias("sa"))
+    b = sets.select("id", F.col("shingles").alias("sb"))
 
     def run(batches):
         for t in batches:
-            sa, sb, keep = t.column("sa"), t.column("sb"), []
-            for x, y in zip(sa, sb):
+            diff, n, linked = [], [], []
+            for x, y in zip(t.column("sa"), t.column("sb")):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= threshold * (len(x) + len(y) - common))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                d = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(d)) // 2
+                diff.append(d)
+                n.append(len(y))
+                linked.append(100 * common >= threshold * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([t.column("centre"), t.column("id"), pa.array(n, pa.int64()),
+                                              pa.array(diff, pa.list_(pa.int64())), pa.array(linked, pa.bool_())],
+                                             ["centre", "id", "n", "diff", "linked"])
+
+    return pairs.join(a, "centre").join(b, "id").select("centre", "id", "sa", "sb").mapInArrow(
+        run, "centre long, id long, n long, diff array<bigint>, linked boolean")
+
+
+def links_by_difference(n: np.ndarray, diff: list[np.ndarray], left: np.ndarray, right: np.ndarray,
+                        threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (left, right) of sets given by their sizes and their differences from one centre.
+
+    Two sets differ in what is in one of their differences only, so with
+    the sizes their common part is known exactly.
+    """
+    size = np.array([len(d) for d in diff])
+    row, (_, cell, count) = np.repeat(np.arange(len(diff)), size), np.unique(
+        np.concatenate([*diff, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    row, cell = row[count[cell] > 1], cell[count[cell] > 1]  # an element of one difference only is in no common part
+    _, cell = np.unique(cell, return_inverse=True)
+    order = np.argsort(cell, kind="stable")
+    row, cell = row[order], cell[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    place = np.full((2, len(diff)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for s in range(0, int(cell[-1]) + 1 if len(cell) else 0, 2048):
+        a, b = np.searchsorted(cell, [s, s + 2048])
+        sides = []
+        for k, m in ((0, len(left)), (1, len(right))):
+            x, at = np.zeros((m, 2048), np.float32), place[k, row[a:b]]
+            x[at[at >= 0], cell[a:b][at >= 0] - s] = 1
+            sides.append(x)
+        common += sides[0] @ sides[1].T
+    apart = size[left][:, None] + size[right][None, :] - 2 * common.astype(np.int64)
+    both = n[left][:, None] + n[right][None, :]
+    p, q = np.nonzero(100 * (both - apart) >= threshold * (both + apart))
+    return left[p], right[q]
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def _compare(threshold: int):
+    def run(batches):
+        for t in units(batches, ["centre", "kind", "i", "j"]):
+            ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+            left = np.flatnonzero(side == side[0])
+            right = np.flatnonzero(side != side[0]) if t.column("kind")[0].as_py() or t.column("i")[0] != t.column("j")[0] else left
+            if not len(right):
+                continue
+            p, q = links_by_difference(t.column("n").to_numpy(), [d.values.to_numpy() for d in t.column("diff")], left, right, threshold)
+            root = roots(len(ids), p, q)
+            on = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]])], ["a", "b"])
+
+    return run
+
+
+def further_links(star: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members of one centre that are in different components so far.
+
+    Members outside the centre's component are compared with one another and
+    with those inside, in pairs of blocks of ``BLOCK`` members.
+    """
+    labelled = salted_left_join(star.select("centre", "id", "n", "diff"), components, ["id"], F.col("centre"))
+    own = components.select(F.col("id").alias("centre"), F.col("component").alias("main"))
+    labelled = salted_left_join(labelled, own, ["centre"], F.col("id")) \
+        .withColumn("out", ~F.coalesce("component", "id").eqNullSafe(F.coalesce("main", "centre")))
+    labelled = materialize(labelled.select("centre", "id", "n", "diff", "out"), "smh-labelled")
+    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    counts = labelled.groupBy("centre").agg(blocks(F.col("out")).alias("outs"), blocks(~F.col("out")).alias("ins"), F.count("*").alias("c")) \
+        .filter("outs > 0 and c > 1").drop("c")
+    rows = salted_left_join(labelled, counts, ["centre"], F.col("id")).filter("outs is not null") \
+        .withColumn("side", F.pmod(F.xxhash64("id"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    unit = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(upto("outs"), lambda o: unit(0, F.least(o, F.col("side")), F.greatest(o, F.col("side"))))
+    across = F.when(F.col("ins") > 0, F.transform(upto("ins"), lambda o: unit(1, F.col("side"), o))).otherwise(F.array().cast(UNITS))
+    inside = F.transform(upto("outs"), lambda o: unit(1, o, F.col("side")))
+    rows = rows.withColumn("unit", F.explode(F.when(F.col("out"), F.concat(among, across)).otherwise(inside))) \
+        .select("centre", "unit.*", "id", "n", "diff", (F.col("side") * 2 + F.col("out").cast("int")).alias("side"))
+    keys = ["centre", "kind", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, bands: int = BANDS,
@@ -191,30 +269,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         .agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
     sizes = sets.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
     sizes = sizes.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * threshold)
-    buckets = materialize(buckets.join(sizes, "id"), "smh-buckets")
+    buckets = materialize(buckets.join(sizes.select("id", "own"), "id"), "smh-buckets")
     # Centre: the member with the fewest shingles of its own.
-    centres = buckets.groupBy("band").agg(F.min(F.struct("own", "id", "n")).alias("m"), F.count("*").alias("c")) \
-        .filter("c > 1").select("band", F.col("m.id").alias("b"), F.col("m.n").alias("nb"), F.col("m.own").alias("ub"))
-    star = salted_left_join(buckets, centres, ["band"], F.col("id")).filter("id != b") \
-        .filter(_possible(F.col("n"), F.col("own"), F.col("nb"), F.col("ub"), threshold)) \
-        .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    star = materialize(star, "smh-star")
-    links = materialize(confirmed(star, sets, threshold), "smh-links")
-    first = connected_components(links)
-    # Pairs within a bucket that lie in different components: those outside its most common one, against all.
-    labelled = materialize(buckets.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "smh-labelled")
-    sizes_by = labelled.groupBy("band", "component").agg(F.count("*").alias("c"))
-    main = sizes_by.groupBy("band").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")) \
-        .filter("parts > 1").select("band", F.col("m.component").alias("main"))
-    mixed = materialize(labelled.join(main, "band"), "smh-mixed")
-    few = mixed.filter("component != main").select(
-        "band", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "own", "component")))
-    pairs = mixed.join(few, "band").filter("component != component_x") \
-        .filter((F.col("component") == F.col("main")) | (F.col("id") < F.col("id_x"))) \
-        .filter(_possible(F.col("n"), F.col("own"), F.col("n_x"), F.col("own_x"), threshold)) \
-        .select(F.greatest("id", "id_x").alias("a"), F.least("id", "id_x").alias("b")).distinct() \
-        .join(star, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(pairs, "smh-pairs"), sets, threshold), "smh-links")
+    centres = buckets.groupBy("band").agg(F.min(F.struct("own", "id")).alias("m"), F.count("*").alias("c")) \
+        .filter("c > 1").select("band", F.col("m.id").alias("centre"))
+    star = salted_left_join(buckets, centres, ["band"], F.col("id")).filter("id != centre").select("centre", "id").distinct()
+    star = materialize(confirmed(materialize(star, "smh-star"), sets, threshold), "smh-confirmed")
+    first = connected_components(star.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    more = materialize(further_links(star, first, threshold), "smh-links")
     groups = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     # Rows that repeat a key join their classes, too.
     ties = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

@@ -73,6 +73,27 @@ def test_families_of_near_copies_without_their_original(spark, docs_of):
     assert result(minhash.near_duplicates(docs_of(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_buckets_full_of_unlike_documents(spark, monkeypatch, block):
+    """Bands of one row put documents of any similarity and size together: no pair of a bucket is left undecided."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    df = spark.read.parquet(f"{SF0001}/documents.parquet")
+    got = result(minhash.near_duplicates(df, threshold=60, bands=60, rows=1))
+    assert got == brute([(r["doc_id"], r["text"]) for r in df.collect()], 60)
+
+
+def test_links_by_difference():
+    rng = np.random.default_rng(4)
+    centre = np.arange(120)
+    sets = [np.unique(np.append(rng.choice(centre, rng.integers(60, 120), replace=False), rng.integers(100, 400, rng.integers(0, 40))))
+            for _ in range(60)]
+    n, diff = np.array([len(s) for s in sets]), [np.setxor1d(s, centre) for s in sets]
+    got = set(zip(*(x.tolist() for x in minhash.links_by_difference(n, diff, np.arange(40), np.arange(40, 60), 60))))
+    want = {(i, j) for i in range(40) for j in range(40, 60)
+            if 100 * len(set(sets[i]) & set(sets[j])) >= 60 * len(set(sets[i]) | set(sets[j]))}
+    assert want and got == want
+
+
 def test_edge_rows(docs_of):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a  B"), (6, "a b c d e"), (7, "a b c d e f"), (8, long),
