@@ -29,6 +29,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import url_filter
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm import lm_score
     return lm_score.lm_scores(table(spark, sf_dir, "documents")).documents
@@ -68,8 +73,9 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash, op8_quality_knn, op9_bpe,
-                                 op10_cap_filters)}
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_warc, op3_url_filter, op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash,
+    op8_quality_knn, op9_bpe, op10_cap_filters)}
 
 #: Base 32 of a SHA-1 in hex: eight blocks of 20 bits, four letters each.
 _OP2 = """
