@@ -67,7 +67,7 @@ def test_list_decoding_finds_all_codewords_of_the_cap():
     for c, (turn, a, b) in enumerate(cap_filters._codes(20, words)):
         y = x @ turn
         s = (y[:, :10] @ a)[:, :, None] + (y[:, 10:] @ b)[:, None, :]
-        want |= {(r, ((20 * 8 + c) * words + i) * words + j) for r, i, j in zip(*np.nonzero(s >= height))}
+        want |= {(r, ((20 * cap_filters.CODES + c) * words + i) * words + j) for r, i, j in zip(*np.nonzero(s >= height))}
     assert set(zip(*(v.tolist() for v in cap_filters.filters_of(x, 2_000)))) == want
 
 
