@@ -38,7 +38,7 @@ SIZE = 2048
 DEPTH = 3
 GRID = 128  # cells of the length grid
 SLACK = 0  # tokens that a realised pattern may leave open
-RANK_ROWS = 50_000  # pieces ranked in one part, about
+RANK_ROWS = 1_000  # pieces ranked in one part, about
 MAX_ROWS = 500
 
 
@@ -293,10 +293,10 @@ def pack(parts: DataFrame, size: int = SIZE, key: str = "doc_id") -> DataFrame:
     counts = parts.groupBy("length").count().collect()  # at most ``size`` rows
     hist = {r["length"]: r["count"] for r in counts}
     table = slots(plan(hist, size))
-    shares = max(1, -(-max(hist.values(), default=0) // RANK_ROWS))
-    # Rank within a length: parts by hash, then offsets of the parts (length x shares rows), then a window within each part.
-    part = F.pmod(F.xxhash64(key, "piece", "start"), F.lit(shares)).cast("int")
-    dealt = parts.withColumn("_part", part)
+    # Rank within a length: parts by hash for the frequent lengths, then the parts' offsets, then a window within each part.
+    shares = [x for n, c in sorted(hist.items()) if c > RANK_ROWS for x in (F.lit(n), F.lit(-(-c // RANK_ROWS)))]
+    share = F.coalesce(F.create_map(*shares)[F.col("length")], F.lit(1)) if shares else F.lit(1)
+    dealt = parts.withColumn("_part", F.pmod(F.xxhash64(key, "piece", "start"), share).cast("int"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = dealt.groupBy("length", "_part").count() \
         .select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
