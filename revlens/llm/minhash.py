@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import GOLDEN, U, mix, roots, salted_left_join, units, windows, word_groups
@@ -287,3 +287,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group: the rows of ``docs`` with the group's smallest key, unchanged.
+
+    Of rows that repeat a key the one with the smallest text stays; rows
+    without a key all stay.
+    """
+    dropped = near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_dropped")).distinct()
+    one = Window.partitionBy(key).orderBy(text, *(c for c in docs.columns if c not in (key, text)))
+    named = docs.filter(F.col(key).isNotNull()).withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    named = named.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
+    return named.select(docs.columns).union(docs.filter(F.col(key).isNull()))

@@ -178,5 +178,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, unchanged."""
+    at, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            for first, end, x in counts(b.column(at)):
+                yield b.slice(first, end - first).filter(pa.array(vote(sent.value, x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     return score(docs, fit(docs, labels, key, text, label), key, text)

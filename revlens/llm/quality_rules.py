@@ -159,36 +159,58 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=1) > 0, np.sqrt(np.maximum(d, 0)), 0)
 
 
+def _judged(langs: np.ndarray, classes: np.ndarray, words: np.ndarray, total: np.ndarray, failed: np.ndarray,
+            refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distances from the class and word references, kept) of documents."""
+    best = np.full((len(total), 2), np.inf)
+    for lang, (rc, rw) in refs.items():
+        mine = (langs == lang) | ~np.isin(langs, list(refs))
+        own = words[mine][:, _own(lang)]
+        own = np.column_stack([own, total[mine] - own.sum(axis=1)])
+        d = np.column_stack([distance(classes[mine], rc), distance(own, rw)])
+        best[mine] = np.where((d.sum(axis=1) < best[mine].sum(axis=1))[:, None], d, best[mine])
+    best[~np.isfinite(best)] = 0
+    far = ((best[:, 0] > MAX_CLASS_DISTANCE) & (classes.sum(axis=1) >= MIN_CHARS_JUDGED)
+           | (best[:, 1] > MAX_WORD_DISTANCE) & (total >= MIN_WORDS_JUDGED))
+    return best, ~far & ~failed
+
+
+def _histograms(b: pa.RecordBatch | dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    classes, words = (np.array(b[c].flatten()).reshape(n, w) for c, w in (("classes", len(CLASSES)), ("words", len(VOCABULARY))))
+    return classes, words, np.array(b["n_words"])
+
+
 def judge(feats: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``feats`` (without histograms) with class_distance, word_distance and kept."""
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
     def run(batches):
         for b in batches:
-            classes, words = (np.array(b.column(c).flatten()).reshape(b.num_rows, n)
-                              for c, n in (("classes", len(CLASSES)), ("words", len(VOCABULARY))))
-            total = np.array(b.column("n_words"))
-            best = np.full((b.num_rows, 2), np.inf)
-            langs = np.array(b.column("lang").to_pylist(), object)
-            for lang, (rc, rw) in refs.items():
-                mine = (langs == lang) | ~np.isin(langs, list(refs))
-                own = words[mine][:, _own(lang)]
-                own = np.column_stack([own, total[mine] - own.sum(axis=1)])
-                d = np.column_stack([distance(classes[mine], rc), distance(own, rw)])
-                best[mine] = np.where((d.sum(axis=1) < best[mine].sum(axis=1))[:, None], d, best[mine])
-            best[~np.isfinite(best)] = 0
-            far = ((best[:, 0] > MAX_CLASS_DISTANCE) & (classes.sum(axis=1) >= MIN_CHARS_JUDGED)
-                   | (best[:, 1] > MAX_WORD_DISTANCE) & (total >= MIN_WORDS_JUDGED))
-            kept = ~far & ~np.array(b.column("base_failed").to_numpy(zero_copy_only=False), bool)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), *(b.column(c) for c in base), pa.array(best[:, 0]), pa.array(best[:, 1]), pa.array(kept)],
-                ["key", *base, "class_distance", "word_distance", "kept"])
+            d, kept = _judged(np.array(b.column("lang").to_pylist(), object), *_histograms(b, b.num_rows),
+                              np.array(b.column("base_failed").to_numpy(zero_copy_only=False), bool), refs)
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(b.column(c) for c in base), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(kept)],
+                                             ["key", *base, "class_distance", "word_distance", "kept"])
 
     kind = feats.schema["key"].dataType.simpleString()
     return feats.mapInArrow(run, f"key {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                  "n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
+def keep(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, unchanged; they are counted anew, so no row has to be found by its key."""
+    t, at = docs.columns.index(text), docs.columns.index(lang)
+
+    def run(batches):
+        for b in batches:
+            f = _features(b.column(t))
+            total, repeats = np.array(f["n_words"]), np.array(f["n_repeat_words"])
+            failed = (total < MIN_WORDS) | (repeats * 100 > total * MAX_REPEAT_PERCENT)
+            langs = np.array(b.column(at).cast(pa.string()).to_pylist(), object)
+            yield b.filter(pa.array(_judged(langs, *_histograms(f, b.num_rows), failed, refs)[1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, base figures, base_failed, class_distance, word_distance, kept) of every row."""
     feats = materialize(features(docs, key, text, lang), "rules-features")

@@ -1,0 +1,119 @@
+"""Packing: pieces against the tokenizers library, placement invariants, and the number of sequences against best-fit decreasing."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from revlens.llm import packing, queries
+from tests.conftest import SF001
+
+PATH = public_tokenizers.path(queries.TOKENIZER)
+MODEL = open(PATH, encoding="utf-8").read()
+TOK = Tokenizer.from_file(PATH)
+
+
+def pieces_of(key, text, size=2048):
+    """(key, piece, start, length, crc) of a document."""
+    ids = [*TOK.encode(text or "", add_special_tokens=False).ids, 0]
+    cuts = [0, *range(len(ids) % size or size, len(ids), size), len(ids)] if len(ids) > size else [0, len(ids)]
+    return [(key, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def check(rows, docs, size=2048):
+    """Rows hold exactly the pieces of ``docs`` and fill sequences without gaps; returns the number of sequences."""
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    assert got == Counter(p for k, t in docs for p in pieces_of(k, t, size))
+    held = defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(held)
+
+
+def decreasing(lengths, size=2048):
+    """Number of sequences of plain best-fit decreasing, one piece at a time."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - n)
+        else:
+            room.append(size - n)
+    return len(room)
+
+
+def test_query(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    rows = queries.QUERIES["op5_best_fit_packing"](spark, SF001).collect()
+    n, lengths = check(rows, docs), [r["length"] for r in rows]
+    assert n >= sum(lengths) / 2048
+    assert n <= 1.005 * decreasing(lengths)
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "<|endoftext|>", "x<|endoftext|> y", "é\x1c \n\n  b'll don't 12 345", "　 中文 \U0001f600\x00", "'s 'S\t\t!!"])
+def test_ids_are_those_of_the_tokenizers_library(text):
+    assert packing.token_ids(MODEL, text).tolist() == TOK.encode(text, add_special_tokens=False).ids
+
+
+def test_other_models_are_run_by_the_tokenizers_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "Some Words, and MORE"
+    assert packing.token_ids(open(path, encoding="utf-8").read(), text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def used(packed):
+    out = Counter()
+    for lengths, times in packed:
+        assert sum(lengths) <= 2048 and times > 0
+        for n in lengths:
+            out[n] += times
+    return dict(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_every_piece_once_and_few_sequences(seed):
+    rng = np.random.default_rng(seed)
+    kind = [lambda: rng.integers(1, 2049, 4000), lambda: np.minimum(2048, rng.lognormal(6, 1, 6000).astype(int) + 1), lambda: rng.integers(900, 1200, 500),
+            lambda: np.full(3000, 683), lambda: rng.choice([2048, 1024, 100, 7], 2000), lambda: np.append(np.full(50_000, 1500), rng.integers(1, 600, 900))][seed]
+    lengths, counts = np.unique(kind(), return_counts=True)
+    hist = dict(zip(lengths.tolist(), counts.tolist()))
+    packed = packing.plan(hist)
+    assert used(packed) == hist
+    best = sum(c for _, c in packing.best_fit({}, dict(hist), 2048))
+    assert sum(c for _, c in packed) <= 1.005 * best + 1
+    if sum(hist.values()) < 7000:
+        assert best <= 1.002 * decreasing(np.repeat(lengths, counts).tolist()) + 1
+
+
+def test_nnls_against_the_conditions_of_optimality():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a, b = rng.random((12, 20)), rng.normal(size=12)
+        x = packing.nnls(a, b)
+        slope = a.T @ (a @ x - b)
+        assert (x >= 0).all() and (slope > -1e-6).all() and np.abs(slope[x > 0]).max(initial=0) < 1e-6
+
+
+def test_patterns_are_all_short_partitions():
+    want = {p for a in range(13) for b in range(a + 1) for c in range(b + 1) if a + b + c == 12 for p in [tuple(x for x in (a, b, c) if x)]}
+    assert set(packing.patterns(12, 3)) == want
+
+
+def test_edge_rows(docs_of, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 3)  # frequent lengths are ranked in parts
+    docs = [(1, None), (1, ""), (None, "a b"), (2, "a b"), (2, "a b"), (3, "word " * 5_000), (4, " the" * 2047), (5, " the" * 2048)] + [(9 + i, "same text") for i in range(40)]
+    check(packing.pack_documents(docs_of(docs), MODEL).collect(), docs)
+    check(packing.pack_documents(docs_of(docs), MODEL, size=16).collect(), docs, 16)
+    assert packing.pack_documents(docs_of([]), MODEL).collect() == []
+    ids = packing.pack_documents(docs_of(docs[:4]), MODEL, with_ids=True).collect()
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in ids)
