@@ -1,11 +1,14 @@
 """Packing: pieces against the tokenizers library, placement invariants, and the number of sequences against best-fit decreasing."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from revlens.llm import packing, queries
@@ -65,6 +68,17 @@ def test_ids_are_those_of_the_tokenizers_library(text):
     assert packing.token_ids(MODEL, text).tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_with_lone_spaces_need_no_look_ahead():
+    rnd = random.Random(2)
+    bits = ["a", "Bc", "é", "ß", "1", " ", "\n", "\t", "'s", "'re", ".", "!!", "-", "\x1c", "中", "\u00a0", "\u2003", "\u3000", "\x85", "the"]
+    texts = ["".join(rnd.choice(bits[: rnd.choice([14, 20])]) for _ in range(rnd.randrange(60))) for _ in range(4000)]
+    lone = packing.lone_spaces(pa.array(texts + [None])).tolist()
+    assert lone[-1] and 200 < sum(lone) < 3800
+    for t, x in zip(texts, lone):
+        assert not (x and regex.search(r"\s\s", t))
+        assert packing.token_ids(MODEL, t, x).tolist() == TOK.encode(t, add_special_tokens=False).ids
+
+
 def test_other_models_are_run_by_the_tokenizers_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     text = "Some Words, and MORE"
