@@ -45,7 +45,7 @@ from revlens.session import materialize
 WORDS = 5
 THRESHOLD = 85  # per cent of the union
 BANDS, ROWS = 25, 6
-BLOCK = 1_024
+BLOCK = 256
 UNITS = "array<struct<kind:int,i:int,j:int>>"
 
 
