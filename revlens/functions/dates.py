@@ -27,17 +27,14 @@ from revlens.functions.text import strip
 NOW_PHRASES = ["just now", "today", "hour ago", "second", "minute"]
 UNITS = "(day|week|month|year)"
 
-# Largest n per unit that keeps the result after year 1 (absurd n -> undated).
-MAX_N = {"day": 730_000, "week": 104_000, "month": 24_000, "year": 2_000}
+FIRST_DAY = _dt.date(1, 1, 1)  # of the calendar: an earlier result is undated
 
 
-def _shift(anchor: Column, unit: Column, n: Column) -> Column:
-    ok = (
-        ((unit == "day") & (n <= MAX_N["day"]))
-        | ((unit == "week") & (n <= MAX_N["week"]))
-        | ((unit == "month") & (n <= MAX_N["month"]))
-        | ((unit == "year") & (n <= MAX_N["year"]))
-    )
+def _shift(as_of: _dt.date, unit: Column, n: Column) -> Column:
+    anchor = F.lit(as_of)
+    days, months = (as_of - FIRST_DAY).days, (as_of.year - 1) * 12 + as_of.month - 1  # how far back the calendar reaches
+    reach = F.when(unit == "day", days).when(unit == "week", days // 7).when(unit == "month", months).otherwise(months // 12)
+    ok = n <= reach
     shifted = (
         F.when(unit == "day", F.date_sub(anchor, n))
         .when(unit == "week", F.date_sub(anchor, n * 7))
@@ -64,8 +61,8 @@ def _rules(raw: Column, r: Column, single_unit: Column, n_txt: Column, n_unit: C
         F.when(raw.isNull() | (raw == ""), F.lit(None).cast("date"))
         .when(now, anchor)
         .when(r.contains("yesterday"), F.date_sub(anchor, 1))
-        .when(single_unit != "", _shift(anchor, single_unit, F.lit(1)))
-        .when(n_txt != "", _shift(anchor, n_unit, n_txt.try_cast("int")))
+        .when(single_unit != "", _shift(as_of, single_unit, F.lit(1)))
+        .when(n_txt != "", _shift(as_of, n_unit, n_txt.try_cast("int")))
         .otherwise(F.lit(None).cast("date"))
     )
 

@@ -14,15 +14,16 @@ ten-thousandths, so
     Positive  <=>  sum >  2000 * hits
     Negative  <=>  sum < -2000 * hits
 
-Two physical strategies, chosen by the lexicon's size:
-
-* ``inline`` (default for lexicons up to ``INLINE_MAX_WORDS`` entries): the
-  dictionary is a literal; tokens are scanned with higher-order functions in
-  the same codegen stage as the scan.  No join, no shuffle, no Python.
-* ``join`` (beyond that): tokens are exploded with their two predecessors,
-  joined to the lexicon (broadcast only when its size is within the checked
-  bound, otherwise a shuffle join), partially summed per review and joined
-  back.  Used for dictionaries too large to inline.
+Two physical strategies give the same results; the caller chooses:
+
+* ``inline`` (the default for a ``Lexicon``): the dictionary is a literal of
+  the plan; tokens are scanned with higher-order functions in the stage of
+  the scan.  No join, no shuffle.  The plan grows with the dictionary.
+* ``join`` (the only one for a lexicon table): tokens are exploded with
+  their two predecessors, joined to the table, summed per distinct text
+  (map-side first) and joined back by the text's hash.  The score is a
+  function of the text alone, so blank, NULL and repeated review ids do not
+  matter.  The table is never collected.
 """
 
 from __future__ import annotations
@@ -33,9 +34,7 @@ from pyspark.sql import functions as F
 from revlens.schema import (LEXICON_SCHEMA, NEGATIVE_THRESHOLD, NO_TEXT, POSITIVE_THRESHOLD,
                             SENTIMENT_TOKEN_PATTERN, TEST_LEXICON)
 from revlens.functions.text import is_nonblank
-
-INLINE_MAX_WORDS = 5_000
-BROADCAST_MAX_WORDS = 2_000_000
+from revlens.operators.common import salted_left_join
 
 # Label thresholds in the doubled ten-thousandth unit (0.1 -> 2000 per hit).
 _POS_UNITS = int(round(POSITIVE_THRESHOLD * 20000))
@@ -47,23 +46,15 @@ class Lexicon:
 
     def __init__(self, rows):
         self.rows = [tuple(r) for r in rows]
-        self.polarity = {w: int(p) for w, p, _, role in self.rows if role == "scored"}
-        self.negations = sorted(w for w, _, _, role in self.rows if role == "negation")
-        self.intensity = {w: int(i) for w, _, i, role in self.rows if role == "intensifier"}
+        ordered = sorted(self.rows, key=lambda r: (r[0], r[1], r[2]))  # of a word's rows in one role the largest value counts
+        self.polarity = {w: int(p) for w, p, _, role in ordered if role == "scored"}
+        self.negations = sorted({w for w, _, _, role in ordered if role == "negation"})
+        self.intensity = {w: int(i) for w, _, i, role in sorted(ordered, key=lambda r: r[2]) if role == "intensifier"}
 
     @classmethod
     def default(cls) -> "Lexicon":
         return cls(TEST_LEXICON)
 
-    @classmethod
-    def from_dataframe(cls, df: DataFrame, limit: int = BROADCAST_MAX_WORDS) -> "Lexicon":
-        """Collect a lexicon table after checking that its size is bounded."""
-        n = df.count()
-        if n > limit:
-            raise ValueError(f"lexicon has {n} rows, more than the {limit} that may be collected")
-        return cls([(r["word"], r["polarity"], r["intensity"], r["role"])
-                    for r in df.select("word", "polarity", "intensity", "role").collect()])
-
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, LEXICON_SCHEMA)
 
@@ -143,49 +134,61 @@ def label_from_parts(text, s: Column, n: Column) -> Column:
     )
 
 
-def joined_parts(df: DataFrame, key: str, text: str, lex: Lexicon) -> DataFrame:
+def joined_parts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     """``df`` plus columns ``_sent_sum``, ``_sent_hits`` by the join strategy.
 
-    ``key`` must identify rows of ``df``.  The exploded (key, token context)
-    rows are joined to the lexicon and partially summed map-side, so the
-    aggregation shuffle carries one partial row per review and task.  The
-    re-attach is a left join on the key: broadcast when the sums are small,
-    otherwise a shuffle join that moves ``df``'s rows; that is why this
-    strategy is only the fallback for lexicons too large to inline.
+    ``lexicon`` is a table (word, polarity, intensity, role).  Only token
+    contexts that hit a scored word leave the first join.  A text that many
+    rows share is scored once per row and its sums are divided by the number
+    of rows, which is exact, so no row key is needed.
     """
-    spark = df.sparkSession
-    lexdf = spark.createDataFrame([(w, p) for w, p in lex.polarity.items()], "w string, pol int")
-    if len(lex.polarity) <= BROADCAST_MAX_WORDS:
-        lexdf = F.broadcast(lexdf)
-    toks = df.select(F.col(key).alias("_k"), tokens(text).alias("_t"))
+    one = lambda role, col, out: lexicon.filter(F.col("role") == role).groupBy("word") \
+        .agg(F.max(col).cast("long").alias(out))  # noqa: E731  one row per word
+    keyed = df.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(1), text))
+    toks = keyed.select("_h1", "_h2", tokens(text).alias("_t"))
     ctx = toks.select(
-        "_k",
+        "_h1", "_h2",
         F.explode_outer(F.transform("_t", lambda w, i: F.struct(
-            w.alias("w"), F.get(F.col("_t"), i - 1).alias("p1"), F.get(F.col("_t"), i - 2).alias("p2")))).alias("c"),
-    ).filter(F.col("c").isNotNull()).select("_k", "c.w", "c.p1", "c.p2")
-    hits = ctx.join(lexdf, "w")
-    contrib = _contribution(F.col("w"), F.col("p1"), F.col("p2"), lex)
-    sums = hits.groupBy("_k").agg(F.sum(contrib).alias("_sent_sum"), F.count(F.lit(1)).cast("int").alias("_sent_hits"))
-    out = df.join(sums, df[key] == sums["_k"], "left").drop("_k")
+            w.alias("word"), F.get(F.col("_t"), i - 1).alias("p1"), F.get(F.col("_t"), i - 2).alias("p2")))).alias("c"),
+    ).filter(F.col("c").isNotNull()).select("_h1", "_h2", "c.*")
+    spread = F.struct("_h1", "p1", "p2")
+    hits = salted_left_join(ctx, one("scored", "polarity", "base"), ["word"], spread).filter(F.col("base").isNotNull())
+    mult = one("intensifier", "intensity", "mult").withColumnRenamed("word", "p1")
+    hits = salted_left_join(hits, mult, ["p1"], F.struct("_h1", "word", "p2"))
+    for p in ("p1", "p2"):
+        flag = one("negation", "polarity", f"_{p}").select(F.col("word").alias(p), F.lit(True).alias(f"neg_{p}"))
+        hits = salted_left_join(hits, flag, [p], F.struct("_h1", "word"))
+    boosted = F.when(F.col("mult").isNotNull(), _boost(F.col("base"), F.col("mult"))).otherwise(F.col("base"))
+    negated = F.coalesce("neg_p1", F.lit(False)) | F.coalesce("neg_p2", F.lit(False))
+    sums = hits.groupBy("_h1", "_h2").agg(F.sum(F.when(negated, -boosted).otherwise(boosted * 2)).alias("_s"),
+                                          F.count(F.lit(1)).alias("_n"))
+    copies = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
+    sums = sums.join(copies, ["_h1", "_h2"]).select(
+        "_h1", "_h2", F.expr("_s div _c").alias("_sent_sum"), F.expr("_n div _c").cast("int").alias("_sent_hits"))
+    spread = F.xxhash64(*[F.col(c) for c in df.columns if c != text])
+    out = salted_left_join(keyed, sums, ["_h1", "_h2"], spread).drop("_h1", "_h2")
     return out.withColumn("_sent_sum", F.coalesce("_sent_sum", F.lit(0).cast("long"))) \
               .withColumn("_sent_hits", F.coalesce("_sent_hits", F.lit(0)))
 
 
-def with_sentiment(df: DataFrame, text: str = "text", key: str = "review_id",
-                   lexicon: Lexicon | None = None, strategy: str = "auto", lowered_text: str | None = None) -> DataFrame:
+def with_sentiment(df: DataFrame, text: str = "text", lexicon: Lexicon | DataFrame | None = None,
+                   strategy: str | None = None, lowered_text: str | None = None) -> DataFrame:
     """Add ``sent_sum``, ``sent_hits``, ``sent_score``, ``score_e4``, ``sentiment``.
 
+    ``lexicon`` is a ``Lexicon`` or a table; ``strategy`` is "inline" or
+    "join", by default inline for the former; a table is always joined.
     ``lowered_text`` names a column already holding ``lower(text)``.
     """
-    lex = lexicon or Lexicon.default()
-    if strategy == "auto":
-        strategy = "inline" if len(lex) <= INLINE_MAX_WORDS else "join"
+    lex = lexicon if lexicon is not None else Lexicon.default()
+    strategy = strategy or ("inline" if isinstance(lex, Lexicon) else "join")
     if strategy == "inline":
+        if not isinstance(lex, Lexicon):
+            raise ValueError("a lexicon table is joined, not inlined")
         src = lowered_text or text
         out = df.withColumn("_sp", inline_parts(src, lex, lowered=lowered_text is not None)) \
                 .withColumn("_sent_sum", F.col("_sp.sum")).withColumn("_sent_hits", F.col("_sp.hits")).drop("_sp")
     elif strategy == "join":
-        out = joined_parts(df, key, text, lex)
+        out = joined_parts(df, text, lex.to_dataframe(df.sparkSession) if isinstance(lex, Lexicon) else lex)
     else:
         raise ValueError(strategy)
     blank = ~is_nonblank(F.col(text))

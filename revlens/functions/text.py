@@ -45,8 +45,3 @@ def text_bar(pct, per_block: int = 5) -> Column:
 def star_label(n) -> Column:
     """The star character repeated n times."""
     return F.repeat(F.lit("★"), _c(n).cast("int"))
-
-
-def pct(num, den) -> Column:
-    """Guarded percentage 100*num/max(den,1) as DOUBLE."""
-    return F.lit(100.0) * _c(num) / F.greatest(_c(den), F.lit(1))

@@ -1,4 +1,7 @@
-"""The two user-facing jobs: full analysis and weekly report.
+"""The user-facing jobs: collection, full analysis and weekly report.
+
+* ``run_collection``: captured cards of several sources -> review rows (kept
+  first per store and id), a summary per store and the cross-store ids.
 
 * ``run_analysis``: raw reviews (JSON or Parquet) -> enriched table (written
   once, Parquet) -> one result table per analysis sheet under
@@ -10,8 +13,9 @@
 
 Command line:
 
-    python -m revlens.jobs analysis <reviews> <out> [--as-of YYYY-MM-DD] [--format json|jsonl|parquet]
-    python -m revlens.jobs weekly <rows> <snapshots> <out> --as-of YYYY-MM-DD [--format json|jsonl|parquet]
+    python -m revlens.jobs collect <cards>... <out>
+    python -m revlens.jobs analysis <reviews> <out> --as-of YYYY-MM-DD [--format json|jsonl|parquet] [--lexicon <table>]
+    python -m revlens.jobs weekly <rows> <snapshots> <out> --as-of YYYY-MM-DD [--format json|jsonl|parquet] [--lexicon <table>]
 
 Session settings (master, memory, ``spark.checkpoint.dir``) come from
 ``spark-submit``; the jobs set none.
@@ -27,17 +31,18 @@ from pyspark.sql import functions as F
 
 from revlens.operators import metrics, notable, trends, weekly, words
 from revlens.operators.enrich import build_reviews
-from revlens.schema import DEFAULT_AS_OF, WEEKLY_CATEGORIES
+from revlens.functions.sentiment import Lexicon
+from revlens.schema import GENERAL_LEXICON, WEEKLY_CATEGORIES
+from revlens.sources import cards as cards_mod
 from revlens.sources import io
-
-STORE_LIST_LIMIT = metrics.MAX_STORES
+from revlens.streaming.incremental import read_history, run_week
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, stored: bool = False) -> DataFrame:
     if fmt == "json":  # one JSON array per file
-        return io.read_reviews_json(spark, path)
+        return io.read_reviews_json(spark, path, stored=stored)
     if fmt == "jsonl":  # one JSON object per line
-        return io.read_reviews_json(spark, path, multiline=False)
+        return io.read_reviews_json(spark, path, multiline=False, stored=stored)
     return io.spread(spark.read.parquet(path))
 
 
@@ -68,21 +73,36 @@ def analysis_sheets(e: DataFrame, stores: list[str]) -> dict[str, DataFrame]:
     }
 
 
-def run_analysis(spark: SparkSession, reviews_path: str, out: str, as_of: _dt.date = DEFAULT_AS_OF,
-                 fmt: str = "json", stores: list[str] | None = None) -> dict[str, str]:
-    """Full analysis of one review set; returns sheet -> written path."""
+def _lexicon(lexicon: Lexicon | DataFrame | None) -> Lexicon | DataFrame:
+    return lexicon if lexicon is not None else Lexicon(GENERAL_LEXICON)
+
+
+def run_analysis(spark: SparkSession, reviews_path: str, out: str, as_of: _dt.date,
+                 fmt: str = "json", stores: list[str] | None = None, lexicon: Lexicon | DataFrame | None = None) -> dict[str, str]:
+    """Full analysis of one review set; returns sheet -> written path.
+
+    ``lexicon``: sentiment words, as a ``Lexicon`` or a table (word, polarity,
+    intensity, role); by default the general one.
+    """
     enriched_path = f"{out}/enriched"
-    build_reviews(_read(spark, reviews_path, fmt), as_of).write.mode("overwrite").parquet(enriched_path)
+    build_reviews(_read(spark, reviews_path, fmt), as_of, lexicon=_lexicon(lexicon)).write.mode("overwrite").parquet(enriched_path)
     # lineage cut: every sheet reads the written enrichment
     e = spark.read.parquet(enriched_path)
-    stores = stores or metrics.stores_from_data(e, STORE_LIST_LIMIT)
+    stores = stores or metrics.stores_from_data(e)
     sheets = analysis_sheets(e, stores)
     io.write_report(sheets, out)
     return {name: f"{out}/report={name}" for name in sheets}
 
 
-def weekly_sheets(new: DataFrame, snapshots: DataFrame, store_dim: DataFrame) -> dict[str, DataFrame]:
+def weekly_sheets(new: DataFrame, history: DataFrame, store_dim: DataFrame) -> dict[str, DataFrame]:
+    """Result tables of the weekly report, keyed by sheet.
+
+    ``new``: this week's new rows; ``history``: the stored new rows of all
+    weeks (snapshot_date, store, rating, sentiment, has_reply), from which
+    the trends follow without diffing or scoring old snapshots again.
+    """
     stores = [r["name"] for r in store_dim.select("name").collect()]  # configured list: bounded
+    grains = weekly.weekly_grains(history, stores)
     return {
         "weekly_overall": weekly.weekly_overall(new),
         "weekly_by_store": weekly.weekly_by_store(new, store_dim),
@@ -92,42 +112,67 @@ def weekly_sheets(new: DataFrame, snapshots: DataFrame, store_dim: DataFrame) ->
         "all_new_reviews": weekly.triage_list(new),
         "critical_list": weekly.critical_list(new),
         "critical_reviews": weekly.flagged_reviews(new),
+        "unanswered": weekly.unanswered(new),
         "alerts": weekly.alerts(new),
-        "weekly_trends": weekly.snapshot_trends_wide(snapshots, stores),
-        "week_over_week": weekly.week_over_week(snapshots, stores),
+        "weekly_trends": weekly.trends_wide(weekly.trends_of(grains), stores),
+        "week_over_week": weekly.wow_of(grains),
+        "cumulative_rating": weekly.cumulative_of(grains),
     }
 
 
-def run_weekly(spark: SparkSession, rows_path: str, snapshot_path: str, out: str, as_of: _dt.date,
-               store_dim: DataFrame | None = None, fmt: str = "json") -> dict[str, str] | None:
-    """One weekly run; returns sheet -> written path, or None for a baseline run."""
-    rows = _read(spark, rows_path, fmt).withColumn("snapshot_date", F.lit(as_of)) \
-        .withColumn("scraped_on", F.lit(as_of))
-    io.write_snapshot(rows, snapshot_path)
+def _stored_new(spark: SparkSession, snapshot_path: str, history_path: str) -> DataFrame:
+    """New rows of all weeks: the first snapshot's rows, all new, then the stored ones of each run."""
+    cols = ["snapshot_date", "store", "rating", "sentiment", "has_reply"]
     snaps = io.read_snapshots(spark, snapshot_path)
-    previous, prev_date = io.latest_snapshot(snaps, as_of)
-    if prev_date is None:
+    first = snaps.agg(F.min("snapshot_date")).first()[0]
+    base = weekly.enrich_new(weekly.snapshot_at(snaps, first)).select(*cols)
+    return base.unionByName(read_history(spark, history_path, "new_reviews").withColumnRenamed("as_of", "snapshot_date").select(*cols))
+
+
+def run_weekly(spark: SparkSession, rows_path: str, snapshot_path: str, out: str, as_of: _dt.date,
+               store_dim: DataFrame | None = None, fmt: str = "json", lexicon: Lexicon | DataFrame | None = None,
+               history_path: str | None = None) -> dict[str, str] | None:
+    """One weekly run; returns sheet -> written path, or None for a baseline run.
+
+    Stored enrichment of the input rows is kept.  ``history_path`` (by
+    default beside the snapshots) holds the new rows and sums of all weeks.
+    A run without rows raises ``EmptySnapshot`` and changes nothing.
+    """
+    history_path = history_path or snapshot_path.rstrip("/") + "-history"
+    rows = _read(spark, rows_path, fmt, stored=True)
+    if "scraped_on" not in rows.columns:
+        rows = rows.withColumn("scraped_on", F.lit(as_of))
+    rows = rows.withColumn("scraped_on", F.coalesce("scraped_on", F.lit(as_of)))
+    if run_week(rows, as_of, snapshot_path, history_path, WEEKLY_CATEGORIES, _lexicon(lexicon)) is None:
         return None
-    current = snaps.filter(F.col("snapshot_date") == F.lit(as_of))
-    new_path = f"{out}/new_reviews"
-    weekly.enrich_new(weekly.diff_new(current, previous), WEEKLY_CATEGORIES) \
-        .write.mode("overwrite").parquet(new_path)
-    new = spark.read.parquet(new_path)
+    new = read_history(spark, history_path, "new_reviews").filter(F.col("as_of") == F.lit(as_of))
     if store_dim is None:
-        names = metrics.stores_from_data(snaps, STORE_LIST_LIMIT)
+        names = metrics.stores_from_data(io.read_snapshots(spark, snapshot_path))
         store_dim = spark.createDataFrame([(n,) for n in names], "name string")
-    sheets = weekly_sheets(new, snaps, store_dim)
+    sheets = weekly_sheets(new, _stored_new(spark, snapshot_path, history_path), store_dim)
     io.write_report(sheets, out)
     return {name: f"{out}/report={name}" for name in sheets}
 
 
+def run_collection(spark: SparkSession, cards: list[DataFrame], out: str) -> dict[str, str]:
+    """Captured cards of several sources -> review rows: normalise, keep first per store and id, union, write, summarise."""
+    path = f"{out}/reviews"
+    io.write_reviews(cards_mod.normalize_cards(cards_mod.union_sources(cards)), path)
+    rows = spark.read.parquet(path)
+    io.write_report({"collection_summary": metrics.collection_summary(rows),
+                     "cross_store_duplicates": cards_mod.cross_store_duplicates(rows)}, out)
+    return {"reviews": path, "collection_summary": f"{out}/report=collection_summary",
+            "cross_store_duplicates": f"{out}/report=cross_store_duplicates"}
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="revlens.jobs")
     sub = ap.add_subparsers(dest="job", required=True)
     a = sub.add_parser("analysis")
     a.add_argument("reviews")
     a.add_argument("out")
-    a.add_argument("--as-of", type=_dt.date.fromisoformat, default=DEFAULT_AS_OF)
+    a.add_argument("--as-of", type=_dt.date.fromisoformat, required=True)
+    a.add_argument("--lexicon", help="Parquet table: word, polarity, intensity, role")
     a.add_argument("--format", choices=["json", "jsonl", "parquet"], default="json")
     w = sub.add_parser("weekly")
     w.add_argument("rows")
@@ -135,12 +180,19 @@ def main(argv=None) -> None:
     w.add_argument("out")
     w.add_argument("--as-of", type=_dt.date.fromisoformat, required=True)
     w.add_argument("--format", choices=["json", "jsonl", "parquet"], default="json")
+    w.add_argument("--lexicon", help="Parquet table: word, polarity, intensity, role")
+    c = sub.add_parser("collect")
+    c.add_argument("cards", nargs="+", help="Parquet tables of captured cards, one per source")
+    c.add_argument("out")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"revlens-{args.job}").getOrCreate()
-    if args.job == "analysis":
-        done = run_analysis(spark, args.reviews, args.out, args.as_of, args.format)
+    lexicon = spark.read.parquet(args.lexicon) if getattr(args, "lexicon", None) else None
+    if args.job == "collect":
+        done = run_collection(spark, [spark.read.parquet(p) for p in args.cards], args.out)
+    elif args.job == "analysis":
+        done = run_analysis(spark, args.reviews, args.out, args.as_of, args.format, lexicon=lexicon)
     else:
-        done = run_weekly(spark, args.rows, args.snapshots, args.out, args.as_of, fmt=args.format)
+        done = run_weekly(spark, args.rows, args.snapshots, args.out, args.as_of, fmt=args.format, lexicon=lexicon)
     print("baseline run: snapshot stored, no report" if done is None else "\n".join(sorted(done.values())))
 
 

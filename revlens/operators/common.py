@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.session import materialize
+
 
 def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
@@ -40,15 +42,35 @@ def stack_rows(df: DataFrame, keep: list[str], entries: list[dict[str, Column]])
         *keep, *[F.col(f"_s.{n}").alias(n) for n in names])
 
 
-def store_count_columns(stores: list[str], cond: Column | None = None) -> list[Column]:
-    """One conditional count per configured store, named after the store."""
-    out = []
-    for s in stores:
-        c = F.col("store") == s
-        if cond is not None:
-            c = c & cond
-        out.append(count_if(c).alias(s))
-    return out
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row per key at most).
+
+    A key may hold any part of ``left``: its rows are dealt to ``salts``
+    parts by ``spread``, and ``right``, the small side of unique keys, is
+    repeated for each part.
+    """
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*keys, "_salt"], "left").drop("_salt")
+
+
+def store_labels(stores: list[str], taken: list[str]) -> dict[str, str]:
+    """Store -> column name: its own, or ``store <name>`` where a result column has that name."""
+    return {s: f"store {s}" if s in taken else s for s in stores}
+
+
+def with_store_counts(totals: DataFrame, rows: DataFrame, key: str, stores: list[str]) -> DataFrame:
+    """``totals`` (one row per ``key``) with one count column per configured store.
+
+    One aggregate by key and store, then a pivot of that small result; the
+    work per row does not grow with the number of stores.
+    """
+    names = store_labels(stores, totals.columns)
+    wide = rows.filter(F.col("store").isin(stores)).groupBy(key, "store").agg(F.count(F.lit(1)).alias("_n")) \
+        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("store", "_n"))).alias("_m"))
+    out = totals.join(wide, key, "left")
+    counts = [F.coalesce(F.try_element_at("_m", F.lit(s)), F.lit(0).cast("long")).alias(names[s]) for s in stores]
+    return out.select(*totals.columns, *counts)
 
 
 def rank_small(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -65,31 +87,30 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     """Consecutive 1-based rank in a total order, for unbounded lists.
 
     One range-partitioned sort (the same exchange a global ``orderBy``
-    uses).  Inside a sorted partition ``monotonically_increasing_id()``
-    holds the partition index in its upper bits and the row position in its
-    lower 33 bits, so the local position needs no window and no second
-    shuffle.  The row count per partition (one row per partition, a bounded
-    table) gives each partition's offset; it is broadcast back.  No step
-    gathers the list into one task.
-
-    A hash of the whole row ends the order: rows whose visible keys are
+    uses), written to the shared folder.  Inside a sorted partition
+    ``monotonically_increasing_id()`` holds the partition index in its upper
+    bits and the row position in its lower 33 bits.  Row counts per
+    partition (a bounded table, broadcast) and rows are both read from the
+    written copy, so the ranks do not depend on the sort being planned or
+    run only once.  No step gathers the list into one task.
+
+    Pass only the columns that the list shows: whole rows cross the
+    exchange.  A hash of the row ends the order: rows whose visible keys are
     equal (a hot key holding a third of the list) are still spread over the
-    range partitions, and the order stays repeatable on task retries.
+    range partitions, and only identical rows tie.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = list(order) + [F.xxhash64(*[F.col(c) for c in df.columns])]
-    part = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    part = part.withColumn("_pid", F.shiftright(F.col("_mid"), 33)) \
-               .withColumn("_lrn", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1)
-    counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    part = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                       .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    pid = F.shiftright(F.col("_mid"), 33)
+    counts = part.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: the running sum runs in one task on a tiny table
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
     )
-    out = part.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_lrn")).cast("int")) \
-              .drop("_pid", "_lrn", "_off", "_mid")
+    out = part.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+    place = F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1
+    return out.withColumn(name, (F.col("_off") + place).cast("int")).drop("_pid", "_off", "_mid")

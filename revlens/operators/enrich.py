@@ -34,10 +34,10 @@ def _col_or(df: DataFrame, name: str, default) -> Column:
 
 
 def coerce_rating(c) -> Column:
-    """Unparseable rating to NULL (P2); '4.0' keeps 4, '4.5' gives NULL."""
+    """Rating as a number; an unparseable one (or NaN) is NULL."""
     c = F.col(c) if isinstance(c, str) else c
     d = c.cast("string").try_cast("double")
-    return F.when(d == F.floor(d), d.try_cast("int"))
+    return F.when(~F.isnan(d), d)
 
 
 def apply_defaults(df: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def apply_defaults(df: DataFrame) -> DataFrame:
 
 
 def build_reviews(reviews: DataFrame, as_of: _dt.date = DEFAULT_AS_OF, categories=ANALYSIS_CATEGORIES,
-                  lexicon: Lexicon | None = None, extended_dates: bool = False,
-                  whole_word: bool = False, defaults: bool = True) -> DataFrame:
+                  lexicon: Lexicon | DataFrame | None = None, extended_dates: bool = False,
+                  whole_word: bool = False, defaults: bool = True, strategy: str | None = None) -> DataFrame:
     """Enriched reviews: one row per input row, columns ``ENRICHED_COLUMNS``."""
     df = apply_defaults(reviews) if defaults else reviews
     df = dates.with_review_date(df, "date_raw", as_of, extended_dates)
@@ -71,12 +71,13 @@ def build_reviews(reviews: DataFrame, as_of: _dt.date = DEFAULT_AS_OF, categorie
             .withColumn("_lt", F.lower("text")))
     df = df.withColumn("category_list", cat.category_list(F.col("_lt"), categories, whole_word, lowered=True))
     df = df.withColumn("categories", cat.joined(F.col("category_list")))
-    df = with_sentiment(df, "text", "review_id", lexicon, lowered_text="_lt").drop("_lt")
+    df = with_sentiment(df, "text", lexicon, strategy, lowered_text="_lt").drop("_lt")
     extra = [c for c in df.columns if c not in ENRICHED_COLUMNS]
     return df.select(*ENRICHED_COLUMNS, *extra)
 
 
-def enrich_if_blank(df: DataFrame, categories=ANALYSIS_CATEGORIES, lexicon: Lexicon | None = None) -> DataFrame:
+def enrich_if_blank(df: DataFrame, categories=ANALYSIS_CATEGORIES, lexicon: Lexicon | DataFrame | None = None,
+                    strategy: str | None = None) -> DataFrame:
     """Fill-if-blank enrichment of stored rows (P12): idempotent.
 
     Sentiment and score are computed only where ``sentiment`` is blank,
@@ -93,13 +94,15 @@ def enrich_if_blank(df: DataFrame, categories=ANALYSIS_CATEGORIES, lexicon: Lexi
     base = base.withColumnRenamed("sentiment", "_old_sent") \
                .withColumnRenamed("sent_score", "_old_score") \
                .withColumnRenamed("categories", "_old_cats")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    computed = with_sentiment(base.withColumn("_t", text), "_t", "review_id", lexicon)
     need_sent = F.coalesce(F.col("_old_sent"), F.lit("")) == ""
     need_cats = F.coalesce(F.col("_old_cats"), F.lit("")) == ""
+    # a filled row's text is NULL to the scorer and the tagger, so it is neither tokenised nor searched
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = base.withColumn("_t", F.when(need_sent, text)).withColumn("_c", F.when(need_cats, text))
+    computed = with_sentiment(base, "_t", lexicon, strategy)
     out = (computed
            .withColumn("sentiment", F.when(need_sent, F.col("sentiment")).otherwise(F.col("_old_sent")))
            .withColumn("sent_score", F.when(need_sent, F.col("sent_score")).otherwise(F.col("_old_score")))
-           .withColumn("categories", F.when(need_cats, cat.joined(cat.category_list(F.col("_t"), categories)))
+           .withColumn("categories", F.when(need_cats, cat.joined(cat.category_list(F.col("_c"), categories)))
                        .otherwise(F.col("_old_cats"))))
-    return out.drop("_old_sent", "_old_score", "_old_cats", "_t", "sent_sum", "sent_hits", "score_e4")
+    return out.drop("_old_sent", "_old_score", "_old_cats", "_t", "_c", "sent_sum", "sent_hits", "score_e4")

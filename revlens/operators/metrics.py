@@ -13,26 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.common import count_if, explode_list, pct, rank_small, stack_rows, store_count_columns
+from revlens.operators.common import count_if, explode_list, pct, rank_small, stack_rows, with_store_counts
 from revlens.schema import SENTIMENT_LABELS, STARS_DESC
 
 
-MAX_STORES = 100_000
-
-
-def stores_from_data(e: DataFrame, limit: int = MAX_STORES) -> list[str]:
-    """Store names present in the data, for wide per-store columns.
+def stores_from_data(e: DataFrame) -> list[str]:
+    """Store names present in the data, sorted, for wide per-store columns.
 
     Column names must be known when the plan is built, so the distinct
-    names are collected; the count is checked first, and a store list is
-    bounded by the business (a few to thousands), not by the review volume.
-    Sorted by name (a DataFrame has no first-seen order).
+    names are collected: a configuration of the business, not a column that
+    grows with the review volume.  Pass the configured list where there is
+    one.
     """
-    names = e.select("store").where(F.col("store").isNotNull()).distinct()
-    n = names.count()
-    if n > limit:
-        raise ValueError(f"{n} distinct stores, more than the {limit} that may become columns")
-    return sorted(r["store"] for r in names.collect())
+    return sorted(r["store"] for r in e.select("store").where(F.col("store").isNotNull()).distinct().collect())
 
 
 def _sent(label: str):
@@ -94,16 +87,11 @@ def rating_distribution(e: DataFrame) -> DataFrame:
 
 def rating_matrix(e: DataFrame, stores: list[str]) -> DataFrame:
     """Numeric series behind the rating chart: stars x configured stores + ALL (A5)."""
-    g = e.agg(*[count_if((F.col("rating") == s) & (F.col("store") == st)).alias(f"_{s}_{st}")
-                for s in STARS_DESC for st in stores],
-              *[count_if(F.col("rating") == s).alias(f"_{s}_all") for s in STARS_DESC])
-    entries = []
-    for s in STARS_DESC:
-        ent = {"stars": F.lit(s)}
-        ent.update({st: F.col(f"_{s}_{st}") for st in stores})
-        ent["all_stores"] = F.col(f"_{s}_all")
-        entries.append(ent)
-    return stack_rows(g, [], entries)
+    rows = e.filter(F.col("rating").isin(STARS_DESC)).select(F.col("rating").cast("int").alias("stars"), "store")
+    stars = e.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, STARS_DESC))).alias("stars"))
+    total = rows.groupBy("stars").agg(F.count(F.lit(1)).alias("all_stores"))
+    out = with_store_counts(stars.join(total, "stars", "left"), rows, "stars", stores)
+    return out.withColumn("all_stores", F.coalesce("all_stores", F.lit(0).cast("long")))
 
 
 def sentiment_stats(e: DataFrame) -> DataFrame:
@@ -157,13 +145,13 @@ def category_metrics(e: DataFrame, stores: list[str]) -> DataFrame:
     """Per category: total, mean rating, % positive / negative, count per store."""
     x = explode_list(e.select("category_list", "store", "rating", "sentiment"), "category_list", "category")
     n = F.count(F.lit(1))
-    return x.groupBy("category").agg(
+    totals = x.groupBy("category").agg(
         n.alias("total"),
         F.avg("rating").alias("avg_rating"),
         pct(count_if(_sent("Positive")), n).alias("pct_positive"),
         pct(count_if(_sent("Negative")), n).alias("pct_negative"),
-        *store_count_columns(stores),
     )
+    return with_store_counts(totals, x, "category", stores)
 
 
 def collection_summary(cards: DataFrame) -> DataFrame:

@@ -17,17 +17,16 @@ from revlens.operators.common import rank_small
 from revlens.schema import TRUNC_NOTABLE
 
 
-def _project(df: DataFrame) -> DataFrame:
-    return df.select(
-        "rank", "review_id", "store", "rating", "sentiment",
-        F.substring("text", 1, TRUNC_NOTABLE).alias("text"),
-        "date_raw", "author", "likes",
-    )
+COLUMNS = ["review_id", "store", "rating", "sentiment", "text", "date_raw", "author", "likes"]
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """The columns a list shows, its text cut: projected before any row is sorted."""
+    return df.withColumn("text", F.substring("text", 1, TRUNC_NOTABLE)).select(*COLUMNS)
 
 
 def _top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    top = df.orderBy(*order).limit(k)
-    return _project(rank_small(top, order))
+    return rank_small(_shown(df).orderBy(*order).limit(k), order).select("rank", *COLUMNS)
 
 
 def _critical(e: DataFrame) -> DataFrame:
@@ -46,7 +45,7 @@ def notable_critical(e: DataFrame, k: int = 15) -> DataFrame:
 def notable_critical_by_store(e: DataFrame, k: int = 10) -> DataFrame:
     """Same per store, k each."""
     w = Window.partitionBy("store").orderBy(*critical_order())
-    return _project(_critical(e).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return _shown(_critical(e)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("rank", *COLUMNS)
 
 
 def notable_most_liked(e: DataFrame, k: int = 15) -> DataFrame:

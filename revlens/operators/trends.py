@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.dates import month_label
-from revlens.operators.common import count_if, pct, stack_rows, store_count_columns
+from revlens.operators.common import count_if, pct, with_store_counts
 from revlens.schema import STARS_DESC
 
 
@@ -18,45 +18,49 @@ def _dated(e: DataFrame) -> DataFrame:
     return e.filter(F.col("month").isNotNull())
 
 
-def yearly_summary(e: DataFrame, stores: list[str]) -> DataFrame:
-    """Per year: reviews per store, total, mean rating, % positive / negative (A10)."""
+def _totals(rows: DataFrame, key: str, stars: bool) -> DataFrame:
     n = F.count(F.lit(1))
-    return _dated(e).groupBy("year").agg(
-        *store_count_columns(stores),
+    return rows.groupBy(key).agg(
         n.alias("total"),
         F.avg("rating").alias("avg_rating"),
+        *[count_if(F.col("rating") == s).alias(f"star_{s}") for s in STARS_DESC if stars],
         pct(count_if(F.col("sentiment") == "Positive"), n).alias("pct_positive"),
         pct(count_if(F.col("sentiment") == "Negative"), n).alias("pct_negative"),
     )
 
 
+def yearly_summary(e: DataFrame, stores: list[str]) -> DataFrame:
+    """Per year: total, mean rating, % positive / negative, reviews per store (A10)."""
+    rows = _dated(e)
+    return with_store_counts(_totals(rows, "year", False), rows, "year", stores)
+
+
 def monthly_detail(e: DataFrame, stores: list[str]) -> DataFrame:
-    """Per month: label, per-store counts, total, mean, star counts, %.
+    """Per month: label, total, mean, star counts, %, per-store counts.
 
     Months without reviews are not filled in.
     """
-    n = F.count(F.lit(1))
-    g = _dated(e).groupBy("month").agg(
-        *store_count_columns(stores),
-        n.alias("total"),
-        F.avg("rating").alias("avg_rating"),
-        *[count_if(F.col("rating") == s).alias(f"star_{s}") for s in STARS_DESC],
-        pct(count_if(F.col("sentiment") == "Positive"), n).alias("pct_positive"),
-        pct(count_if(F.col("sentiment") == "Negative"), n).alias("pct_negative"),
-    )
-    return g.select(
+    rows = _dated(e)
+    totals = _totals(rows, "month", True).select(
+        "month",
         F.date_format("month", "yyyy-MM").alias("month_year"),
         month_label(F.col("month")).alias("month_label"),
         F.date_format("month", "yyyy").alias("year"),
-        *[c for c in g.columns if c != "month"],
-    )
+        "total", "avg_rating", *[f"star_{s}" for s in STARS_DESC], "pct_positive", "pct_negative")
+    return with_store_counts(totals, rows, "month", stores).drop("month")
 
 
 def monthly_volume(e: DataFrame, stores: list[str]) -> DataFrame:
-    """Long series: reviews per month and configured store, zero filled."""
-    g = _dated(e).groupBy("month").agg(*store_count_columns(stores))
-    long = stack_rows(g, ["month"], [{"store": F.lit(s), "cnt": F.col(f"`{s}`")} for s in stores])
-    return long.select(F.date_format("month", "yyyy-MM").alias("month_year"), "store", "cnt")
+    """Long series: reviews per month and configured store, zero filled.
+
+    One aggregate by month and store; the months of the data times the
+    configured stores are the grid (small, from that aggregate).
+    """
+    got = _dated(e).groupBy("month", "store").agg(F.count(F.lit(1)).alias("cnt"))
+    grid = got.select("month").distinct().select("month", F.explode(F.array(*map(F.lit, stores))).alias("store"))
+    return grid.join(got, ["month", "store"], "left").select(
+        F.date_format("month", "yyyy-MM").alias("month_year"), "store",
+        F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
 
 
 def monthly_avg_rating(e: DataFrame) -> DataFrame:

@@ -23,17 +23,11 @@ from revlens.functions.text import is_nonblank, text_bar, star_label
 from revlens.operators.common import count_if, global_rank, pct, rank_small, stack_rows
 from revlens.operators.enrich import enrich_if_blank
 from revlens.schema import SNAPSHOT_CAP, STARS_DESC, TRUNC_CRITICAL, TRUNC_NOTABLE, WEEKLY_CATEGORIES
+from revlens.sources.io import previous_snapshot_date
 
 
 # -------------------------------------------------------------------------- snapshots
 
-def previous_snapshot_date(snapshots: DataFrame, as_of: _dt.date) -> _dt.date | None:
-    """Latest snapshot date strictly before ``as_of`` (SRC2); None if none."""
-    row = snapshots.filter(F.col("snapshot_date") < F.lit(as_of)) \
-                   .agg(F.max("snapshot_date").alias("d")).first()
-    return row["d"] if row is not None else None
-
-
 def snapshot_at(snapshots: DataFrame, d: _dt.date) -> DataFrame:
     return snapshots.filter(F.col("snapshot_date") == F.lit(d))
 
@@ -45,13 +39,19 @@ def _rid(c: str = "review_id") -> Column:
 def diff_new(current: DataFrame, previous: DataFrame | None) -> DataFrame:
     """Rows of ``current`` whose id is not in ``previous``.
 
-    The key ignores the store; a missing id acts as ''.  An absent previous
-    snapshot gives no rows (not all rows).
+    The key ignores the store; a missing id acts as ''.  An absent or empty
+    previous snapshot gives no rows (not all rows).  Rows without an id,
+    which may be many, do not meet in the join: they are decided by whether
+    the previous snapshot has such a row.
     """
     if previous is None:
         return current.limit(0)
-    prev_ids = previous.select(_rid().alias("_prev_id")).distinct()
-    return current.join(prev_ids, _rid() == F.col("_prev_id"), "left_anti")
+    ids = previous.select(_rid().alias("_prev_id"))
+    key = F.when(_rid() != "", _rid()).otherwise(F.concat(F.lit("\0"), F.xxhash64(*current.columns).cast("string")))
+    return current.filter(ids.exists()) \
+        .filter((_rid() != "") | ~ids.filter("_prev_id = ''").exists()) \
+        .withColumn("_id", key).join(ids.filter("_prev_id != ''").distinct(), F.col("_id") == F.col("_prev_id"), "left_anti") \
+        .drop("_id")
 
 
 def new_reviews(snapshots: DataFrame, as_of: _dt.date) -> DataFrame:
@@ -61,7 +61,7 @@ def new_reviews(snapshots: DataFrame, as_of: _dt.date) -> DataFrame:
     return diff_new(current, snapshot_at(snapshots, prev) if prev is not None else None)
 
 
-def enrich_new(new: DataFrame, categories=WEEKLY_CATEGORIES, lexicon: Lexicon | None = None) -> DataFrame:
+def enrich_new(new: DataFrame, categories=WEEKLY_CATEGORIES, lexicon: Lexicon | DataFrame | None = None) -> DataFrame:
     """Fill-if-blank enrichment of new rows only, plus the reply flag."""
     e = enrich_if_blank(new, categories, lexicon)
     return e.withColumn("has_reply", is_nonblank("owner_reply")) \
@@ -69,7 +69,7 @@ def enrich_new(new: DataFrame, categories=WEEKLY_CATEGORIES, lexicon: Lexicon |
 
 
 def weekly_new(snapshots: DataFrame, as_of: _dt.date, categories=WEEKLY_CATEGORIES,
-               lexicon: Lexicon | None = None) -> DataFrame:
+               lexicon: Lexicon | DataFrame | None = None) -> DataFrame:
     return enrich_new(new_reviews(snapshots, as_of), categories, lexicon)
 
 
@@ -82,17 +82,22 @@ def snapshot_new(snapshots: DataFrame) -> DataFrame:
     """
     dates = snapshots.select("snapshot_date").distinct()
     prev = dates.withColumn("prev_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")))
-    cur = snapshots.join(F.broadcast(prev), "snapshot_date")
-    ids = snapshots.select(F.col("snapshot_date").alias("_pd"), _rid().alias("_pid")).distinct()
-    cond = (F.col("prev_date") == F.col("_pd")) & (_rid() == F.col("_pid"))
-    return cur.join(ids, cond, "left_anti")
+    # one row per date: does it hold rows without an id
+    blank = snapshots.groupBy(F.col("snapshot_date").alias("_bd")).agg(F.bool_or(_rid() == "").alias("_prev_blank"))
+    prev = prev.join(blank, F.col("prev_date") == F.col("_bd"), "left").drop("_bd")
+    cur = snapshots.join(F.broadcast(prev), "snapshot_date") \
+        .filter((_rid() != "") | ~F.coalesce("_prev_blank", F.lit(False))).drop("_prev_blank")
+    ids = snapshots.filter(_rid() != "").select(F.col("snapshot_date").alias("_pd"), _rid().alias("_pid")).distinct()
+    key = F.when(_rid() != "", _rid()).otherwise(F.concat(F.lit("\0"), F.xxhash64(*snapshots.columns).cast("string")))
+    cond = (F.col("prev_date") == F.col("_pd")) & (F.col("_id") == F.col("_pid"))
+    return cur.withColumn("_id", key).join(ids, cond, "left_anti").drop("_id")
 
 
 # -------------------------------------------------------------------------- predicates
 
 def rating_or(default: int) -> Column:
     """``rating or default``: NULL and 0 both act as ``default``."""
-    return F.coalesce(F.when(F.col("rating") != 0, F.col("rating")), F.lit(default))
+    return F.coalesce(F.when(F.col("rating") != 0, F.col("rating")), F.lit(default).cast("double"))
 
 
 def is_critical() -> Column:
@@ -194,9 +199,9 @@ def weekly_topics(new: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------------- lists
 
 def _list_columns(df: DataFrame, n_text: int) -> DataFrame:
-    return df.select("rank", "review_id", "store", "rating", "sentiment",
-                     F.substring("text", 1, n_text).alias("text"), "date_raw", "author",
-                     "categories", "has_reply")
+    """The columns a list shows, its text cut: projected before the rows are sorted."""
+    return df.select("review_id", "store", "rating", "sentiment", F.substring("text", 1, n_text).alias("text"), "date_raw",
+                     "author", "categories", "has_reply")
 
 
 def triage_order() -> list[Column]:
@@ -206,13 +211,13 @@ def triage_order() -> list[Column]:
 
 def triage_list(new: DataFrame) -> DataFrame:
     """All new reviews: Negative first, then rating desc with NULL/0 as 3 (O1)."""
-    return _list_columns(global_rank(new, triage_order()), TRUNC_NOTABLE)
+    return global_rank(_list_columns(new, TRUNC_NOTABLE), triage_order())
 
 
 def critical_list(new: DataFrame) -> DataFrame:
     """New 1-2 star reviews (NULL and 0 not listed), rating ascending (O2)."""
     order = [F.asc("rating"), F.asc("review_id"), F.asc("store")]
-    return _list_columns(global_rank(new.filter(is_critical()), order), TRUNC_CRITICAL)
+    return global_rank(_list_columns(new.filter(is_critical()), TRUNC_CRITICAL), order)
 
 
 def unanswered(new: DataFrame) -> DataFrame:
@@ -223,40 +228,70 @@ def unanswered(new: DataFrame) -> DataFrame:
 def flagged_reviews(new: DataFrame) -> DataFrame:
     """Critical or unanswered-negative, one row per id, rating asc with NULL/0 as 5.
 
-    One row per ``review_id``: the row of the smallest store name is kept
-    (a partial aggregate, safe for a hot id).
+    Of the rows of one id the last in store order counts, whole (of several
+    in that store the last by date text, author and text).  A partial limit
+    leaves one row per id and task before the shuffle.
     """
-    f = new.filter(is_critical() | is_unanswered_negative())
-    cols = [c for c in f.columns if c != "review_id"]
-    one = f.groupBy("review_id").agg(F.min_by(F.struct(*cols), F.col("store")).alias("r")) \
-           .select("review_id", "r.*")
-    order = [rating_or(5).asc(), F.asc("review_id")]
-    return _list_columns(global_rank(one, order), TRUNC_CRITICAL)
+    f = _list_columns(new.filter(is_critical() | is_unanswered_negative()), TRUNC_CRITICAL)
+    last = Window.partitionBy("review_id").orderBy(F.desc("store"), F.desc("date_raw"), F.desc("author"), F.desc("text"), F.desc("rating"))
+    one = f.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    return global_rank(one, [rating_or(5).asc(), F.asc("review_id")])
 
 
 def alerts(new: DataFrame) -> DataFrame:
     """New 1-2 star reviews, flagged when unanswered."""
-    a = new.filter(is_critical()).withColumn("needs_reply", ~F.col("has_reply"))
+    a = new.filter(is_critical()).select("review_id", "store", "rating", "has_reply", (~F.col("has_reply")).alias("needs_reply"))
     order = [F.desc("needs_reply"), F.asc("rating"), F.asc("review_id"), F.asc("store")]
-    return global_rank(a, order).select("rank", "review_id", "store", "rating", "has_reply", "needs_reply")
+    return global_rank(a, order)
 
 
 # -------------------------------------------------------------------------- trends
 
-def _trend_aggregate(j2: DataFrame, stores: list[str], with_sentiment: bool = False) -> DataFrame:
-    """One row per snapshot date with per-store sums (bounded by the history)."""
-    aggs = []
-    for s in stores:
-        m = F.col("store") == s
-        aggs += [
-            count_if(m).alias(f"new|{s}"),
-            count_if(m & (F.col("rating") <= 2)).alias(f"critical|{s}"),
-            F.sum(F.when(m, F.col("rating"))).cast("long").alias(f"rsum|{s}"),
-            F.count(F.when(m, F.col("rating"))).alias(f"rated|{s}"),
-        ]
-        if with_sentiment:
-            aggs.append(count_if(m & (F.col("sentiment") == "Negative")).alias(f"negative|{s}"))
-    return j2.groupBy("snapshot_date").agg(*aggs)
+def weekly_grains(new: DataFrame, stores: list[str], dates: DataFrame | None = None) -> DataFrame:
+    """Sums per snapshot date and configured store, and per date over all rows (store NULL, is_all), zero filled.
+
+    One aggregate by date and store over the new rows of every week; all
+    trend tables follow from this small result.  ``dates`` lists the
+    snapshot dates, so that a week without new rows is a row of zeros; by
+    default the dates of ``new``.  Needs columns snapshot_date, store,
+    rating, and sentiment, has_reply where present.
+    """
+    has = set(new.columns)
+    sums = {
+        "new": F.count(F.lit(1)), "critical": count_if(F.col("rating") <= 2), "low": count_if(F.col("rating") == 3),
+        "good": count_if(F.col("rating") >= 4), "rsum": F.sum("rating"), "rated": F.count("rating"),
+        "positive": count_if(F.col("sentiment") == "Positive") if "sentiment" in has else F.lit(0),
+        "negative": count_if(F.col("sentiment") == "Negative") if "sentiment" in has else F.lit(0),
+        "without_reply": count_if(~F.col("has_reply")) if "has_reply" in has else F.lit(0),
+    }
+    got = new.groupBy("snapshot_date", "store").agg(*[c.alias(k) for k, c in sums.items()])
+    dates = (new if dates is None else dates).select("snapshot_date").distinct()
+    grid = dates.select("snapshot_date", F.explode(F.array(*map(F.lit, stores))).alias("store"))
+    zero = lambda df: df.withColumns({k: F.coalesce(k, F.lit(0)).cast("double" if k == "rsum" else "long") for k in sums})
+    by_store = zero(grid.join(got, ["snapshot_date", "store"], "left")).withColumn("is_all", F.lit(False))
+    overall = got.groupBy("snapshot_date").agg(*[F.sum(k).alias(k) for k in sums])
+    overall = zero(dates.join(overall, "snapshot_date", "left")).select(
+        "snapshot_date", F.lit(None).cast("string").alias("store"), *sums, F.lit(True).alias("is_all"))
+    return by_store.unionByName(overall)
+
+
+def _mean() -> Column:
+    return F.when(F.col("rated") > 0, F.col("rsum") / F.col("rated"))
+
+
+def narrow_new(snapshots: DataFrame, lexicon: Lexicon | DataFrame | None = None, scored: bool = False) -> DataFrame:
+    """New rows of every snapshot date (J2) with only what trends need: the text is scored first and never crosses the join."""
+    if scored:
+        rows = enrich_if_blank(snapshots, WEEKLY_CATEGORIES, lexicon).withColumn("has_reply", is_nonblank("owner_reply"))
+        return snapshot_new(rows.select("snapshot_date", "review_id", "store", "rating", "sentiment", "has_reply"))
+    return snapshot_new(snapshots.select("snapshot_date", "review_id", "store", "rating"))
+
+
+def trends_of(grains: DataFrame, min_dates: int = 2) -> DataFrame:
+    """Per snapshot date and store: new, critical, mean rating (A20); empty below ``min_dates`` dates."""
+    # one row per date and store: the unpartitioned windows are bounded
+    g = grains.filter(~F.col("is_all")).withColumn("_dates", F.size(F.collect_set("snapshot_date").over(Window.partitionBy())))
+    return g.filter(F.col("_dates") >= min_dates).select("snapshot_date", "store", "new", "critical", _mean().alias("avg_rating"))
 
 
 def snapshot_trends(snapshots: DataFrame, stores: list[str], min_dates: int = 2) -> DataFrame:
@@ -264,48 +299,33 @@ def snapshot_trends(snapshots: DataFrame, stores: list[str], min_dates: int = 2)
 
     Needs at least ``min_dates`` snapshots, otherwise empty.
     """
-    g = _trend_aggregate(snapshot_new(snapshots), stores)
-    # g has one row per snapshot date: the unpartitioned count is bounded
-    g = g.withColumn("_dates", F.count(F.lit(1)).over(Window.partitionBy())) \
-         .filter(F.col("_dates") >= min_dates)
-    long = stack_rows(g, ["snapshot_date"], [{
-        "store": F.lit(s),
-        "new": F.col(f"`new|{s}`"),
-        "critical": F.col(f"`critical|{s}`"),
-        "avg_rating": F.when(F.col(f"`rated|{s}`") > 0, F.col(f"`rsum|{s}`") / F.col(f"`rated|{s}`")),
-    } for s in stores])
-    return long
+    return trends_of(weekly_grains(narrow_new(snapshots), stores, snapshots), min_dates)
 
 
-def snapshot_trends_wide(snapshots: DataFrame, stores: list[str]) -> DataFrame:
-    """The trend table pivoted wide: new, critical and mean per store."""
-    long = snapshot_trends(snapshots, stores)
+def trends_wide(long: DataFrame, stores: list[str]) -> DataFrame:
     return long.groupBy("snapshot_date").pivot("store", stores).agg(
         F.first("new").alias("new"), F.first("critical").alias("critical"), F.first("avg_rating").alias("avg"))
 
 
-METRIC_POLARITY = {"new": True, "critical": False, "avg_rating": True, "pct_negative": False}
-
+def snapshot_trends_wide(snapshots: DataFrame, stores: list[str]) -> DataFrame:
+    """The trend table pivoted wide: new, critical and mean per store."""
+    return trends_wide(snapshot_trends(snapshots, stores), stores)
 
-def week_over_week(snapshots: DataFrame, stores: list[str], lexicon: Lexicon | None = None) -> DataFrame:
-    """Each weekly metric against the week before, per store.
 
-    direction is up / down / unchanged; is_good follows the metric's
-    polarity (a fall of critical or % negative is good).
-    """
-    j2 = enrich_if_blank(snapshot_new(snapshots), WEEKLY_CATEGORIES, lexicon)
-    g = _trend_aggregate(j2, stores, with_sentiment=True)
-    long = stack_rows(g, ["snapshot_date"], [{
-        "store": F.lit(s),
-        "new": F.col(f"`new|{s}`").cast("double"),
-        "critical": F.col(f"`critical|{s}`").cast("double"),
-        "avg_rating": F.when(F.col(f"`rated|{s}`") > 0, F.col(f"`rsum|{s}`") / F.col(f"`rated|{s}`")),
-        "pct_negative": pct(F.col(f"`negative|{s}`"), F.col(f"`new|{s}`")),
-    } for s in stores])
-    metrics = stack_rows(long, ["snapshot_date", "store"], [
-        {"metric": F.lit(m), "value": F.col(m), "higher_is_better": F.lit(hb)} for m, hb in METRIC_POLARITY.items()
-    ])
-    w = Window.partitionBy("store", "metric").orderBy("snapshot_date")
+#: Weekly metrics and whether more is better: the four per store, and the seven of the chain-wide cards.
+METRIC_POLARITY = {"new": True, "critical": False, "avg_rating": True, "pct_negative": False}
+OVERALL_POLARITY = {"new": True, "critical": False, "low": False, "good": True, "positive": True, "negative": False,
+                    "without_reply": False}
+
+
+def wow_of(grains: DataFrame) -> DataFrame:
+    """Each weekly metric against the week before, per store and overall (D1), from the weekly sums."""
+    g = grains.withColumn("avg_rating", _mean()).withColumn("pct_negative", pct(F.col("negative"), F.col("new")))
+    entry = lambda m, up: {"metric": F.lit(m), "value": F.col(m).cast("double"), "higher_is_better": F.lit(up)}
+    keep = ["snapshot_date", "store", "is_all"]
+    metrics = stack_rows(g.filter(~F.col("is_all")), keep, [entry(m, up) for m, up in METRIC_POLARITY.items()]).unionByName(
+        stack_rows(g.filter("is_all"), keep, [entry(m, up) for m, up in OVERALL_POLARITY.items()]))
+    w = Window.partitionBy("is_all", "store", "metric").orderBy("snapshot_date")
     x = metrics.withColumn("prev_value", F.lag("value").over(w))
     delta = F.col("value") - F.col("prev_value")
     return x.withColumn("delta", delta).withColumn(
@@ -316,20 +336,26 @@ def week_over_week(snapshots: DataFrame, stores: list[str], lexicon: Lexicon | N
         "is_good",
         F.when(F.col("delta").isNull() | (F.col("delta") == 0), F.lit(None).cast("boolean"))
          .otherwise((F.col("delta") > 0) == F.col("higher_is_better")),
-    ).select("snapshot_date", "store", "metric", "value", "prev_value", "delta", "direction", "is_good")
+    ).select("snapshot_date", "is_all", "store", "metric", "value", "prev_value", "delta", "direction", "is_good")
+
+
+def week_over_week(snapshots: DataFrame, stores: list[str], lexicon: Lexicon | DataFrame | None = None) -> DataFrame:
+    """Each weekly metric against the week before, per store and overall.
+
+    direction is up / down / unchanged; is_good follows the metric's
+    polarity (a fall of critical or % negative is good).
+    """
+    return wow_of(weekly_grains(narrow_new(snapshots, lexicon, scored=True), stores, snapshots))
+
+
+def cumulative_of(grains: DataFrame) -> DataFrame:
+    """Mean rating of each week's new reviews and the running mean over weeks (D2), from the weekly sums."""
+    w = Window.partitionBy("store").orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cs, cn = F.sum("rsum").over(w), F.sum("rated").over(w)
+    return grains.filter(~F.col("is_all")).select("snapshot_date", "store", _mean().alias("week_avg"),
+                                                  F.when(cn > 0, cs / cn).alias("cum_avg"))
 
 
 def cumulative_rating(snapshots: DataFrame, stores: list[str]) -> DataFrame:
     """Mean rating of each week's new reviews and the running mean over weeks."""
-    g = _trend_aggregate(snapshot_new(snapshots), stores)
-    long = stack_rows(g, ["snapshot_date"], [{
-        "store": F.lit(s), "rsum": F.col(f"`rsum|{s}`"), "rated": F.col(f"`rated|{s}`"),
-    } for s in stores])
-    w = Window.partitionBy("store").orderBy("snapshot_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cs = F.sum(F.coalesce(F.col("rsum"), F.lit(0))).over(w)
-    cn = F.sum("rated").over(w)
-    return long.select(
-        "snapshot_date", "store",
-        F.when(F.col("rated") > 0, F.col("rsum") / F.col("rated")).alias("week_avg"),
-        F.when(cn > 0, cs / cn).alias("cum_avg"),
-    )
+    return cumulative_of(weekly_grains(narrow_new(snapshots), stores, snapshots))

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions import text as txt
+from revlens.functions.sentiment import Lexicon, with_sentiment
 from revlens.operators import metrics, notable, trends, weekly, words
 from revlens.operators.enrich import enrich_if_blank
-from revlens.schema import (DEFAULT_AS_OF, TRUNC_CRITICAL, TRUNC_NOTABLE, TRUNC_PRINTED, TRUNC_REPLY,
+from revlens.schema import (DEFAULT_AS_OF, REPORT_SHEETS, TRUNC_CRITICAL, TRUNC_NOTABLE, TRUNC_PRINTED, TRUNC_REPLY,
                             WEEKLY_CATEGORIES)
 from revlens.session import fresh_path, materialize
 from revlens.sources import cards as cards_mod
@@ -86,9 +87,11 @@ def _enriched_flat(e: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sources and sinks
 
 def q_scan_reviews(i: Inputs) -> DataFrame:
+    """Files that hold one JSON array each, of up to 1,000 reviews."""
     path = fresh_path(i.spark, "raw-reviews-json")
-    i.reviews.write.mode("overwrite").json(path)
-    return io.read_reviews_json(i.spark, path, multiline=False).select(*REVIEW_COLUMNS)
+    rows = i.reviews.select(F.floor(F.col("review_id").cast("long") / 1000).alias("file"), F.struct(*REVIEW_COLUMNS).alias("r"))
+    rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file").text(path)
+    return io.read_reviews_json(i.spark, path).select(*REVIEW_COLUMNS)
 
 
 def q_write_reviews(i: Inputs) -> DataFrame:
@@ -117,27 +120,17 @@ def q_latest_snapshot(i: Inputs) -> DataFrame:
     return rows.select("snapshot_date", "review_id", "store", "rating")
 
 
-# One result table per sheet of the two reports (name -> registered query).
-REPORT_SHEETS = {
-    "dashboard": "store_comparison", "all_reviews": "all_reviews", "ratings": "rating_distribution",
-    "sentiment": "sentiment_stats", "categories": "category_metrics", "trends": "monthly_detail",
-    "notable_reviews": "notable_critical", "top_words": "top_words",
-    "weekly_summary": "weekly_overall", "all_new_reviews": "triage_list", "critical_reviews": "flagged_reviews",
-    "weekly_trends": "snapshot_trends_wide",
-}
-
-
 def q_write_report(i: Inputs) -> DataFrame:
-    """Write every sheet's result table under report=<name>/ and read back the row counts (SNK3)."""
+    """Write every table of every sheet under report=<name>/ and read back the row counts (SNK3)."""
     path = fresh_path(i.spark, "report")
     # enrich once and diff once: every sheet reads these materialised tables
     # (lineage cut in the shared folder, so a lost executor re-reads files)
     shared = Inputs(i.spark, i.sf_dir, i.as_of, enriched=materialize(i.enriched, "report-enriched"),
                     snapshots=i.snapshots, new=materialize(i.new, "report-new"))
-    results = {sheet: QUERIES[query](shared) for sheet, query in REPORT_SHEETS.items()}
-    io.write_report(results, path)
+    names = [(sheet, name) for sheet, queries in REPORT_SHEETS.items() for name in queries]
+    io.write_report({name: QUERIES[name](shared) for _, name in names}, path)
     parts = [io.read_report(i.spark, path, name).agg(F.count(F.lit(1)).alias("rows"))
-             .select(F.lit(name).alias("report"), "rows") for name in results]
+             .select(F.lit(sheet).alias("report"), F.lit(name).alias("result"), "rows") for sheet, name in names]
     return cards_mod.union_sources(parts)
 
 
@@ -152,7 +145,7 @@ def q_dedup_reviews(i: Inputs) -> DataFrame:
 
 
 def q_newest_per_store(i: Inputs) -> DataFrame:
-    return cards_mod.newest_per_store(i.cards).select("store", "rank", "review_id", "ord")
+    return cards_mod.newest_per_store(i.cards, 50).select("store", "rank", "review_id", "ord")
 
 
 def q_union_sources(i: Inputs) -> DataFrame:
@@ -205,6 +198,14 @@ def q_sentiment_score(i: Inputs) -> DataFrame:
     return i.enriched.select("review_id", "sent_sum", "sent_hits", "sent_score", "score_e4")
 
 
+def q_sentiment_score_join(i: Inputs) -> DataFrame:
+    """The join strategy over rows whose ids are blank, missing or repeated."""
+    n = F.col("review_id").cast("long")
+    rows = i.reviews.withColumn("review_id", F.when(n % 7 == 0, "").when(n % 11 != 0, (n % 50).cast("string")))
+    lexicon = Lexicon.default().to_dataframe(i.spark)
+    return with_sentiment(rows, lexicon=lexicon).select("review_id", "sent_sum", "sent_hits", "sent_score", "score_e4", "sentiment")
+
+
 def q_sentiment_label(i: Inputs) -> DataFrame:
     return i.enriched.select("review_id", "sentiment")
 
@@ -280,8 +281,8 @@ def q_week_over_week(i): return weekly.week_over_week(i.snapshots, i.stores)
 def q_cumulative_rating(i): return weekly.cumulative_rating(i.snapshots, i.stores)
 
 
-def q_weekly_run(i: Inputs) -> DataFrame:
-    """Feed each snapshot date in order through the incremental weekly step."""
+def _weekly_runs(i: Inputs) -> str | None:
+    """Feed each snapshot date in order through the incremental weekly step; the history's path, None with a baseline only."""
     snap_path = fresh_path(i.spark, "weekly-snapshots")
     hist_path = fresh_path(i.spark, "weekly-history")
     # the arriving snapshots land once, one partition per run date; each run
@@ -292,14 +293,40 @@ def q_weekly_run(i: Inputs) -> DataFrame:
     # one row per weekly run date: a bounded list
     dates = sorted(r["snapshot_date"] for r in arrived.select("snapshot_date").distinct().collect())
     for d in dates:
-        rows = weekly.snapshot_at(arrived, d).drop("snapshot_date")
-        run_week(rows, d, snap_path, hist_path)
-    if len(dates) < 2:
-        # baseline only: no history rows, same columns as the history table
-        empty = weekly.weekly_overall(arrived.limit(0).withColumn("has_reply", F.lit(False)))
-        return empty.select(F.lit(None).cast("date").alias("as_of"), F.lit(None).cast("date").alias("prev_date"),
-                            "*").limit(0)
-    return read_history(i.spark, hist_path)
+        run_week(weekly.snapshot_at(arrived, d).drop("snapshot_date"), d, snap_path, hist_path)
+    return hist_path if len(dates) > 1 else None
+
+
+def _run_key() -> list:
+    return [F.lit(None).cast("date").alias("as_of"), F.lit(None).cast("date").alias("prev_date")]
+
+
+def q_weekly_run(i: Inputs) -> DataFrame:
+    """The overall row of every weekly run."""
+    path = _weekly_runs(i)
+    if path is None:  # no history rows, same columns as the history table
+        return weekly.weekly_overall(i.new).select(*_run_key(), "*").limit(0)
+    return read_history(i.spark, path)
+
+
+RUN_COLUMNS = ["review_id", "store", "rating", "sentiment", "sent_score", "categories", "has_reply"]
+
+
+def q_weekly_run_new_rows(i: Inputs) -> DataFrame:
+    """The stored new rows of every weekly run."""
+    path = _weekly_runs(i)
+    if path is None:
+        return i.new.select(*_run_key(), *RUN_COLUMNS).limit(0)
+    return read_history(i.spark, path, "new_reviews").select("as_of", "prev_date", *RUN_COLUMNS)
+
+
+def q_weekly_run_by_store(i: Inputs) -> DataFrame:
+    """The stored sums by store of every weekly run."""
+    columns = ["store", "total", "critical", "avg_rating", "positive", "negative"]
+    path = _weekly_runs(i)
+    if path is None:
+        return weekly.weekly_by_store(i.new, i.store_dim).select(*_run_key(), *columns).limit(0)
+    return read_history(i.spark, path, "by_store").select("as_of", "prev_date", *columns)
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {

@@ -8,9 +8,10 @@ dictionaries (parameters) are shared with the Spark side.
 
 from __future__ import annotations
 
-from revlens.schema import (ANALYSIS_CATEGORIES, DEFAULT_AS_OF, SNAPSHOT_CAP, STOPWORDS, TEST_LEXICON,
+from revlens.schema import (ANALYSIS_CATEGORIES, DEFAULT_AS_OF, REPORT_SHEETS, SNAPSHOT_CAP, STOPWORDS, TEST_LEXICON,
                             WEEKLY_CATEGORIES)
-from revlens.sources.fixtures import DATE_PHRASES, SNAPSHOT_PLAN, TEXT_PREFIXES, REPLY_TEXT, store_names
+from revlens.sources.fixtures import (DATE_PHRASES, FILLED_CATEGORY, LONG_REPLY, OTHER_STORE, REPLY_TEXT, SNAPSHOT_PLAN,
+                                      TEXT_PREFIXES, store_names)
 
 AS_OF = f"DATE '{DEFAULT_AS_OF.isoformat()}'"
 NB = r"'[^\s\p{Z}]'"
@@ -65,20 +66,26 @@ snap_cond = " OR ".join(
 PRELUDE = f"""
 reviews AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS review_id,
-    'store_' || CAST(d.doc_id % 5 AS VARCHAR) AS store,
+    'store_' || CAST((d.doc_id // 5) % 5 AS VARCHAR) AS store,
     'author_' || CAST(d.doc_id % 97 AS VARCHAR) AS author,
-    CAST(CASE WHEN d.doc_id % 23 = 0 THEN NULL WHEN l.toxic = 1 THEN 1 + d.doc_id % 2
+    CAST(CASE WHEN d.doc_id % 23 = 0 THEN NULL WHEN d.doc_id % 41 = 0 THEN 0 WHEN d.doc_id % 43 = 0 THEN 4.5 WHEN l.toxic = 1 THEN 1 + d.doc_id % 2
          WHEN l.quality = 0 THEN 2 + d.doc_id % 2 WHEN d.doc_id % 10 < 6 THEN 5
-         WHEN d.doc_id % 10 = 6 THEN 4 WHEN d.doc_id % 10 = 7 THEN 3 WHEN d.doc_id % 10 = 8 THEN 2 ELSE 1 END AS INTEGER) AS rating,
+         WHEN d.doc_id % 10 = 6 THEN 4 WHEN d.doc_id % 10 = 7 THEN 3 WHEN d.doc_id % 10 = 8 THEN 2 ELSE 1 END AS DOUBLE) AS rating,
     {_case_pick('d.doc_id % 16', DATE_PHRASES)} AS date_raw,
     CASE WHEN d.doc_id % 13 = 0 THEN '' WHEN d.doc_id % 29 = 0 THEN '   '
          ELSE concat({_case_pick('d.doc_id % 9', TEXT_PREFIXES)}, d.text) END AS text,
-    CAST((d.doc_id * 7919) % 41 AS INTEGER) AS likes,
-    CASE WHEN d.doc_id % 3 = 0 THEN {q(REPLY_TEXT)} WHEN d.doc_id % 31 = 0 THEN '  ' ELSE '' END AS owner_reply
+    CAST(CASE WHEN d.doc_id % 47 <> 0 THEN (d.doc_id * 7919) % 41 END AS INTEGER) AS likes,
+    CASE WHEN d.doc_id % 33 = 0 THEN {q(LONG_REPLY)} WHEN d.doc_id % 3 = 0 THEN {q(REPLY_TEXT)} WHEN d.doc_id % 31 = 0 THEN '  ' ELSE '' END AS owner_reply
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ),
+snapshots0 AS (
+  SELECT s.snapshot_date, r.*, r.review_id AS rid, CAST(r.review_id AS BIGINT) % 53 = 0 AS filled
+  FROM reviews r JOIN ({snap_union}) s ON {snap_cond}
+),
 snapshots AS (
-  SELECT s.snapshot_date, r.* FROM reviews r JOIN ({snap_union}) s ON {snap_cond}
+  SELECT * REPLACE (CASE WHEN CAST(rid AS BIGINT) % 61 = 0 THEN '' ELSE review_id END AS review_id) FROM (
+    SELECT * FROM snapshots0 UNION ALL
+    SELECT * REPLACE ({q(OTHER_STORE)} AS store) FROM snapshots0 WHERE CAST(rid AS BIGINT) % 59 = 0)
 ),
 stores AS (
   SELECT * FROM {_values([(f"store_{k}", 50 + 60 * k) for k in range(6)], 'store, expected')}
@@ -156,7 +163,7 @@ labeled AS (
   FROM reviews r JOIN sentf f ON r.review_id = f.review_id
 ),
 enriched AS (
-  SELECT r.review_id, r.store, r.author, r.rating, r.date_raw, r.text, r.likes, r.owner_reply,
+  SELECT r.review_id, r.store, r.author, r.rating, r.date_raw, r.text, coalesce(r.likes, 0) AS likes, r.owner_reply,
     d.review_date,
     CAST(date_trunc('month', d.review_date) AS DATE) AS month,
     strftime(d.review_date, '%Y-%m') AS month_year,
@@ -184,10 +191,11 @@ newr AS (
                     AND coalesce(p.review_id, '') = coalesce(c.review_id, ''))
 ),
 newe AS (
-  SELECT n.snapshot_date, n.review_id, n.store, n.author, n.rating, n.date_raw, n.text, n.likes, n.owner_reply,
-    lb.sentiment, lb.sent_score, coalesce(w.categories, 'General') AS categories,
+  SELECT n.snapshot_date, n.review_id, n.store, n.author, n.rating, n.date_raw, n.text, n.likes, n.owner_reply, n.rid, n.filled,
+    CASE WHEN n.filled THEN 'Positive' ELSE lb.sentiment END AS sentiment, CASE WHEN n.filled THEN 0.5 ELSE lb.sent_score END AS sent_score,
+    CASE WHEN n.filled THEN {q(FILLED_CATEGORY)} ELSE coalesce(w.categories, 'General') END AS categories,
     {nonblank('n.owner_reply')} AS has_reply
-  FROM newr n JOIN labeled lb ON n.review_id = lb.review_id LEFT JOIN wcats w ON n.review_id = w.review_id
+  FROM newr n JOIN labeled lb ON n.rid = lb.review_id LEFT JOIN wcats w ON n.rid = w.review_id
 ),
 sdates AS (SELECT DISTINCT snapshot_date FROM snapshots),
 sprev AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS prev_date FROM sdates),
@@ -199,9 +207,10 @@ j2 AS (
 cstore AS (SELECT store FROM stores),
 rc AS (
   SELECT CAST(review_id AS BIGINT) AS doc, store, CAST(review_id AS BIGINT) * 2 AS ord,
-    CASE WHEN CAST(review_id AS BIGINT) % 37 = 0 THEN '' ELSE review_id END AS review_id,
+    CASE WHEN CAST(review_id AS BIGINT) % 37 = 0 THEN '' WHEN CAST(review_id AS BIGINT) % 101 = 0
+      THEN 'shared_' || CAST(CAST(review_id AS BIGINT) % 3 AS VARCHAR) ELSE review_id END AS review_id,
     CASE WHEN CAST(review_id AS BIGINT) % 11 = 0 THEN [' ', ''] ELSE ['  ', author] END AS author_cands,
-    CASE WHEN rating IS NULL THEN ['no digits'] ELSE ['', 'Rated ' || CAST(rating AS VARCHAR) || '.5 stars'] END AS rating_cands,
+    CASE WHEN rating IS NULL THEN ['no digits'] ELSE ['', 'Rated ' || CAST(CAST(floor(rating) AS BIGINT) AS VARCHAR) || '.5 stars'] END AS rating_cands,
     [chr(9), text] AS text_cands,
     [date_raw, 'ignored later'] AS date_cands,
     CASE WHEN CAST(review_id AS BIGINT) % 19 = 0 THEN printf('%d,%03d', likes, likes) ELSE CAST(likes AS VARCHAR) END AS likes_raw,
@@ -259,8 +268,8 @@ SQL: dict[str, str] = {}
 
 # ----------------------------------------------------------------- sources / sinks
 REVIEW_COLS = "review_id, store, author, rating, date_raw, text, likes, owner_reply"
-SQL["scan_reviews"] = f"SELECT {REVIEW_COLS} FROM reviews"
-SQL["write_reviews"] = SQL["scan_reviews"]
+SQL["scan_reviews"] = f"SELECT {REVIEW_COLS.replace('likes', 'coalesce(likes, 0) AS likes')} FROM reviews"
+SQL["write_reviews"] = f"SELECT {REVIEW_COLS} FROM reviews"
 SQL["all_snapshots"] = "SELECT snapshot_date, review_id, store, rating, date_raw FROM snapshots"
 SQL["write_snapshot"] = ("SELECT snapshot_date, count(*) AS rows, count(DISTINCT review_id) AS ids "
                          "FROM snapshots GROUP BY snapshot_date")
@@ -271,14 +280,14 @@ SQL["normalize_cards"] = ("SELECT store, review_id, ord, author, rating, date_ra
 SQL["dedup_reviews"] = ("SELECT store, coalesce(review_id, '') AS review_id, min(ord) AS ord FROM raw_cards "
                         "GROUP BY store, coalesce(review_id, '')")
 SQL["newest_per_store"] = (f"SELECT * FROM (SELECT store, {_rank('ord, review_id', 'store')} AS rank, review_id, ord "
-                           f"FROM cards) WHERE rank <= {SNAPSHOT_CAP}")
+                           "FROM cards) WHERE rank <= 50")
 SQL["union_sources"] = ("SELECT 'reviews' AS source, review_id, store, rating, CAST(NULL AS BIGINT) AS ord, "
                         "CAST(NULL AS BOOLEAN) AS has_text FROM reviews UNION ALL "
                         "SELECT 'cards', review_id, store, rating, ord, has_text FROM cards")
 SQL["cross_store_duplicates"] = (
     "SELECT review_id, count(*) AS n_stores, CAST(sum(n) AS BIGINT) AS n_rows, min(store) AS first_store, "
     "max(store) AS last_store FROM (SELECT coalesce(review_id, '') AS review_id, store, count(*) AS n "
-    "FROM raw_cards GROUP BY 1, 2) GROUP BY review_id HAVING count(*) > 1")
+    "FROM raw_cards WHERE coalesce(review_id, '') <> '' GROUP BY 1, 2) GROUP BY review_id HAVING count(*) > 1")
 SQL["collection_summary"] = ("SELECT store, count(*) AS collected, " + cnt_if("has_text") + " AS with_text, "
                              + cnt_if("NOT has_text") + " AS stars_only FROM cards GROUP BY store")
 SQL["capture_rate"] = (
@@ -299,9 +308,15 @@ SQL["parse_relative_date"] = "SELECT review_id, date_raw, review_date, month_yea
 SQL["categorize"] = "SELECT review_id, categories FROM enriched"
 SQL["sentiment_score"] = "SELECT review_id, sent_sum, sent_hits, sent_score, score_e4 FROM enriched"
 SQL["sentiment_label"] = "SELECT review_id, sentiment FROM enriched"
-SQL["enrich"] = ("SELECT s.snapshot_date, s.review_id, lb.sentiment, lb.sent_score, coalesce(w.categories, 'General') "
-                 "AS categories FROM snapshots s JOIN labeled lb ON s.review_id = lb.review_id "
-                 "LEFT JOIN wcats w ON s.review_id = w.review_id")
+SQL["enrich"] = ("SELECT s.snapshot_date, s.review_id, CASE WHEN filled THEN 'Positive' ELSE lb.sentiment END AS sentiment, "
+                 "CASE WHEN filled THEN 0.5 ELSE lb.sent_score END AS sent_score, "
+                 f"CASE WHEN filled THEN {q(FILLED_CATEGORY)} ELSE coalesce(w.categories, 'General') END "
+                 "AS categories FROM snapshots s JOIN labeled lb ON s.rid = lb.review_id "
+                 "LEFT JOIN wcats w ON s.rid = w.review_id")
+# the same scores whatever the ids are: blank, missing and repeated ones
+SQL["sentiment_score_join"] = (
+    "SELECT CASE WHEN CAST(review_id AS BIGINT) % 7 = 0 THEN '' WHEN CAST(review_id AS BIGINT) % 11 = 0 THEN NULL "
+    "ELSE CAST(CAST(review_id AS BIGINT) % 50 AS VARCHAR) END AS review_id, sent_sum, sent_hits, sent_score, score_e4, sentiment FROM enriched")
 SQL["truncate_text"] = ("SELECT review_id, substring(text, 1, 500) AS text_500, substring(text, 1, 600) AS text_600, "
                         "substring(text, 1, 180) AS text_180, CASE WHEN length(owner_reply) > 250 THEN "
                         "substring(owner_reply, 1, 250) || '...' ELSE owner_reply END AS reply_250 FROM reviews")
@@ -424,11 +439,13 @@ SQL["weekly_star_dist"] = (
 SQL["weekly_topics"] = (
     f"SELECT category, cnt, {pct('cnt', '(SELECT count(*) FROM newe)')} AS pct, {_rank('cnt DESC, category')} AS rank "
     "FROM (SELECT category, count(*) AS cnt FROM ("
-    "SELECT h.category FROM newe n JOIN wcathit h ON n.review_id = h.review_id "
-    "UNION ALL SELECT 'General' FROM newe n WHERE NOT EXISTS (SELECT 1 FROM wcathit h WHERE h.review_id = n.review_id)"
+    "SELECT h.category FROM newe n JOIN wcathit h ON n.rid = h.review_id WHERE NOT n.filled "
+    f"UNION ALL SELECT {q(FILLED_CATEGORY)} FROM newe WHERE filled "
+    "UNION ALL SELECT 'General' FROM newe n WHERE NOT n.filled AND NOT EXISTS (SELECT 1 FROM wcathit h WHERE h.review_id = n.rid)"
     ") GROUP BY category)")
 
 _r_or3 = "coalesce(CASE WHEN rating <> 0 THEN rating END, 3)"
+_sent = "CASE WHEN j.filled THEN 'Positive' ELSE lb.sentiment END"
 _r_or5 = "coalesce(CASE WHEN rating <> 0 THEN rating END, 5)"
 _list_cols = "rank, review_id, store, rating, sentiment, substring(text, 1, {n}) AS text, date_raw, author, categories, has_reply"
 _triage = f"(coalesce(sentiment, '') <> 'Negative') ASC, {_r_or3} DESC, review_id, store"
@@ -442,18 +459,23 @@ SQL["unanswered"] = f"SELECT review_id, store, rating, sentiment, has_reply FROM
 SQL["flagged_reviews"] = (
     f"SELECT {_list_cols.format(n=600)} FROM (SELECT *, {_rank(_r_or5 + ', review_id')} AS rank FROM ("
     f"SELECT * FROM newe WHERE {_r_or5} <= 2 OR {_unans} "
-    "QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY store) = 1))")
+    "QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY store DESC) = 1))")
 SQL["alerts"] = (
     f"SELECT rank, review_id, store, rating, has_reply, needs_reply FROM (SELECT *, NOT has_reply AS needs_reply, "
     f"{_rank('(NOT has_reply) DESC, rating, review_id, store')} AS rank FROM newe WHERE {_r_or5} <= 2)")
+_sums = (
+    "count(j.rid) AS new, count(j.rid) FILTER (WHERE j.rating <= 2) AS critical, "
+    "count(j.rid) FILTER (WHERE j.rating = 3) AS low, count(j.rid) FILTER (WHERE j.rating >= 4) AS good, "
+    f"sum(j.rating) AS rsum, count(j.rating) AS rated, count(j.rid) FILTER (WHERE {_sent} = 'Positive') AS positive, "
+    f"count(j.rid) FILTER (WHERE {_sent} = 'Negative') AS negative, "
+    f"count(j.rid) FILTER (WHERE NOT {nonblank('j.owner_reply')}) AS without_reply ")
 _trend_grid = (
-    "SELECT d.snapshot_date, s.store, count(j.review_id) AS new, "
-    "count(j.review_id) FILTER (WHERE j.rating <= 2) AS critical, "
-    "CAST(sum(j.rating) AS BIGINT) AS rsum, count(j.rating) AS rated, "
-    "count(j.review_id) FILTER (WHERE lb.sentiment = 'Negative') AS negative "
+    f"SELECT d.snapshot_date, s.store, {_sums}"
     "FROM sdates d CROSS JOIN cstore s LEFT JOIN j2 j ON j.snapshot_date = d.snapshot_date AND j.store = s.store "
-    "LEFT JOIN labeled lb ON lb.review_id = j.review_id "
-    "GROUP BY d.snapshot_date, s.store")
+    "LEFT JOIN labeled lb ON lb.review_id = j.rid GROUP BY d.snapshot_date, s.store")
+_trend_all = (
+    f"SELECT d.snapshot_date, {_sums} FROM sdates d LEFT JOIN j2 j ON j.snapshot_date = d.snapshot_date "
+    "LEFT JOIN labeled lb ON lb.review_id = j.rid GROUP BY d.snapshot_date")
 SQL["snapshot_trends"] = (
     f"SELECT snapshot_date, store, new, critical, CASE WHEN rated > 0 THEN rsum / rated END AS avg_rating "
     f"FROM ({_trend_grid}) WHERE (SELECT count(*) FROM sdates) >= 2")
@@ -463,47 +485,55 @@ SQL["snapshot_trends_wide"] = (
         f"max(CASE WHEN rated > 0 THEN rsum / rated END) FILTER (WHERE store = {q(s)}) AS {s}_avg" for s in STORES)
     + f" FROM ({_trend_grid}) WHERE (SELECT count(*) FROM sdates) >= 2 GROUP BY snapshot_date")
 _wow_long = (
-    "SELECT snapshot_date, store, m.metric, m.higher, CASE m.metric WHEN 'new' THEN CAST(new AS DOUBLE) "
+    "SELECT snapshot_date, false AS is_all, store, m.metric, m.higher, CASE m.metric WHEN 'new' THEN CAST(new AS DOUBLE) "
     "WHEN 'critical' THEN CAST(critical AS DOUBLE) WHEN 'avg_rating' THEN CASE WHEN rated > 0 THEN rsum / rated END "
     f"ELSE {pct('negative', 'new')} END AS value "
     f"FROM ({_trend_grid}) CROSS JOIN (VALUES ('new', true), ('critical', false), ('avg_rating', true), "
-    "('pct_negative', false)) m(metric, higher)")
+    "('pct_negative', false)) m(metric, higher) UNION ALL "
+    "SELECT snapshot_date, true, NULL, m.metric, m.higher, CAST(CASE m.metric WHEN 'new' THEN new WHEN 'critical' THEN critical "
+    "WHEN 'low' THEN low WHEN 'good' THEN good WHEN 'positive' THEN positive WHEN 'negative' THEN negative ELSE without_reply END AS DOUBLE) "
+    f"FROM ({_trend_all}) CROSS JOIN (VALUES ('new', true), ('critical', false), ('low', false), ('good', true), ('positive', true), "
+    "('negative', false), ('without_reply', false)) m(metric, higher)")
 SQL["week_over_week"] = (
-    "SELECT snapshot_date, store, metric, value, prev_value, value - prev_value AS delta, "
+    "SELECT snapshot_date, is_all, store, metric, value, prev_value, value - prev_value AS delta, "
     "CASE WHEN value - prev_value IS NULL THEN NULL WHEN value - prev_value > 0 THEN 'up' "
     "WHEN value - prev_value < 0 THEN 'down' ELSE 'unchanged' END AS direction, "
     "CASE WHEN value - prev_value IS NULL OR value - prev_value = 0 THEN NULL ELSE (value - prev_value > 0) = higher END AS is_good "
-    f"FROM (SELECT *, lag(value) OVER (PARTITION BY store, metric ORDER BY snapshot_date) AS prev_value FROM ({_wow_long}))")
+    f"FROM (SELECT *, lag(value) OVER (PARTITION BY is_all, store, metric ORDER BY snapshot_date) AS prev_value FROM ({_wow_long}))")
 SQL["cumulative_rating"] = (
     "SELECT snapshot_date, store, CASE WHEN rated > 0 THEN rsum / rated END AS week_avg, "
     "CASE WHEN sum(rated) OVER w > 0 THEN sum(coalesce(rsum, 0)) OVER w / sum(rated) OVER w END AS cum_avg "
     f"FROM ({_trend_grid}) WINDOW w AS (PARTITION BY store ORDER BY snapshot_date "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+_run_rows = (
+    "SELECT c.*, p.prev_date, CASE WHEN c.filled THEN 'Positive' ELSE lb.sentiment END AS sentiment, "
+    "CASE WHEN c.filled THEN 0.5 ELSE lb.sent_score END AS sent_score, "
+    f"CASE WHEN c.filled THEN {q(FILLED_CATEGORY)} ELSE coalesce(w.categories, 'General') END AS categories "
+    "FROM snapshots c JOIN sprev p ON c.snapshot_date = p.snapshot_date "
+    "JOIN labeled lb ON lb.review_id = c.rid LEFT JOIN wcats w ON w.review_id = c.rid WHERE p.prev_date IS NOT NULL AND NOT EXISTS ("
+    "SELECT 1 FROM snapshots x WHERE x.snapshot_date = p.prev_date AND coalesce(x.review_id, '') = coalesce(c.review_id, ''))")
 SQL["weekly_run"] = (
-    "SELECT c.snapshot_date AS as_of, p.prev_date, count(*) AS total, "
+    "SELECT snapshot_date AS as_of, prev_date, count(*) AS total, "
     + ", ".join(f"count(*) FILTER (WHERE {cond}) AS {name}" for name, cond in [
-        ("critical", "c.rating <= 2"), ("low", "c.rating = 3"), ("good", "c.rating >= 4"),
-        ("positive", "lb.sentiment = 'Positive'"), ("negative", "lb.sentiment = 'Negative'"),
-        ("neutral", "lb.sentiment = 'Neutral'"), ("no_text", "lb.sentiment = 'No Text'"),
-        ("with_reply", nonblank('c.owner_reply')), ("without_reply", "NOT " + nonblank('c.owner_reply'))])
-    + ", avg(c.rating) AS avg_rating FROM snapshots c JOIN sprev p ON c.snapshot_date = p.snapshot_date "
-    "JOIN labeled lb ON lb.review_id = c.review_id WHERE p.prev_date IS NOT NULL AND NOT EXISTS ("
-    "SELECT 1 FROM snapshots x WHERE x.snapshot_date = p.prev_date AND coalesce(x.review_id, '') = coalesce(c.review_id, '')) "
-    "GROUP BY c.snapshot_date, p.prev_date")
+        ("critical", "rating <= 2"), ("low", "rating = 3"), ("good", "rating >= 4"),
+        ("positive", "sentiment = 'Positive'"), ("negative", "sentiment = 'Negative'"),
+        ("neutral", "sentiment = 'Neutral'"), ("no_text", "sentiment = 'No Text'"),
+        ("with_reply", nonblank('owner_reply')), ("without_reply", "NOT " + nonblank('owner_reply'))])
+    + f", avg(rating) AS avg_rating FROM ({_run_rows}) GROUP BY snapshot_date, prev_date")
+SQL["weekly_run_new_rows"] = (
+    "SELECT snapshot_date AS as_of, prev_date, review_id, store, rating, sentiment, sent_score, categories, "
+    f"{nonblank('owner_reply')} AS has_reply FROM ({_run_rows})")
+SQL["weekly_run_by_store"] = (
+    "SELECT snapshot_date AS as_of, prev_date, store, count(*) AS total, count(*) FILTER (WHERE rating <= 2) AS critical, "
+    "avg(rating) AS avg_rating, count(*) FILTER (WHERE sentiment = 'Positive') AS positive, "
+    f"count(*) FILTER (WHERE sentiment = 'Negative') AS negative FROM ({_run_rows}) GROUP BY snapshot_date, prev_date, store")
 SQL["star_bar"] = (
     "SELECT stars, repeat('★', stars) AS star_label, cnt, pct, repeat('█', CAST(floor(pct / 5) AS INTEGER)) AS bar, "
     "repeat('█', CAST(floor(pct / 4) AS INTEGER)) AS bar_print FROM ("
     + SQL["rating_distribution"] + ") WHERE is_all")
-# report sheets (kept equal to catalog.REPORT_SHEETS)
-REPORT_SHEETS = {
-    "dashboard": "store_comparison", "all_reviews": "all_reviews", "ratings": "rating_distribution",
-    "sentiment": "sentiment_stats", "categories": "category_metrics", "trends": "monthly_detail",
-    "notable_reviews": "notable_critical", "top_words": "top_words",
-    "weekly_summary": "weekly_overall", "all_new_reviews": "triage_list", "critical_reviews": "flagged_reviews",
-    "weekly_trends": "snapshot_trends_wide",
-}
 SQL["write_report"] = " UNION ALL ".join(
-    f"SELECT {q(sheet)} AS report, count(*) AS rows FROM ({SQL[query]})" for sheet, query in REPORT_SHEETS.items())
+    f"SELECT {q(sheet)} AS report, {q(name)} AS result, count(*) AS rows FROM ({SQL[name]})"
+    for sheet, names in REPORT_SHEETS.items() for name in names)
 
 # token table for the word counts (only used by top_words)
 _TW = (f"tw AS (SELECT e.store, e.sentiment, t.w AS word FROM enriched e, "

@@ -110,6 +110,30 @@ TEST_LEXICON: list[tuple[str, int, int, str]] = [
     ("very", 0, 13000, "intensifier"),
 ]
 
+# A general lexicon for customer reviews, ours: words by polarity in ten-thousandths.
+_GENERAL_WORDS: dict[int, str] = {
+    9000: "excellent outstanding perfect superb wonderful fantastic amazing awesome",
+    8000: "great love loved brilliant delighted impressive beautiful",
+    7000: "good best fair enjoyed enjoy happy pleased glad recommend recommended reliable",
+    6000: "nice satisfied helpful lovely comfortable smooth",
+    5000: "friendly polite courteous kind caring professional efficient quick fast prompt easy convenient welcoming patient knowledgeable honest genuine generous",
+    4000: "clean fresh tidy organized spacious neat affordable cheap cheaper reasonable worth valuable useful safe fine",
+    3000: "decent okay ok satisfactory lucky free responsive attentive thanks thank",
+    -9000: "terrible horrible awful worst disgusting appalling dreadful",
+    -8000: "worthless scam fraud cheated useless pathetic hate hated idiot stupid",
+    -7000: "bad disappointing disappointed disappointment unacceptable unprofessional poor cheating",
+    -6000: "rude ignored angry upset frustrated frustrating annoying annoyed dirty filthy broken defective damaged faulty",
+    -5000: "wrong fake misleading refuse refused unhelpful careless arrogant dishonest lie lied lying overpriced expensive waste wasted",
+    -4000: "missing lost expired delayed delay delays problem problems issue issues complaint complaints fail failed failure crash crashed error",
+    -3000: "late slow waiting crowded noisy confusing difficult hard unclear lacking limited unavailable cancelled canceled",
+}
+GENERAL_LEXICON: list[tuple[str, int, int, str]] = [
+    *[(w, p, 0, "scored") for p, words in _GENERAL_WORDS.items() for w in words.split()],
+    *[(w, 0, 0, "negation") for w in "not no never don't doesn't didn't isn't wasn't aren't won't can't cannot hardly without".split()],
+    *[(w, 0, m, "intensifier") for m, words in ((13000, "very really so extremely highly absolutely totally"), (7000, "quite rather somewhat slightly"))
+      for w in words.split()],
+]
+
 SENTIMENT_TOKEN_PATTERN = "[a-z']+"
 
 # --------------------------------------------------------------------------
@@ -119,7 +143,7 @@ RAW_REVIEW_SCHEMA = T.StructType([
     T.StructField("review_id", T.StringType()),
     T.StructField("store", T.StringType()),
     T.StructField("author", T.StringType()),
-    # kept as text on read: the coercion to INT is an operator
+    # kept as text on read: the coercion to a number is an operator
     T.StructField("rating", T.StringType()),
     T.StructField("date_raw", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -135,21 +159,25 @@ SNAPSHOT_EXTRA_FIELDS = [
     T.StructField("categories", T.StringType()),
 ]
 
-RAW_CARD_SCHEMA = T.StructType([
-    T.StructField("store", T.StringType()),
-    T.StructField("ord", T.LongType()),
-    T.StructField("review_id", T.StringType()),
-    T.StructField("author_cands", T.ArrayType(T.StringType())),
-    T.StructField("rating_cands", T.ArrayType(T.StringType())),
-    T.StructField("text_cands", T.ArrayType(T.StringType())),
-    T.StructField("date_cands", T.ArrayType(T.StringType())),
-    T.StructField("likes_raw", T.StringType()),
-    T.StructField("reply_raw", T.StringType()),
-])
-
 LEXICON_SCHEMA = T.StructType([
     T.StructField("word", T.StringType()),
     T.StructField("polarity", T.IntegerType()),
     T.StructField("intensity", T.IntegerType()),
     T.StructField("role", T.StringType()),
 ])
+
+# The result tables of each report sheet, by the names of their queries.
+REPORT_SHEETS: dict[str, list[str]] = {
+    "dashboard": ["dataset_totals", "store_kpis", "store_comparison"],
+    "all_reviews": ["all_reviews"],
+    "ratings": ["rating_distribution", "rating_matrix"],
+    "sentiment": ["sentiment_stats", "sentiment_share"],
+    "categories": ["category_totals", "category_metrics"],
+    "trends": ["yearly_summary", "monthly_detail", "monthly_volume", "monthly_avg_rating"],
+    "notable_reviews": ["notable_best_sample", "notable_critical", "notable_most_liked", "notable_critical_by_store"],
+    "top_words": ["top_words"],
+    "weekly_summary": ["weekly_overall", "weekly_by_store", "weekly_store_bands", "weekly_star_dist", "weekly_topics"],
+    "all_new_reviews": ["triage_list"],
+    "critical_reviews": ["critical_list", "flagged_reviews", "unanswered", "alerts"],
+    "weekly_trends": ["snapshot_trends_wide", "week_over_week", "cumulative_rating"],
+}

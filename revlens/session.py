@@ -23,6 +23,8 @@ def local_session(cpus: int | str = 8, app: str = "revlens", extra: dict | None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the test tables are single files: deal their rows over the cores
+        .config("spark.revlens.scanPartitions", str(cpus))
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)

@@ -4,9 +4,8 @@ Input: captured cards ``(store, ord, review_id, author_cands, rating_cands,
 text_cands, date_cands, likes_raw, reply_raw)`` where each ``*_cands``
 array holds the candidate values in selector priority.  Output: review
 rows.  All per-card work is one projection; the only shuffle is the
-keep-first de-duplication, done as a partial aggregate (``min_by``) so a
-hot id (e.g. the blank id) is combined map-side instead of landing whole in
-one task.
+keep-first de-duplication, with a partial limit so that a hot id (e.g. the
+blank id) is cut down map-side instead of landing whole in one task.
 """
 
 from __future__ import annotations
@@ -57,13 +56,13 @@ def normalize_fields(cards: DataFrame) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys=("store", "review_id"), order: str = "ord") -> DataFrame:
     """First row per key by ``order`` (W1); blank ids count as one id.
 
-    ``min_by`` is a partial aggregate: duplicates collapse map-side, so a
-    key holding a third of all rows costs one row per map task in the
-    shuffle.
+    Of rows with equal order the one with the smallest hash of its columns
+    is kept.  ``row_number() = 1`` is planned with a partial group limit: one
+    row per key and map task crosses the shuffle, also for a key that holds
+    a third of all rows, and rows are ordered by their keys, not by text.
     """
-    cols = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r")) \
-             .select(*keys, "_r.*")
+    first = Window.partitionBy(*keys).orderBy(F.asc(order), F.xxhash64(*df.columns))
+    return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def normalize_cards(cards: DataFrame) -> DataFrame:
@@ -89,10 +88,11 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
 def cross_store_duplicates(df: DataFrame) -> DataFrame:
     """Ids that occur under more than one store (U3): a data check.
 
-    Distinct (id, store) pairs first (partial aggregate), then a count per
-    id; no group is ever collected.
+    A missing id identifies nothing and is left out.  Distinct (id, store)
+    pairs first (partial aggregate), then a count per id; no group is ever
+    collected.
     """
-    pairs = df.select(F.coalesce(F.col("review_id"), F.lit("")).alias("review_id"), "store") \
+    pairs = df.filter(F.coalesce(F.col("review_id"), F.lit("")) != "").select("review_id", "store") \
               .groupBy("review_id", "store").agg(F.count(F.lit(1)).alias("_n"))
     return pairs.groupBy("review_id").agg(
         F.count(F.lit(1)).alias("n_stores"),

@@ -29,6 +29,7 @@ TEXT_PREFIXES = [
     "Website checkout is slow. ", "",
 ]
 REPLY_TEXT = "Thank you for your feedback"
+LONG_REPLY = " ".join([REPLY_TEXT] * 12)  # longer than a printed reply
 
 # Snapshot dates and the review_id % 5 classes each one holds.
 SNAPSHOT_PLAN = [
@@ -38,6 +39,8 @@ SNAPSHOT_PLAN = [
 ]
 
 N_STORES = 5
+OTHER_STORE = "store_x"  # not in the configuration
+FILLED_CATEGORY = "Kept"  # stored by an earlier run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +54,8 @@ def _pick(values: list[str], idx) -> F.Column:
 def _rating(i: F.Column) -> F.Column:
     return (
         F.when(i % 23 == 0, F.lit(None))
+        .when(i % 41 == 0, F.lit(0))
+        .when(i % 43 == 0, F.lit(4.5))
         .when(F.col("toxic") == 1, 1 + i % 2)
         .when(F.col("quality") == 0, 2 + i % 2)
         .when(i % 10 < 6, F.lit(5))
@@ -58,7 +63,7 @@ def _rating(i: F.Column) -> F.Column:
         .when(i % 10 == 7, F.lit(3))
         .when(i % 10 == 8, F.lit(2))
         .otherwise(F.lit(1))
-        .cast("int")
+        .cast("double")
     )
 
 
@@ -71,15 +76,16 @@ def review_text_side(documents: DataFrame) -> DataFrame:
         .when(i % 29 == 0, F.lit("   "))
         .otherwise(F.concat(_pick(TEXT_PREFIXES, i % 9), F.col("text")))
     )
-    reply = F.when(i % 3 == 0, F.lit(REPLY_TEXT)).when(i % 31 == 0, F.lit("  ")).otherwise(F.lit(""))
+    reply = F.when(i % 33 == 0, F.lit(LONG_REPLY)).when(i % 3 == 0, F.lit(REPLY_TEXT)).when(i % 31 == 0, F.lit("  ")).otherwise(F.lit(""))
     return d.select(
         i,
         i.cast("string").alias("review_id"),
-        F.concat(F.lit("store_"), (i % N_STORES).cast("string")).alias("store"),
+        # the store does not follow the snapshot class (doc_id % 5)
+        F.concat(F.lit("store_"), (F.floor(i / 5) % N_STORES).cast("string")).alias("store"),
         F.concat(F.lit("author_"), (i % 97).cast("string")).alias("author"),
         _pick(DATE_PHRASES, i % 16).alias("date_raw"),
         text.alias("text"),
-        ((i * 7919) % 41).cast("int").alias("likes"),
+        F.when(i % 47 != 0, (i * 7919) % 41).cast("int").alias("likes"),
         reply.alias("owner_reply"),
     )
 
@@ -139,23 +145,32 @@ def snapshots_from_reviews(reviews: DataFrame) -> DataFrame:
 
     Expressed as an explode over the (fixed, three-element) list of dates the
     review belongs to, so no join and no shuffle.  Columns follow the stored
-    snapshot layout: review fields, ``scraped_on`` and blank enrichment
-    placeholders.
+    snapshot layout: review fields, ``scraped_on`` and enrichment columns,
+    which are blank but for the rows that an earlier run has filled (id %
+    53).  Some reviews are also listed by a store outside the configuration
+    (id % 59), some have lost their id (id % 61).
     """
-    cls = F.col("review_id").cast("long") % 5
+    i = F.col("review_id").cast("long")
+    cls = i % 5
+    stores = F.when(i % 59 == 0, F.array(F.col("store"), F.lit(OTHER_STORE))).otherwise(F.array("store"))
+    filled = i % 53 == 0
+    reviews = reviews.withColumns({
+        "_stores": stores, "sentiment": F.when(filled, "Positive").otherwise(""), "sent_score": F.when(filled, 0.5).otherwise(0.0),
+        "categories": F.when(filled, FILLED_CATEGORY).otherwise(""), "_class": cls,
+        "review_id": F.when(i % 61 == 0, "").otherwise(F.col("review_id"))})
+    cls = F.col("_class")
     dates = F.filter(
         F.array(*[
             F.when(cls.isin(classes), F.lit(d)) for d, classes in SNAPSHOT_PLAN
         ]),
         lambda x: x.isNotNull(),
     )
-    return reviews.select(F.explode(dates).alias("snapshot_date"), "*").select(
-        "snapshot_date", "review_id", "store", "author", "rating", "date_raw", "text", "likes",
-        "owner_reply",
-        F.col("snapshot_date").alias("scraped_on"),
-        F.lit("").alias("sentiment"),
-        F.lit(0.0).alias("sent_score"),
-        F.lit("").alias("categories"),
+    copies = F.flatten(F.transform(dates, lambda d: F.transform(F.col("_stores"), lambda s: F.struct(d.alias("d"), s.alias("s")))))
+    return reviews.withColumn("_at", F.explode(copies)).select(
+        F.col("_at.d").alias("snapshot_date"), "review_id", F.col("_at.s").alias("store"), "author", "rating", "date_raw", "text",
+        "likes", "owner_reply",
+        F.col("_at.d").alias("scraped_on"),
+        "sentiment", "sent_score", "categories",
     )
 
 
@@ -177,8 +192,9 @@ def raw_cards_from_documents(documents: DataFrame, labels: DataFrame) -> DataFra
     """Captured review cards with candidate values (input of the normaliser).
 
     One card per document plus a repeated card for every 7th document (same
-    store and id, later position) and blank ids for every 37th, so that
-    keep-first de-duplication has work.  Candidate lists hold blank and
+    store and id, later position), blank ids for every 37th and an id that
+    several stores share for every 101st, so that keep-first de-duplication
+    and the cross-store check have work.  Candidate lists hold blank and
     whitespace entries in front of the real value where the rule says so.
     """
     r = reviews_from_documents(documents, labels)
@@ -187,11 +203,12 @@ def raw_cards_from_documents(documents: DataFrame, labels: DataFrame) -> DataFra
         i.alias("_doc"),
         "store",
         (i * 2).alias("ord"),
-        F.when(i % 37 == 0, F.lit("")).otherwise(F.col("review_id")).alias("review_id"),
+        F.when(i % 37 == 0, F.lit("")).when(i % 101 == 0, F.concat(F.lit("shared_"), (i % 3).cast("string")))
+        .otherwise(F.col("review_id")).alias("review_id"),
         F.when(i % 11 == 0, F.array(F.lit(" "), F.lit("")))
         .otherwise(F.array(F.lit("  "), F.col("author"))).alias("author_cands"),
         F.when(F.col("rating").isNull(), F.array(F.lit("no digits")))
-        .otherwise(F.array(F.lit(""), F.concat(F.lit("Rated "), F.col("rating").cast("string"), F.lit(".5 stars"))))
+        .otherwise(F.array(F.lit(""), F.concat(F.lit("Rated "), F.floor("rating").cast("string"), F.lit(".5 stars"))))
         .alias("rating_cands"),
         F.array(F.lit("\t"), F.col("text")).alias("text_cands"),
         F.array(F.col("date_raw"), F.lit("ignored later")).alias("date_cands"),

@@ -14,36 +14,36 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.operators.enrich import apply_defaults
-from revlens.schema import RAW_REVIEW_SCHEMA
+from revlens.schema import RAW_REVIEW_SCHEMA, SNAPSHOT_EXTRA_FIELDS
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
+SCAN_PARTITIONS = "spark.revlens.scanPartitions"
 
-    A small file with one row group is one task, and all per-row text work
-    would then run on one core.  Only in that case the rows are dealt
-    round-robin over ``defaultParallelism`` partitions; a large input (many
-    splits) is left as it is, so at scale this adds no shuffle.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over the partitions that the session asks for.
+
+    A small file, or a multi-line JSON file of any size, is one task, and
+    all per-row text work would run on one core.  Sessions that read such
+    files set ``spark.revlens.scanPartitions``; without the setting, as for
+    large tables, the scan keeps its own splits and nothing is shuffled.
     """
-    try:
-        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan to the server
-        return df
-    if parts < n:
-        return df.repartition(n)
-    return df
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
-def read_reviews_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_reviews_json(spark: SparkSession, path: str, multiline: bool = True, stored: bool = False) -> DataFrame:
     """Raw review scan with an explicit schema and record defaults (SRC1, P1, P2).
 
-    A multi-line JSON file is one task; the rows are spread over the cores
-    before any per-row work (a no-op when there are enough files).
+    ``stored`` also reads the fields of a stored snapshot: its run date and
+    the enrichment it already has.  A multi-line JSON file is one task; see
+    ``spread``.
     """
-    raw = spark.read.schema(RAW_REVIEW_SCHEMA).option("multiLine", multiline).json(path)
+    schema = T.StructType([*RAW_REVIEW_SCHEMA.fields, *SNAPSHOT_EXTRA_FIELDS]) if stored else RAW_REVIEW_SCHEMA
+    raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
     return apply_defaults(spread(raw))
 
 
@@ -52,19 +52,19 @@ def write_reviews(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_partitions(df: DataFrame, path: str, column: str) -> None:
+    """Replace the partitions of ``column`` that are present in ``df``; others, and the session's settings, stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Write snapshot rows into their ``snapshot_date`` partitions (SNK2).
 
     Only the partitions present in ``df`` are replaced, so rerunning a date
-    is idempotent and other dates are untouched.
+    is idempotent and other dates are untouched.  A frame without rows names
+    no date and changes nothing; the weekly run refuses an empty snapshot.
     """
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("snapshot_date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    write_partitions(df, path, "snapshot_date")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -84,14 +84,20 @@ def read_json_snapshots(spark: SparkSession, path: str, schema) -> DataFrame:
     return df.withColumn("snapshot_date", snapshot_date_from_file())
 
 
-def latest_snapshot(snapshots: DataFrame, as_of: _dt.date) -> tuple[DataFrame, _dt.date | None]:
-    """The latest snapshot strictly before ``as_of`` (SRC2) and its date.
+def previous_snapshot_date(snapshots: DataFrame, as_of: _dt.date) -> _dt.date | None:
+    """Latest snapshot date strictly before ``as_of`` (SRC2), so a future-dated snapshot never wins; None if there is none.
 
-    Strictly earlier, so a future-dated snapshot never wins.  The date is
-    one scalar; the rows are then read through a literal partition filter.
+    One scalar, resolved before planning: both snapshots are then read
+    through literal partition filters.  Over a stored table it is answered
+    from the partition column alone.
     """
     row = snapshots.filter(F.col("snapshot_date") < F.lit(as_of)).agg(F.max("snapshot_date").alias("d")).first()
-    d = row["d"] if row is not None else None
+    return row["d"] if row is not None else None
+
+
+def latest_snapshot(snapshots: DataFrame, as_of: _dt.date) -> tuple[DataFrame, _dt.date | None]:
+    """The latest snapshot strictly before ``as_of`` (SRC2) and its date."""
+    d = previous_snapshot_date(snapshots, as_of)
     if d is None:
         return snapshots.limit(0), None
     return snapshots.filter(F.col("snapshot_date") == F.lit(d)), d

@@ -2,17 +2,21 @@
 
 ``run_week`` is the batch step for one arriving snapshot:
 
-1. write its rows into the ``snapshot_date`` partition (idempotent rerun);
+1. write its rows into the ``snapshot_date`` partition (idempotent rerun); an
+   empty snapshot is refused;
 2. find the latest earlier snapshot; none means baseline only, no report;
-3. diff against it, enrich only the new rows, compute the weekly overall
-   row and append it to the history table (partition ``as_of``, replaced on
-   rerun).
+3. diff against it, enrich only the new rows, and store the new rows, the
+   weekly sums by store and the overall row in the history (partition
+   ``as_of`` of three tables, replaced on rerun).
 
 ``stream_weekly`` drives the same step from Structured Streaming: a file
 source over a landing folder of snapshot rows, ``availableNow`` trigger and
-``foreachBatch``.  The history lives in tables, so no streaming state or
-watermark is needed and a lost executor only re-runs its tasks; a failed
-batch is re-run from the checkpointed offsets and overwrites its
+``foreachBatch``.  A date may arrive in several batches: each time, the date
+is rebuilt from all of its rows that have landed, so the last batch gives
+what one batch would have given.  When an earlier date changes, the next
+later one is diffed again.  The history lives in tables, so no streaming
+state or watermark is needed and a lost executor only re-runs its tasks; a
+failed batch is re-run from the checkpointed offsets and overwrites its
 partitions.
 """
 
@@ -24,54 +28,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.sentiment import Lexicon
-from revlens.operators.weekly import diff_new, enrich_new, weekly_overall
+from revlens.operators.weekly import diff_new, enrich_new, snapshot_at, weekly_overall
 from revlens.schema import WEEKLY_CATEGORIES
-from revlens.sources.io import latest_snapshot, read_snapshots, write_snapshot
+from revlens.sources.io import latest_snapshot, read_snapshots, write_partitions, write_snapshot
 
+TABLES = ("overall", "by_store", "new_reviews")
 
-def _write_partition(df: DataFrame, path: str, col: str) -> None:
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
+class EmptySnapshot(ValueError):
+    """A weekly run without rows: the stored snapshot of its date stays as it is."""
 
-def run_week(rows: DataFrame, as_of: _dt.date, snapshot_path: str, history_path: str,
-             categories=WEEKLY_CATEGORIES, lexicon: Lexicon | None = None) -> _dt.date | None:
-    """Process the snapshot of ``as_of``; returns the previous date (None = baseline)."""
-    spark = rows.sparkSession
-    write_snapshot(rows.withColumn("snapshot_date", F.lit(as_of)), snapshot_path)
+
+def diff_week(spark: SparkSession, as_of: _dt.date, snapshot_path: str, history_path: str, categories=WEEKLY_CATEGORIES,
+              lexicon: Lexicon | DataFrame | None = None) -> _dt.date | None:
+    """Diff the stored snapshot of ``as_of`` and store its results; returns the previous date (None = baseline)."""
     snaps = read_snapshots(spark, snapshot_path)
     previous, prev_date = latest_snapshot(snaps, as_of)
     if prev_date is None:
         return None
-    current = snaps.filter(F.col("snapshot_date") == F.lit(as_of))
-    new = enrich_new(diff_new(current, previous), categories, lexicon)
-    stats = weekly_overall(new).select(F.lit(as_of).alias("as_of"), F.lit(prev_date).alias("prev_date"), "*")
-    _write_partition(stats, history_path, "as_of")
+    new = enrich_new(diff_new(snapshot_at(snaps, as_of), previous), categories, lexicon).drop("snapshot_date")
+    dated = lambda df: df.select(F.lit(as_of).alias("as_of"), F.lit(prev_date).alias("prev_date"), "*")
+    # The new rows are written once; the sums read them back.  A week without
+    # new rows still has its overall row, and replaces what an earlier run stored.
+    path = f"{history_path}/new_reviews/as_of={as_of.isoformat()}"
+    new.withColumn("prev_date", F.lit(prev_date)).write.mode("overwrite").parquet(path)
+    new = spark.read.parquet(path).drop("prev_date")
+    write_partitions(dated(weekly_overall(new)), f"{history_path}/overall", "as_of")
+    sums = new.groupBy("store").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rating") <= 2).alias("critical"),
+                                    F.avg("rating").alias("avg_rating"), F.count_if(F.col("sentiment") == "Positive").alias("positive"),
+                                    F.count_if(F.col("sentiment") == "Negative").alias("negative"))
+    sums.withColumn("prev_date", F.lit(prev_date)).write.mode("overwrite").parquet(f"{history_path}/by_store/as_of={as_of.isoformat()}")
     return prev_date
 
 
-def read_history(spark: SparkSession, history_path: str) -> DataFrame:
-    return spark.read.option("basePath", history_path).parquet(history_path) \
-        .withColumn("as_of", F.col("as_of").cast("date"))
+def run_week(rows: DataFrame, as_of: _dt.date, snapshot_path: str, history_path: str,
+             categories=WEEKLY_CATEGORIES, lexicon: Lexicon | DataFrame | None = None) -> _dt.date | None:
+    """Process the snapshot of ``as_of``; returns the previous date (None = baseline)."""
+    if rows.isEmpty():
+        raise EmptySnapshot(f"no rows for {as_of}")
+    write_snapshot(rows.withColumn("snapshot_date", F.lit(as_of)), snapshot_path)
+    return diff_week(rows.sparkSession, as_of, snapshot_path, history_path, categories, lexicon)
+
 
+def read_history(spark: SparkSession, history_path: str, table: str = "overall") -> DataFrame:
+    """One of the history tables: overall, by_store or new_reviews, all weeks, keyed by ``as_of``."""
+    path = f"{history_path}/{table}"
+    return spark.read.option("basePath", path).parquet(path).withColumn("as_of", F.col("as_of").cast("date"))
 
-def stream_weekly(spark: SparkSession, landing_path: str, schema, snapshot_path: str, history_path: str,
-                  checkpoint_path: str, categories=WEEKLY_CATEGORIES, lexicon: Lexicon | None = None):
-    """Run ``run_week`` for every snapshot date arriving in ``landing_path``.
 
-    Each micro-batch lists its distinct dates (one per weekly run, a bounded
-    set) and processes them in date order.  Returns the finished query.
-    """
+def stream_weekly(spark: SparkSession, landing_path: str, schema, snapshot_path: str, history_path: str,
+                  checkpoint_path: str, categories=WEEKLY_CATEGORIES, lexicon: Lexicon | DataFrame | None = None):
+    """Run the weekly step for every snapshot date arriving in ``landing_path``; returns the finished query."""
     def each_batch(batch: DataFrame, _batch_id: int) -> None:
-        dates = sorted(r["snapshot_date"] for r in batch.select("snapshot_date").distinct().collect())
-        for d in dates:
-            run_week(batch.filter(F.col("snapshot_date") == F.lit(d)).drop("snapshot_date"), d,
-                     snapshot_path, history_path, categories, lexicon)
+        # the distinct dates of a micro-batch: one per weekly run, a bounded set
+        arrived = sorted(r["snapshot_date"] for r in batch.select("snapshot_date").distinct().collect())
+        landed = spark.read.schema(schema).parquet(landing_path)
+        for d in arrived:
+            write_snapshot(snapshot_at(landed, d), snapshot_path)
+        stored = sorted(r["snapshot_date"] for r in read_snapshots(spark, snapshot_path).select("snapshot_date").distinct().collect())
+        later = {next((s for s in stored if s > d), None) for d in arrived}
+        for d in sorted({*arrived, *later} - {None}):
+            diff_week(spark, d, snapshot_path, history_path, categories, lexicon)
 
     q = (spark.readStream.schema(schema).parquet(landing_path)
          .writeStream.foreachBatch(each_batch)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions import categories as cat
 from revlens.functions import dates
 from revlens.functions.sentiment import Lexicon, label_from_parts, with_sentiment
+from revlens.schema import GENERAL_LEXICON
 from revlens.operators.enrich import build_reviews
 from revlens.operators import weekly
 from revlens.sources import cards
@@ -113,12 +114,29 @@ def test_sentiment_join_strategy_equals_inline(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_lexicon_from_dataframe_checks_size(spark):
-    lex = Lexicon.default()
-    df = lex.to_dataframe(spark)
-    assert len(Lexicon.from_dataframe(df)) == len(lex)
+def test_strategies_agree_whatever_the_ids_are(spark):
+    rows = [("", "great"), ("", "terrible"), (None, "not good"), (None, "good"), ("a", "very nice"), ("a", "very nice"), ("b", None),
+            ("c", ""), ("d", "nothing"), ("e", "no very good, never clean")] + [("hot", "good good bad slow")] * 50
+    df = spark.createDataFrame(rows, "review_id string, text string")
+    inline, joined = with_sentiment(df), with_sentiment(df, lexicon=Lexicon.default().to_dataframe(spark))
+    assert sorted(map(tuple, inline.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
+    assert {r["sentiment"] for r in joined.filter("review_id = ''").collect()} == {"Positive", "Negative"}
+
+
+def test_a_large_lexicon_is_not_part_of_the_plan(spark):
+    lexicon = spark.range(50_000).selectExpr("concat('w', id) AS word", "int(id % 2000 - 1000) AS polarity", "0 AS intensity", "'scored' AS role")
+    df = spark.createDataFrame([("1", "w3 w"), ("2", "x")], "review_id string, text string")
+    out = with_sentiment(df, lexicon=lexicon)
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 40_000
     with pytest.raises(ValueError):
-        Lexicon.from_dataframe(df, limit=3)
+        with_sentiment(df, lexicon=lexicon, strategy="inline")
+
+
+def test_general_lexicon(spark):
+    lex = Lexicon(GENERAL_LEXICON)
+    assert len({(w, r) for w, _, _, r in GENERAL_LEXICON}) == len(GENERAL_LEXICON) > 150
+    df = spark.createDataFrame([("1", "Very helpful and quick"), ("2", "The worst, never again"), ("3", "It is a shop")], "i string, text string")
+    assert [r["sentiment"] for r in with_sentiment(df, lexicon=lex).orderBy("i").collect()] == ["Positive", "Negative", "Neutral"]
 
 
 def _new(spark, rows):
@@ -143,12 +161,15 @@ def test_new_reviews_empty_previous_gives_nothing(spark):
     assert weekly.diff_new(cur, None).count() == 0
     prev = spark.createDataFrame([("1",)], "review_id string")
     assert [r["review_id"] for r in weekly.diff_new(cur, prev).collect()] == ["2"]
+    assert weekly.diff_new(cur, prev.limit(0)).count() == 0
 
 
 def test_new_reviews_missing_id_matches_missing_id(spark):
     cur = spark.createDataFrame([(None,), ("",), ("3",)], "review_id string")
     prev = spark.createDataFrame([("",)], "review_id string")
     assert [r["review_id"] for r in weekly.diff_new(cur, prev).collect()] == ["3"]
+    named = spark.createDataFrame([("9",)], "review_id string")
+    assert weekly.diff_new(cur, named).count() == 3  # without such a row before, rows without an id are new
 
 
 def test_snapshot_new_returning_id_counts_again(spark):
@@ -191,6 +212,21 @@ def test_build_reviews_defaults_missing_columns(spark):
     df2 = spark.createDataFrame([("1", "s", "x", "five"), ("2", "s", "x", "4")], "review_id string, store string, "
                                 "text string, rating string")
     assert sorted((r["review_id"], r["rating"]) for r in build_reviews(df2).collect()) == [("1", None), ("2", 4)]
+    df3 = spark.createDataFrame([("1", "4.5"), ("2", "NaN"), ("3", " 3 ")], "review_id string, rating string")
+    assert [r["rating"] for r in build_reviews(df3).orderBy("review_id").collect()] == [4.5, None, 3.0]
+
+
+def test_store_names_that_are_no_plain_column_names(spark):
+    from revlens.operators import metrics, trends
+    stores = ["St. Mary", "total", "a`b"]
+    rows = [("1", "St. Mary", 5.0, "just now"), ("2", "total", 1.0, "a year ago"), ("3", "total", 5.0, "just now"), ("4", "other", 5.0, "just now")]
+    e = build_reviews(spark.createDataFrame(rows, "review_id string, store string, rating double, date_raw string"))
+    five = metrics.rating_matrix(e, stores).filter("stars = 5").first().asDict()
+    assert (five["St. Mary"], five["total"], five["a`b"], five["all_stores"]) == (1, 1, 0, 3)
+    month = trends.monthly_detail(e, stores).orderBy("month_year").collect()[-1].asDict()
+    assert (month["total"], month["St. Mary"], month["store total"], month["a`b"]) == (3, 1, 1, 0)
+    assert sum(r["cnt"] for r in trends.monthly_volume(e, stores).collect()) == 3
+    assert trends.yearly_summary(e, stores).count() == 2
 
 
 def test_empty_inputs(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 
 
 from revlens import jobs
+from revlens.functions.sentiment import Lexicon
 from revlens.plans.catalog import QUERIES, Inputs
 from revlens.session import fresh_path
 from revlens.sources import fixtures as fx
@@ -18,7 +19,8 @@ def test_run_analysis_from_json(spark):
     raw = fresh_path(spark, "raw-json")
     fx.load_reviews(spark, SF001).write.json(raw)
     out = fresh_path(spark, "analysis")
-    done = jobs.run_analysis(spark, raw, out, fmt="jsonl", stores=[f"store_{k}" for k in range(6)])
+    done = jobs.run_analysis(spark, raw, out, dt.date(2026, 3, 2), fmt="jsonl", stores=[f"store_{k}" for k in range(6)],
+                             lexicon=Lexicon.default().to_dataframe(spark))
     assert len(done) == 19
     got = spark.read.parquet(done["store_comparison"])
     want = QUERIES["store_comparison"](Inputs(spark, SF001))
@@ -38,7 +40,7 @@ def test_run_weekly_three_dates(spark):
     for d in dates:
         rows_path = f"{landing}/snapshot_date={d.isoformat()}"
         results.append(jobs.run_weekly(spark, rows_path, table, f"{out}/{d}", d, fmt="parquet",
-                                       store_dim=fx.store_dimension(spark)))
+                                       store_dim=fx.store_dimension(spark), lexicon=Lexicon.default()))
     assert results[0] is None  # baseline
     last = results[-1]
     got = spark.read.parquet(last["weekly_overall"])
@@ -47,5 +49,33 @@ def test_run_weekly_three_dates(spark):
     got = spark.read.parquet(last["critical_reviews"])
     want = QUERIES["flagged_reviews"](Inputs(spark, SF001))
     assert _set(got.select(*want.columns)) == _set(want)
-    trends = spark.read.parquet(last["weekly_trends"])
-    assert trends.count() == 3
+    for sheet, query in (("weekly_trends", "snapshot_trends_wide"), ("week_over_week", "week_over_week"),
+                         ("cumulative_rating", "cumulative_rating"), ("unanswered", "unanswered")):
+        want = QUERIES[query](Inputs(spark, SF001))
+        got = spark.read.parquet(last[sheet]).select(*want.columns)
+        assert sorted(map(str, _rows(got))) == sorted(map(str, _rows(want))), sheet
+
+
+def _rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_run_collection(spark):
+    cards = Inputs(spark, SF001).raw_cards
+    done = jobs.run_collection(spark, [cards.filter("ord % 4 < 2"), cards.filter("ord % 4 >= 2")], fresh_path(spark, "collect"))
+    want = QUERIES["collection_summary"](Inputs(spark, SF001))
+    assert _set(spark.read.parquet(done["collection_summary"]).select(*want.columns)) == _set(want)
+    assert spark.read.parquet(done["reviews"]).count() == QUERIES["normalize_cards"](Inputs(spark, SF001)).count()
+
+
+def test_weekly_rows_keep_their_stored_enrichment(spark, tmp_path):
+    import json
+    for day, ids in (("a", ["1"]), ("b", ["1", "2", "3"])):
+        (tmp_path / f"{day}.json").write_text(json.dumps([
+            {"review_id": i, "store": "s", "text": "great", "rating": 4.5, "sentiment": "Negative" if i == "2" else "", "sent_score": -0.9,
+             "categories": "Mine" if i == "2" else ""} for i in ids]))
+    table = fresh_path(spark, "kept")
+    assert jobs.run_weekly(spark, str(tmp_path / "a.json"), table, fresh_path(spark, "o"), dt.date(2026, 1, 1)) is None
+    done = jobs.run_weekly(spark, str(tmp_path / "b.json"), table, fresh_path(spark, "o"), dt.date(2026, 1, 8))
+    got = {r["review_id"]: (r["sentiment"], r["categories"], r["rating"]) for r in spark.read.parquet(done["all_new_reviews"]).collect()}
+    assert got == {"2": ("Negative", "Mine", 4.5), "3": ("Positive", "General", 4.5)}

@@ -71,11 +71,29 @@ def test_label_lookup_skipped_when_rating_unused(spark):
     assert "labels" in _plan(df)
 
 
-def test_dedup_is_partial_aggregate(spark):
-    df = QUERIES["dedup_reviews"](Inputs(spark, SF001))
+@pytest.mark.parametrize("name", ["dedup_reviews", "normalize_cards", "flagged_reviews", "notable_critical_by_store"])
+def test_keep_first_limits_before_the_shuffle_and_sorts_no_text(spark, name):
+    df = QUERIES[name](Inputs(spark, SF001))
+    if name == "flagged_reviews":  # its list is written once when it is ranked: look at what is ranked
+        from revlens.operators import weekly
+        ranked = []
+        real, weekly.global_rank = weekly.global_rank, lambda d, o: ranked.append(d) or d
+        try:
+            weekly.flagged_reviews(Inputs(spark, SF001).new)
+        finally:
+            weekly.global_rank = real
+        df = ranked[0]
     plan = _plan(df)
-    assert "HashAggregate" in plan or "ObjectHashAggregate" in plan or "SortAggregate" in plan
-    assert "Window" not in plan
+    assert "SortAggregate" not in plan
+    assert plan.count("WindowGroupLimit") == 2, plan
+
+
+def test_trends_carry_no_text_through_the_diff(spark):
+    for name in ("week_over_week", "snapshot_trends", "cumulative_rating"):
+        opt = _optimized(QUERIES[name](Inputs(spark, SF001)))
+        anti = opt[opt.index("LeftAnti"):]
+        left = anti.split("\n")[1]
+        assert "text" not in left.split("]")[0], left
 
 
 def test_grouping_sets_use_expand(spark):
