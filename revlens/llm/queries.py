@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import licenses
+from revlens.llm import cap_filters, licenses, minhash
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,7 +46,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from revlens.llm import minhash
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -65,11 +64,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm import quality_rules
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from revlens.llm import cap_filters
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -90,4 +88,84 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM p JOIN f USING (html)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op2_warc": _OP2}
+#: Words of a text, and the shingles of a document as strings (words hold no blank).
+_WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+r(x, y) AS (SELECT id, id FROM nodes UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x AS id, min(y) AS component_id FROM r GROUP BY x)"""
+
+_OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_FOLD.format('text'))} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {{n}} THEN [array_to_string(ws[i:i + {{n}} - 1], ' ') FOR i IN range(1, len(ws) - {{n}} + 2)]
+                                     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {{t}} * (a.n + b.n - c)),
+nodes AS (SELECT doc_id AS id FROM documents),{_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""".format(n=minhash.WORDS, t=minhash.THRESHOLD)
+
+_OP10 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+k AS (SELECT vec_id, e, list_inner_product(e, e) AS s FROM v
+      WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM k a JOIN k b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_inner_product(a.e, b.e) / sqrt(a.s * b.s) >= {cap_filters.THRESHOLD}),
+nodes AS (SELECT vec_id AS id FROM embeddings),{_REACH},
+m AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT v.vec_id, coalesce(m.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN m ON m.x = v.vec_id
+"""
+
+
+def _op6() -> str:
+    """The quality rules: base figures by lists, references by medians, distances by sums over cells."""
+    from revlens.llm import quality_rules as qr
+    classes = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": "[.,]", "mark": "[!?;:''\"()-]",
+               "symbol": r"[#*$%&|<>+=@\[\]\\^_`{}~/]", "beyond_ascii": r"[^\x00-\x7F]"}
+    count = lambda c: f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))"
+    cells = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS cell, {count(c)} AS n FROM d" for k, c in classes.items())
+    known = ", ".join(f"('{lang}', '{w}')" for lang, words in qr.COMMON_WORDS.items() for w in words)
+    plain = f"regexp_replace({_FOLD.format('w')}, '[.,!?;:''\"()#*$%&|<>-]+$', '')"
+    # Jensen-Shannon distance of the rows of h (doc_id, cell, n) from the references r (lang, cell, ref)
+    distance = """SELECT h.doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+        + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS dist FROM (
+      SELECT h.doc_id, CAST(h.n AS DOUBLE) / greatest(1, sum(h.n) OVER (PARTITION BY h.doc_id)) AS p,
+        r.ref / sum(r.ref) OVER (PARTITION BY h.doc_id) AS q FROM {h} h JOIN b USING (doc_id) JOIN {r} r ON r.lang = b.lang AND r.cell = h.cell) h
+      GROUP BY h.doc_id"""
+    share = "quantile_cont(floor(CAST(h.n AS DOUBLE) * 1000 / {}), 0.5)"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS.format('text')} AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(0, 3) AS o(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (SELECT doc_id, lang, text, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+        {count('[#*$%&|<>]')} AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+        len(ws) < {qr.MIN_WORDS} OR coalesce(rep.n, 0) * 100 > len(ws) * {qr.MAX_REPEAT_PERCENT} AS base_failed
+      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
+hc0 AS ({cells}),
+hc AS (SELECT * FROM hc0 UNION ALL SELECT doc_id, 'control', any_value(length(text)) - sum(n) FROM hc0 JOIN d USING (doc_id) GROUP BY doc_id),
+rc AS (SELECT lang, cell, {share.format('length(b.text)')} AS ref FROM hc h JOIN b USING (doc_id) WHERE NOT base_failed GROUP BY lang, cell),
+known(lang, cell) AS (VALUES {known}),
+seen AS (SELECT doc_id, {plain} AS w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+hw0 AS (SELECT b.doc_id, k.cell, coalesce(seen.n, 0) AS n FROM b JOIN known k ON k.lang = b.lang LEFT JOIN seen ON seen.doc_id = b.doc_id AND seen.w = k.cell),
+hw AS (SELECT * FROM hw0 UNION ALL SELECT doc_id, '', any_value(n_words) - sum(n) FROM hw0 JOIN b USING (doc_id) GROUP BY doc_id),
+rw0 AS (SELECT lang, cell, {share.format('n_words')} AS ref FROM hw0 h JOIN b USING (doc_id) WHERE NOT base_failed GROUP BY lang, cell),
+rw AS (SELECT * FROM rw0 UNION ALL SELECT lang, '', greatest(0, 1000 - sum(ref)) FROM rw0 GROUP BY lang),
+dc AS ({distance.format(h='hc', r='rc')}),
+dw AS ({distance.format(h='hw', r='rw')})
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(dc.dist, 0) > {qr.MAX_CLASS_DISTANCE} AND length(b.text) >= {qr.MIN_CHARS_JUDGED}
+    OR coalesce(dw.dist, 0) > {qr.MAX_WORD_DISTANCE} AND n_words >= {qr.MIN_WORDS_JUDGED}) AS kept
+FROM b LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id)
+"""
+
+
+#: SQL cannot train, tokenise or learn weights: the other queries are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op2_warc": _OP2, "op6_quality_rules": _op6(),
+                              "op7_minhash": _OP7, "op10_cap_filters": _OP10}
