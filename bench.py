@@ -41,7 +41,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from revlens.operators import weekly  # noqa: E402
 from revlens.plans.catalog import QUERIES, Inputs  # noqa: E402
 from revlens.schema import DEFAULT_AS_OF  # noqa: E402
-from revlens.session import local_session, materialize  # noqa: E402
+from revlens.session import clear_scratch, local_session, materialize  # noqa: E402
 from revlens.sources import fixtures as fx  # noqa: E402
 
 # Queries that write round-trip copies of whole tables (sink tests) are
@@ -135,6 +135,7 @@ def main() -> None:
         "reviews": n_reviews,
         "cpus": cpus,
     }))
+    clear_scratch(spark)
     spark.stop()
 
 

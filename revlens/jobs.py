@@ -33,6 +33,7 @@ from revlens.operators import metrics, notable, trends, weekly, words
 from revlens.operators.enrich import build_reviews
 from revlens.functions.sentiment import Lexicon
 from revlens.schema import GENERAL_LEXICON, WEEKLY_CATEGORIES
+from revlens.session import clear_scratch, scratch_mark
 from revlens.sources import cards as cards_mod
 from revlens.sources import io
 from revlens.streaming.incremental import read_history, run_week
@@ -84,13 +85,14 @@ def run_analysis(spark: SparkSession, reviews_path: str, out: str, as_of: _dt.da
     ``lexicon``: sentiment words, as a ``Lexicon`` or a table (word, polarity,
     intensity, role); by default the general one.
     """
-    enriched_path = f"{out}/enriched"
+    mark, enriched_path = scratch_mark(), f"{out}/enriched"
     build_reviews(_read(spark, reviews_path, fmt), as_of, lexicon=_lexicon(lexicon)).write.mode("overwrite").parquet(enriched_path)
     # lineage cut: every sheet reads the written enrichment
     e = spark.read.parquet(enriched_path)
     stores = stores or metrics.stores_from_data(e)
     sheets = analysis_sheets(e, stores)
     io.write_report(sheets, out)
+    clear_scratch(spark, mark)
     return {name: f"{out}/report={name}" for name in sheets}
 
 
@@ -138,6 +140,7 @@ def run_weekly(spark: SparkSession, rows_path: str, snapshot_path: str, out: str
     default beside the snapshots) holds the new rows and sums of all weeks.
     A run without rows raises ``EmptySnapshot`` and changes nothing.
     """
+    mark = scratch_mark()
     history_path = history_path or snapshot_path.rstrip("/") + "-history"
     rows = _read(spark, rows_path, fmt, stored=True)
     if "scraped_on" not in rows.columns:
@@ -151,6 +154,7 @@ def run_weekly(spark: SparkSession, rows_path: str, snapshot_path: str, out: str
         store_dim = spark.createDataFrame([(n,) for n in names], "name string")
     sheets = weekly_sheets(new, _stored_new(spark, snapshot_path, history_path), store_dim)
     io.write_report(sheets, out)
+    clear_scratch(spark, mark)
     return {name: f"{out}/report={name}" for name in sheets}
 
 

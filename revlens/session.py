@@ -59,9 +59,31 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_made: list[str] = []  # paths that this process has handed out
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def scratch_mark() -> int:
+    """How many scratch paths exist by now, for ``clear_scratch``."""
+    return len(_made)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that this process has written under the shared folder since a mark; returns how many there were.
+
+    Results are read from them lazily, so only a caller that has stored or
+    collected its results may clear them (the jobs and the benchmark do).
+    """
+    hadoop, conf, n = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), 0
+    while len(_made) > since:
+        path = hadoop.Path(_made.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def materialize(df, name: str):

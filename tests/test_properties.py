@@ -1,6 +1,7 @@
 """Properties of the results: partitioning invariance, totals, idempotence."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -207,3 +208,13 @@ def test_filled_rows_are_not_scored(spark):
                                "review_id string, text string, sentiment string, sent_score double, categories string")
     plan = enrich_if_blank(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all(lower(text" not in plan and sentiment.SENTIMENT_TOKEN_PATTERN in plan
+
+
+def test_scratch_is_cleared_from_a_mark(spark):
+    from revlens.session import clear_scratch, materialize, scratch_mark
+    kept = fresh_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    mark = scratch_mark()
+    gone = materialize(spark.range(3), "gone").inputFiles()[0]
+    assert clear_scratch(spark, mark) == 1 and clear_scratch(spark, mark) == 0
+    assert not os.path.exists(gone.removeprefix("file://")) and spark.read.parquet(kept).count() == 3
