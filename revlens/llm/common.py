@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from revlens.operators.common import salted_left_join  # noqa: F401  for the operators
+
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 GROUP_BYTES = 4 << 20  # documents are handled together up to this size; a larger one stands alone
@@ -128,18 +130,6 @@ def windows(counts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return doc[inside], inside, h
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row per key at most).
-
-    A key may hold any part of ``left``: its rows are dealt to ``salts``
-    parts by ``spread``, and ``right``, which is the small side of unique
-    keys, is repeated for each part.
-    """
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*keys, "_salt"], "left").drop("_salt")
-
-
 def held_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds

@@ -8,7 +8,9 @@ the one with the smallest id is the response, the others are revisits of it
 and hold no payload.  Each task writes archives of about ``ARCHIVE_BYTES``
 of records to the shared folder, each with a dictionary trained from its
 own first records.  An archive gets its name only when it is whole, and the
-name follows from its task, so a repeated task replaces it.
+name holds the attempt of its task: a lost or repeated attempt may leave
+archives behind, but the manifest lists those of the committed attempts
+only, and these are read back.
 
 *Reading*: archives are listed by Spark and read as streams, a record at a
 time.  The dictionary is loaded from the leading frame (which may itself be
@@ -65,9 +67,17 @@ def _file(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
-def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length) of the archives in a folder, listed by Spark; their content is not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*" + SUFFIX).load(folder).select("path", "length")
+def archives(spark: SparkSession, folder: str, manifest: str | None = None) -> DataFrame:
+    """(path, length) of the archives in a folder, listed by Spark; their content is not read.
+
+    With a ``manifest``, the path of a table as ``write_archives`` leaves
+    it, only the archives that it lists.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*" + SUFFIX).load(folder).select("path", "length")
+    if manifest is None:
+        return found
+    listed = spark.read.parquet(manifest).select("archive").distinct()
+    return found.join(listed, F.substring_index("path", "/", -1) == F.col("archive"), "left_semi")
 
 
 # ---------------------------------------------------------------- records
@@ -252,14 +262,14 @@ def _write_task(folder: str, archive_bytes: int) -> Callable:
         def finish():
             writer.close()
             out.close()
-            files.move(f"{base}/{name}.{task.taskAttemptId()}.part", f"{base}/{name}")
+            files.move(f"{base}/{name}.part", f"{base}/{name}")
             return pa.RecordBatch.from_pydict({"archive": [name], "records": [writer.count], "bytes": [writer.written]})
 
         for b in batches:
             for row, url, html, refers in zip(*(b.column(i) for i in range(4))):
                 if writer is None:
-                    name = f"part-{task.partitionId():06d}-{made:04d}{SUFFIX}"
-                    out, made = files.open_output_stream(f"{base}/{name}.{task.taskAttemptId()}.part", compression=None), made + 1
+                    name = f"part-{task.partitionId():06d}-{made:04d}-{task.taskAttemptId()}{SUFFIX}"
+                    out, made = files.open_output_stream(f"{base}/{name}.part", compression=None), made + 1
                     writer = ArchiveWriter(out)
                 refers = refers.as_py()
                 writer.add(build_record(row.as_py(), url.as_py(), (html.as_py() or "").encode(), refers, refers is not None))
@@ -277,7 +287,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Write every row as a record below ``folder``; the archives' names, records and bytes go to ``folder/manifest``."""
     rows = pages.select(F.col(key).cast("long").alias("row"), F.col(url).cast("string").alias("url"), F.col(payload).alias("payload"))
     rows = with_revisits(rows, "row", F.coalesce(F.col("payload"), F.lit("")).cast("binary"))
-    # The manifest is written first, so the folder exists where the tasks write.
+    # A first small table, so that the folder exists where the tasks write.
     done = rows.select("row", "url", "payload", "refers_to").mapInArrow(
         _write_task(folder, archive_bytes), "archive string, records long, bytes long")
     pages.sparkSession.createDataFrame([], "archive string").write.mode("ignore").parquet(f"{folder}/begun")
@@ -336,8 +346,9 @@ def _read_task(with_payload: bool, stop: bool, rows_at_once: int = 64, bytes_at_
     return run
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, on_error: str = "raise") -> DataFrame:
-    """Every record of the archives in ``folder``.
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, on_error: str = "raise",
+                  manifest: str | None = None) -> DataFrame:
+    """Every record of the archives in ``folder``, or of those that a ``manifest`` lists.
 
     ``on_error="raise"`` stops at the first fault; ``"report"`` returns the
     faulty record with its fault in ``error``.  An archive that cannot be
@@ -345,7 +356,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, o
     """
     if on_error not in ("raise", "report"):
         raise ValueError("on_error is raise or report")
-    return archives(spark, folder).select("path").mapInArrow(_read_task(with_payload, on_error == "raise"), _FIELDS)
+    return archives(spark, folder, manifest).select("path").mapInArrow(_read_task(with_payload, on_error == "raise"), _FIELDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -353,5 +364,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     write_archives(pages, folder)
-    return read_archives(spark, folder, with_payload=False).select(
+    return read_archives(spark, folder, with_payload=False, manifest=f"{folder}/manifest").select(
         F.col("row").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -54,6 +54,9 @@ def test_payloads_come_back_from_several_archives(spark, tmp_path):
         assert bytes(whole["payload"]) == html.encode() and r["target_uri"] == url and r["payload_bytes"] == len(html)
     manifest = spark.read.parquet(f"{folder}/manifest")
     assert manifest.groupBy().sum("records").first()[0] == 600
+    (tmp_path / "out" / "part-000000-0000-999.warc.zst").write_bytes(archive(RECORD))  # left by an attempt that was lost
+    assert warc.read_archives(spark, folder).count() == 601
+    assert warc.read_archives(spark, folder, manifest=f"{folder}/manifest").count() == 600
 
 
 RECORD = warc.build_record(1, "http://h", b"payload", None, False)
