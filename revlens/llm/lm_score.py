@@ -48,7 +48,7 @@ from revlens.llm.common import GOLDEN, U, held_fold, mix, word_groups
 from revlens.session import materialize
 
 FOLDS = 10  # fold 0 is held out from all learning, fold 1 is deleted to learn the weights
-BATCH, PART = 2_000_000, 2_000_000
+BATCH, PART = 1_500_000, 1_000_000
 BUCKETS = 48
 STEP = 0.05  # width, in decimal logarithms, of the cells in which held-out tokens are counted
 START, END = U(0x5354415254), U(0x454E44)  # stand for the start and the end among the word hashes
