@@ -89,8 +89,7 @@ def _enriched_flat(e: DataFrame) -> DataFrame:
 def q_scan_reviews(i: Inputs) -> DataFrame:
     """Files that hold one JSON array each, of up to 1,000 reviews."""
     path = fresh_path(i.spark, "raw-reviews-json")
-    rows = i.reviews.select(F.floor(F.col("review_id").cast("long") / 1000).alias("file"), F.struct(*REVIEW_COLUMNS).alias("r"))
-    rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file").text(path)
+    io.write_json_arrays(i.reviews.select(*REVIEW_COLUMNS), path, F.floor(F.col("review_id").cast("long") / 1000))
     return io.read_reviews_json(i.spark, path).select(*REVIEW_COLUMNS)
 
 
@@ -106,6 +105,17 @@ def q_all_snapshots(i: Inputs) -> DataFrame:
     return io.read_snapshots(i.spark, path).select("snapshot_date", "review_id", "store", "rating", "date_raw")
 
 
+def q_json_snapshots(i: Inputs) -> DataFrame:
+    """Snapshots as dated JSON files, one array each, the date in the name."""
+    path = fresh_path(i.spark, "json-snapshots")
+    files = F.ceil(i.snapshots.count() / 1000)  # of some hundred rows each
+    for d, _ in fx.SNAPSHOT_PLAN:
+        rows = weekly.snapshot_at(i.snapshots, d).select("review_id", "store", "rating", "text", "sentiment")
+        io.write_json_arrays(rows, f"{path}/reviews_{d.isoformat()}.json", F.pmod(F.xxhash64("review_id", "store", "text"), files))
+    schema = "review_id string, store string, rating double, text string, sentiment string"
+    return io.read_json_snapshots(i.spark, path, schema).select("snapshot_date", "review_id", "store", "rating", "sentiment")
+
+
 def q_write_snapshot(i: Inputs) -> DataFrame:
     """Write all dates, then rerun the last date: the table must not change."""
     path = fresh_path(i.spark, "snapshots")

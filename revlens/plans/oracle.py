@@ -271,6 +271,8 @@ REVIEW_COLS = "review_id, store, author, rating, date_raw, text, likes, owner_re
 SQL["scan_reviews"] = f"SELECT {REVIEW_COLS.replace('likes', 'coalesce(likes, 0) AS likes')} FROM reviews"
 SQL["write_reviews"] = f"SELECT {REVIEW_COLS} FROM reviews"
 SQL["all_snapshots"] = "SELECT snapshot_date, review_id, store, rating, date_raw FROM snapshots"
+SQL["json_snapshots"] = ("SELECT snapshot_date, review_id, store, rating, CASE WHEN filled THEN 'Positive' ELSE '' END AS sentiment "
+                         "FROM snapshots")
 SQL["write_snapshot"] = ("SELECT snapshot_date, count(*) AS rows, count(DISTINCT review_id) AS ids "
                          "FROM snapshots GROUP BY snapshot_date")
 SQL["latest_snapshot"] = ("SELECT snapshot_date, review_id, store, rating FROM snapshots "

@@ -47,6 +47,12 @@ def read_reviews_json(spark: SparkSession, path: str, multiline: bool = True, st
     return apply_defaults(spread(raw))
 
 
+def write_json_arrays(df: DataFrame, path: str, group: F.Column) -> None:
+    """Files of one JSON array each, one per value of ``group``, which bounds the array."""
+    rows = df.select(group.alias("file"), F.struct(*df.columns).alias("r"))
+    rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file").text(path)
+
+
 def write_reviews(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """All stores' rows to one dataset, replacing it (SNK1)."""
     df.write.mode("overwrite").format(fmt).save(path)
@@ -73,14 +79,14 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
 
 
-def snapshot_date_from_file(path_col: str = "_metadata.file_name") -> F.Column:
-    """Date of a JSON snapshot named ``reviews_YYYY-MM-DD.json``."""
+def snapshot_date_from_file(path_col: str = "_metadata.file_path") -> F.Column:
+    """Date of a JSON snapshot named ``reviews_YYYY-MM-DD.json``, a file or a folder of files."""
     return F.to_date(F.regexp_extract(F.col(path_col), r"reviews_(\d{4}-\d{2}-\d{2})", 1))
 
 
 def read_json_snapshots(spark: SparkSession, path: str, schema) -> DataFrame:
     """Legacy layout: one JSON array per run date, the date in the file name."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return df.withColumn("snapshot_date", snapshot_date_from_file())
 
 

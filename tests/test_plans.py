@@ -7,7 +7,7 @@ from revlens.plans.catalog import QUERIES, Inputs
 from tests.conftest import SF001
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
-SIDE_EFFECT = {"scan_reviews", "write_reviews", "all_snapshots", "write_snapshot", "write_report", "weekly_run"}
+SIDE_EFFECT = {"scan_reviews", "write_reviews", "all_snapshots", "json_snapshots", "weekly_run_new_rows", "weekly_run_by_store", "write_snapshot", "write_report", "weekly_run"}
 
 
 def _plan(df) -> str:
