@@ -108,7 +108,7 @@ def q_all_snapshots(i: Inputs) -> DataFrame:
 def q_json_snapshots(i: Inputs) -> DataFrame:
     """Snapshots as dated JSON files, one array each, the date in the name."""
     path = fresh_path(i.spark, "json-snapshots")
-    files = F.ceil(i.snapshots.count() / 1000)  # of some hundred rows each
+    files = F.lit(i.snapshots.count() // 1000 + 1)  # of some hundred rows each
     for d, _ in fx.SNAPSHOT_PLAN:
         rows = weekly.snapshot_at(i.snapshots, d).select("review_id", "store", "rating", "text", "sentiment")
         io.write_json_arrays(rows, f"{path}/reviews_{d.isoformat()}.json", F.pmod(F.xxhash64("review_id", "store", "text"), files))
