@@ -170,7 +170,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                                               pa.array(diff, pa.list_(pa.int64())), pa.array(linked, pa.bool_())],
                                              ["centre", "id", "n", "diff", "linked"])
 
-    return pairs.join(a, "centre").join(b, "id").select("centre", "id", "sa", "sb").mapInArrow(
+    return pairs.join(a.hint("merge"), "centre").join(b.hint("merge"), "id").select("centre", "id", "sa", "sb").mapInArrow(
         run, "centre long, id long, n long, diff array<bigint>, linked boolean")
 
 
@@ -257,19 +257,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     classes = sigs.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("c"))
     members = salted_left_join(sigs.select("id", *same), classes.filter("c > 1").select(*same, "rep"), same, F.col("id"))
     members = materialize(members.select("id", "n", F.coalesce("rep", "id").alias("rep")), "smh-members")
-    reps = members.filter("id = rep and n > 0").select("id").distinct()
+    # The sides of the joins below grow with the corpus: all are merge joins, at every size.
+    reps = members.filter("id = rep and n > 0").select("id").distinct().hint("merge")
     buckets = sigs.join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band")).distinct()
     shared = buckets.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
-    buckets = materialize(buckets.join(shared, "band"), "smh-buckets")
+    buckets = materialize(buckets.join(shared.hint("merge"), "band"), "smh-buckets")
     # Full sets of the candidates, and how many shingles each shares with no other.
-    wanted = buckets.select("id").distinct()
+    wanted = buckets.select("id").distinct().hint("merge")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     sets = materialize(full_sets(texts).dropDuplicates(["id", "shingles"]), "smh-sets")
     own = sets.select("id", F.explode("shingles").alias("s")).groupBy("s") \
         .agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = sets.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    sizes = sets.select("id", "n").join(own.hint("merge"), "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
     sizes = sizes.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * threshold)
-    buckets = materialize(buckets.join(sizes.select("id", "own"), "id"), "smh-buckets")
+    buckets = materialize(buckets.join(sizes.select("id", "own").hint("merge"), "id"), "smh-buckets")
     # Centre: the member with the fewest shingles of its own.
     centres = buckets.groupBy("band").agg(F.min(F.struct("own", "id")).alias("m"), F.count("*").alias("c")) \
         .filter("c > 1").select("band", F.col("m.id").alias("centre"))
@@ -298,5 +299,5 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     dropped = near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_dropped")).distinct()
     one = Window.partitionBy(key).orderBy(text, *(c for c in docs.columns if c not in (key, text)))
     named = docs.filter(F.col(key).isNotNull()).withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    named = named.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
+    named = named.join(dropped.hint("merge"), F.col(key) == F.col("_dropped"), "left_anti")
     return named.select(docs.columns).union(docs.filter(F.col(key).isNull()))
