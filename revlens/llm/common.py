@@ -18,8 +18,8 @@ from revlens.operators.common import salted_left_join  # noqa: F401  for the ope
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
-GROUP_BYTES = 4 << 20  # documents are handled together up to this size; a larger one stands alone
-SEGMENT_BYTES = 1 << 20  # bytes hashed at a time, cut between words
+GROUP_BYTES = 1 << 20  # documents are handled together up to this size; a larger one stands alone
+SEGMENT_BYTES = 1 << 19  # bytes hashed at a time, cut between words
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
