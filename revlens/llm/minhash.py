@@ -296,8 +296,10 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Of rows that repeat a key the one with the smallest text stays; rows
     without a key all stay.
     """
-    dropped = near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias("_dropped")).distinct()
-    one = Window.partitionBy(key).orderBy(text, *(c for c in docs.columns if c not in (key, text)))
-    named = docs.filter(F.col(key).isNotNull()).withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    named = named.join(dropped.hint("merge"), F.col(key) == F.col("_dropped"), "left_anti")
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    dropped = near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias(own)).distinct()
+    rest = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)], F.lit(0).alias(own))))
+    one = Window.partitionBy(key).orderBy(text, rest)  # the other columns may be of any type
+    named = docs.filter(F.col(key).isNotNull()).withColumn(own, F.row_number().over(one)).filter(F.col(own) == 1).drop(own)
+    named = named.join(dropped.hint("merge"), F.col(key) == F.col(own), "left_anti")
     return named.select(docs.columns).union(docs.filter(F.col(key).isNull()))

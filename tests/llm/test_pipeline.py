@@ -43,6 +43,8 @@ def test_edge_rows(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, SF0001)
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "5", "None", "None"]
+    odd = docs.selectExpr("*", "map('a', 1) AS m", "1 AS _row", "2 AS _")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, odd, SF0001).collect()) == ["1", "2", "3", "5", "None", "None"]
     for _, stage in corpus_pipeline.STAGES:
         docs, empty = stage(spark, docs, SF0001), docs.limit(0)
         assert stage(spark, empty, SF0001).collect() == []
