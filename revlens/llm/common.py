@@ -63,7 +63,8 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if off is None or len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
     off = np.frombuffer(off, np.int64)[col.offset: col.offset + len(col) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[off[0]: off[-1]], off - off[0]  # of a slice its own part only
 
 
 def _segment_words(data: np.ndarray, breaks: np.ndarray, table: np.ndarray):
