@@ -93,7 +93,7 @@ def token_ids(model: str, text: str | None, lone: bool = False) -> np.ndarray:
         return np.zeros(0, np.uint32)
     if fast is None or any(s in text for s in special):
         return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
-    return fast[lone].encode_to_numpy(text).astype(np.uint32, copy=False)
+    return np.array(fast[lone].encode_ordinary(text), np.uint32)  # its encode_to_numpy also looks for special tokens
 
 
 def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
