@@ -22,7 +22,8 @@ either in one component already or compared.  A group of near copies costs
 about one full comparison a member, and no row is made for a pair.
 
 With ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.85 is missed
-with a probability of 7e-6, a more similar one less often.
+with a probability of 7e-6, a more similar one less often; ``keep`` takes
+0.8 and ``KEEP_BANDS`` bands of ``KEEP_ROWS`` rows with the same chance.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a document shorter than a shingle is one shingle.  A null key is
@@ -45,6 +46,8 @@ from revlens.session import materialize
 WORDS = 5
 THRESHOLD = 85  # per cent of the union
 BANDS, ROWS = 25, 6
+KEEP_THRESHOLD = 80  # of ``keep`` and the pipeline's stage
+KEEP_BANDS, KEEP_ROWS = 30, 5
 BLOCK = 256
 UNITS = "array<struct<kind:int,i:int,j:int>>"
 
@@ -290,14 +293,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = KEEP_THRESHOLD, bands: int = KEEP_BANDS,
+         rows: int = KEEP_ROWS) -> DataFrame:
     """One document of each group: the rows of ``docs`` with the group's smallest key, unchanged.
 
     Of rows that repeat a key the one with the smallest text stays; rows
     without a key all stay.
     """
     own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
-    dropped = near_duplicates(docs, key, text).filter("not kept").select(F.col(key).alias(own)).distinct()
+    dropped = near_duplicates(docs, key, text, threshold, bands, rows).filter("not kept").select(F.col(key).alias(own)).distinct()
     rest = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)], F.lit(0).alias(own))))
     one = Window.partitionBy(key).orderBy(text, rest)  # the other columns may be of any type
     named = docs.filter(F.col(key).isNotNull()).withColumn(own, F.row_number().over(one)).filter(F.col(own) == 1).drop(own)

@@ -49,3 +49,17 @@ def test_edge_rows(spark):
         docs, empty = stage(spark, docs, SF0001), docs.limit(0)
         assert stage(spark, empty, SF0001).collect() == []
     assert docs.count() >= 0
+
+
+def test_near_copies_from_similarity_080(spark):
+    """The stage links at 0.8, on documents with pairs between 0.8 and 0.85, and so does the whole pipeline."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = sorted(k for k, (_, c) in test_minhash.brute(rows, 80).items() if k == c)
+    assert len(want) < sum(k == c for k, (_, c) in test_minhash.brute(rows, 85).items())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF001).collect()) == want
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, SF001)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    component = test_minhash.brute(rows, 80)
+    test_packing.check(corpus_pipeline.run(spark, SF001).collect(), [(k, t) for k, t in rows if component[k][1] == k])
