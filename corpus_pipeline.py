@@ -6,8 +6,8 @@ All but the last return the columns of ``documents``, with rows unchanged.
 
 Defined results: rows are judged one by one, so null and repeated keys and
 null or empty texts follow the operators' rules.  (An empty text fails the
-base quality rule; of rows that repeat a key one stays; rows without a key
-are never duplicates.)  An empty table stays empty.
+base quality rule; of rows that repeat a key those with unlike texts all
+stay; rows without a key are never duplicates.)  An empty table stays empty.
 """
 
 from __future__ import annotations

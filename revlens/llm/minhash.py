@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import GOLDEN, U, mix, roots, salted_left_join, units, windows, word_groups
@@ -295,15 +295,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = KEEP_THRESHOLD, bands: int = KEEP_BANDS,
          rows: int = KEEP_ROWS) -> DataFrame:
-    """One document of each group: the rows of ``docs`` with the group's smallest key, unchanged.
+    """One row of each group of similar texts, unchanged: the one with the smallest key.
 
-    Of rows that repeat a key the one with the smallest text stays; rows
-    without a key all stay.
+    Rows are judged one by one: unlike texts under one key all stay.  Of a
+    group's rows that repeat its smallest key one stays, chosen by hashes of
+    its text and other columns.  Rows of one key whose texts hold no word
+    are one group; rows without a key all stay.
     """
     own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
-    dropped = near_duplicates(docs, key, text, threshold, bands, rows).filter("not kept").select(F.col(key).alias(own)).distinct()
-    rest = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)], F.lit(0).alias(own))))
-    one = Window.partitionBy(key).orderBy(text, rest)  # the other columns may be of any type
-    named = docs.filter(F.col(key).isNotNull()).withColumn(own, F.row_number().over(one)).filter(F.col(own) == 1).drop(own)
-    named = named.join(dropped.hint("merge"), F.col(key) == F.col(own), "left_anti")
-    return named.select(docs.columns).union(docs.filter(F.col(key).isNull()))
+    rest = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)], F.lit(0).alias(own))))  # of any type
+    docs = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "smh-rows")  # written, so the numbers stay
+    named = docs.filter(F.col(key).isNotNull())
+    found = near_duplicates(named, own, text, threshold, bands, rows).select(F.col(own).alias("row"), "n_shingles", "component_id")
+    order = named.select(F.col(own).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"), rest.alias("rest"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.concat(F.lit("key "), F.col("key").cast("string")))
+    found = materialize(found.join(order.hint("merge"), "row").select("row", "key", "hash", "rest", group.alias("group")), "smh-groups")
+    first = found.groupBy("group").agg(F.min(F.struct("key", "hash", "rest", "row")).alias("m"), F.count("*").alias("c")) \
+        .filter("c > 1").select("group", F.col("m.row").alias("first"))
+    dropped = salted_left_join(found, first, ["group"], F.col("row")).filter("row != first").select(F.col("row").alias(own))
+    return docs.join(dropped.hint("merge"), own, "left_anti").drop(own)

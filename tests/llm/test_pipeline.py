@@ -63,3 +63,15 @@ def test_near_copies_from_similarity_080(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     component = test_minhash.brute(rows, 80)
     test_packing.check(corpus_pipeline.run(spark, SF001).collect(), [(k, t) for k, t in rows if component[k][1] == k])
+
+
+def test_unlike_texts_under_one_key_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, "x"), (5, b, "x"), (9, b + " end", "x"), (7, a, "x"), (5, a, "x"), (5, c, "x"), (6, None, "x"), (6, "", "x"), (8, " ", "x"),
+            (None, c, "x"), (None, c, "x")] + [(4, f"{c} tail{i // 2}", "y") for i in range(6)] + [(1, " ".join(f"t{i}w{j}" for j in range(20)), "z") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF0001).collect()]
+    assert sorted(t for k, t in got if k == 1) == sorted(t for k, t, _ in rows if k == 1)
+    assert sorted(t for k, t in got if k == 5) == [a, b]
+    assert len([t for k, t in got if k == 4 and t.startswith(c)]) == 1
+    assert sorted(str(k) for k, _ in got if k not in (1, 4, 5)) == ["6", "8", "None", "None"]
