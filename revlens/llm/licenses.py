@@ -80,6 +80,25 @@ TEXTS = {
 #: Titles under which a whole text may stand.
 TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License",
           "BSD-3-Clause": "BSD 3-Clause License"}
+#: Digests of longer whole texts by SPDX id, in the wording of Debian's common-licenses: with title, with http or https in all
+#: links, with and without the part after the terms (Apache-2.0, GPL), and Apache-2.0 also with its appendix filled in.
+DIGESTS = {
+    "Apache-2.0": ["549d687d2eac9867ac7ae27252846a4f54c0699f24a41489db3da26b1d6e5540",
+                   "317a99ee85f22bfb10af27f4d60e2ceadeec469cf6e715bdfd57fdc6ce51ba68",
+                   "8119d65c52d522e7b934817d2acd0661da12200ca5c3c635c0d1638d7f482c3f",
+                   "93efa507673d0ba5d573df4ca138d9b10106f9f66a3a63b9a0b5e694c9e04d72",
+                   "8ccd7e2a87a615f12cc6b52b15625795b28c6d737d01b85bd89a974aaaf94ae8",
+                   "28c248de7107bfab66935a67c5bc727d2fdcf8b63323e678c81dc0fd9c652072"],
+    "GPL-2.0": ["64a86f1d3531a8b5c1d2f564c01882c63b58c93fbfb517279bfaa9a261cb1796",
+                "b6d9bbc37df0f1f9eeaf989865222e8e8149d2661426763e656d1b7b18a8d9da"],
+    "GPL-3.0": ["1762992c0f76994ca6cd4de78ffa1345f8e322e1a230f87cf23660dac7bf8314",
+                "fbf4c7854913caaf09c170805455959454d9447e36e4d6495f74d232da3fc175",
+                "0146dac78c87756d210fd3b26508bf1a3c85bb775a7a1fd6d471f4201103d236"],
+    "LGPL-3.0": ["572947626844a56d29ace510237040204d4085696621f319533ca366aa897913"],
+    "MPL-2.0": ["085a00a7d5f35fd39ee7b08052486f5758ccc298a989a6393e2ce3ead8160650",
+                "46738f25034c2eb15203b7488e7a33141480a41a2cc5c0c1c6da836cc587fb21"],
+    "CC0-1.0": ["5caa6b96e2c9f66e9ca02d726096312a8662a9c4fea6446ff24fee66902e58dc"],
+}
 #: Names in short notices by SPDX id.
 NAMES = {
     "MIT": ["MIT", "MIT License"], "ISC": ["ISC", "ISC License"], "Apache-2.0": ["Apache-2.0", "Apache 2.0", "Apache License 2.0", "Apache License, Version 2.0"],
@@ -104,8 +123,10 @@ def known_rows() -> list[tuple[str, str, str]]:
 
 def known_texts(spark: SparkSession) -> DataFrame:
     """The known texts as a table whose size Spark knows."""
-    values = ", ".join("(" + ", ".join(_quoted(x) for x in r) + ")" for r in known_rows())
-    return spark.sql(f"SELECT * FROM VALUES {values} AS k(licence, kind, text)")
+    rows = [(*map(_quoted, r), "CAST(NULL AS STRING)") for r in known_rows()]
+    rows += [(_quoted(k), "'text'", "CAST(NULL AS STRING)", _quoted(d)) for k, ds in DIGESTS.items() for d in ds]
+    values = ", ".join("(" + ", ".join(r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS k(licence, kind, text, digest)")
 
 
 def _quoted(text: str) -> str:
@@ -130,8 +151,12 @@ def digest(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, digest, licence (of the whole text, or null), notices (licences of lines that are notices, sorted)."""
-    known = known.select("licence", "kind", digest(F.col("text")).alias("digest")).filter("digest != ''") \
+    """Per row: key, digest, licence (of the whole text, or null), notices (licences of lines that are notices, sorted).
+
+    ``known`` has licence, kind and text; its column digest, if there is one, stands for the text where it is not null.
+    """
+    given = [F.col("digest")] if "digest" in known.columns else []
+    known = known.select("licence", "kind", F.coalesce(*given, digest(F.col("text"))).alias("digest")).filter("digest != ''") \
         .groupBy("kind", "digest").agg(F.min("licence").alias("licence"))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     texts = known.filter("kind = 'text'").select("digest", "licence")

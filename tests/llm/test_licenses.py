@@ -1,5 +1,7 @@
 """Licence scan: canonical form, edge rows, and the query against DuckDB."""
 
+import os
+
 import pytest
 
 from revlens.llm import licenses, queries
@@ -57,3 +59,23 @@ def test_equivalent_spellings_side_by_side(docs_of, spark):
     own = spark.createDataFrame([("B", "text", "licence licence per cent non-commercial"), ("A", "text", "LICENSE, license percent noncommercial"),
                                  ("C", "text", None), ("D", "text", " ")], "licence string, kind string, text string")
     assert scan(docs_of, own, [(1, "license licence percent non commercial"), (2, "")]) == [(1, "A", None), (2, None, None)]
+
+
+def test_known_by_digest(docs_of, spark):
+    text = "one two three"
+    d = docs_of([(1, text)]).select(licenses.digest("text")).first()[0]
+    own = spark.createDataFrame([("A", "text", None, d), ("B", "text", "four", None)], "licence string, kind string, text string, digest string")
+    assert scan(docs_of, own, [(1, "One, two THREE"), (2, "four"), (3, text + " four")]) == [(1, "A", None), (2, "B", None), (3, None, None)]
+
+
+def test_long_whole_texts(docs_of, known):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    assert set(files) == set(licenses.DIGESTS)
+    if not all(os.path.exists(f"/usr/share/common-licenses/{f}") for f in files.values()):
+        pytest.skip("no /usr/share/common-licenses")
+    texts = {k: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for k, f in files.items()}
+    rows = [*texts.items()] + [(k, " ".join(t.replace("https://", "http://").split("\n\n"))) for k, t in texts.items() if k in ("MPL-2.0", "CC0-1.0")]
+    rows += [("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Some Body")),
+             ("GPL-3.0", texts["GPL-3.0"].split("How to Apply")[0]), (None, texts["GPL-2.0"] + " more"), (None, texts["MPL-2.0"][:-60])]
+    got = scan(docs_of, known, [(i, t) for i, (_, t) in enumerate(rows)])
+    assert [x[1] for x in sorted(got, key=lambda x: x[0])] == [k for k, _ in rows]
