@@ -101,7 +101,7 @@ def weekly_sheets(new: DataFrame, history: DataFrame, store_dim: DataFrame) -> d
 
     ``new``: this week's new rows; ``history``: the stored new rows of all
     weeks (snapshot_date, store, rating, sentiment, has_reply), from which
-    the trends follow without diffing or scoring old snapshots again.
+    the trends follow without diffing old snapshots again.
     """
     stores = [r["name"] for r in store_dim.select("name").collect()]  # configured list: bounded
     grains = weekly.weekly_grains(history, stores)
@@ -122,12 +122,12 @@ def weekly_sheets(new: DataFrame, history: DataFrame, store_dim: DataFrame) -> d
     }
 
 
-def _stored_new(spark: SparkSession, snapshot_path: str, history_path: str) -> DataFrame:
-    """New rows of all weeks: the first snapshot's rows, all new, then the stored ones of each run."""
+def _stored_new(spark: SparkSession, snapshot_path: str, history_path: str, categories, lexicon: Lexicon | DataFrame) -> DataFrame:
+    """New rows of all weeks: the first snapshot's rows, all new and scored here, then the stored ones of each run."""
     cols = ["snapshot_date", "store", "rating", "sentiment", "has_reply"]
     snaps = io.read_snapshots(spark, snapshot_path)
     first = snaps.agg(F.min("snapshot_date")).first()[0]
-    base = weekly.enrich_new(weekly.snapshot_at(snaps, first)).select(*cols)
+    base = weekly.enrich_new(weekly.snapshot_at(snaps, first), categories, lexicon).select(*cols)
     return base.unionByName(read_history(spark, history_path, "new_reviews").withColumnRenamed("as_of", "snapshot_date").select(*cols))
 
 
@@ -152,7 +152,8 @@ def run_weekly(spark: SparkSession, rows_path: str, snapshot_path: str, out: str
     if store_dim is None:
         names = metrics.stores_from_data(io.read_snapshots(spark, snapshot_path))
         store_dim = spark.createDataFrame([(n,) for n in names], "name string")
-    sheets = weekly_sheets(new, _stored_new(spark, snapshot_path, history_path), store_dim)
+    history = _stored_new(spark, snapshot_path, history_path, WEEKLY_CATEGORIES, _lexicon(lexicon))
+    sheets = weekly_sheets(new, history, store_dim)
     io.write_report(sheets, out)
     clear_scratch(spark, mark)
     return {name: f"{out}/report={name}" for name in sheets}

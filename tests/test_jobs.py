@@ -79,3 +79,20 @@ def test_weekly_rows_keep_their_stored_enrichment(spark, tmp_path):
     done = jobs.run_weekly(spark, str(tmp_path / "b.json"), table, fresh_path(spark, "o"), dt.date(2026, 1, 8))
     got = {r["review_id"]: (r["sentiment"], r["categories"], r["rating"]) for r in spark.read.parquet(done["all_new_reviews"]).collect()}
     assert got == {"2": ("Negative", "Mine", 4.5), "3": ("Positive", "General", 4.5)}
+
+
+def test_weekly_baseline_is_scored_with_the_jobs_lexicon(spark, tmp_path):
+    import json
+    words = [f"{x}word" for x in "abcd"]
+    for day, n in (("a", 3), ("b", 4)):
+        (tmp_path / f"{day}.json").write_text(json.dumps([
+            {"review_id": str(i), "store": "s", "text": words[i], "rating": 4.5} for i in range(n)]))
+    own = Lexicon([(words[0], 9000, 0, "scored"), (words[1], 9000, 0, "scored"), (words[2], -9000, 0, "scored"), (words[3], -9000, 0, "scored")])
+    for lexicon in (own, own.to_dataframe(spark)):
+        table = fresh_path(spark, "lex")
+        assert jobs.run_weekly(spark, str(tmp_path / "a.json"), table, fresh_path(spark, "o"), dt.date(2026, 1, 1), lexicon=lexicon) is None
+        done = jobs.run_weekly(spark, str(tmp_path / "b.json"), table, fresh_path(spark, "o"), dt.date(2026, 1, 8), lexicon=lexicon)
+        wow = spark.read.parquet(done["week_over_week"]).filter("is_all and metric in ('positive', 'negative')")
+        got = sorted((str(r["snapshot_date"]), r["metric"], r["value"], r["prev_value"]) for r in wow.collect())
+        assert got == [("2026-01-01", "negative", 1, None), ("2026-01-01", "positive", 2, None),
+                       ("2026-01-08", "negative", 1, 1), ("2026-01-08", "positive", 0, 2)]
