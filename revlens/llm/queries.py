@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: ``opN_<name>(spark, sf_dir)`` over whole tables, and their SQL."""
+"""Registered queries of the operators: ``opN_<name>(spark, sf_dir)`` over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from revlens.llm import cap_filters, licenses, minhash
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,9 +73,26 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import collocations
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import token_alignment
+    with open(tokenizer_file(TOKENIZER), encoding="utf-8") as a, open(tokenizer_file(PIECE_TOKENIZER), "rb") as b:
+        return token_alignment.alignments(table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm import binary_packing
+    with open(tokenizer_file(WORD_TOKENIZER), encoding="utf-8") as f:
+        return binary_packing.pack_documents(table(spark, sf_dir, "documents"), f.read())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_warc, op3_url_filter, op4_deleted_interpolation, op5_best_fit_packing, op6_quality_rules, op7_minhash,
-    op8_quality_knn, op9_bpe, op10_cap_filters)}
+    op8_quality_knn, op9_bpe, op10_cap_filters, op11_collocations, op12_token_alignment, op13_binary_packing)}
 
 #: Base 32 of a SHA-1 in hex: eight blocks of 20 bits, four letters each.
 _OP2 = """
@@ -166,6 +185,30 @@ FROM b LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id)
 """
 
 
+def _op11() -> str:
+    """Phrase collocations: every n-gram counted on its own, all cuts joined, the longer ones that cover a phrase by position."""
+    gram = lambda m: "SELECT lang, " + " || ' ' || ".join(f"ws[i + {k}]" for k in range(m)) + \
+        f" AS phrase, {m} AS words FROM (SELECT lang, ws, unnest(range(1, len(ws) - {m} + 2)) AS i FROM w)"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, phrase, words, count(*) AS f FROM ({" UNION ALL ".join(gram(m) for m in range(1, 5))}) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS x FROM g WHERE words > 1 AND f >= 30),
+k AS (SELECT lang, phrase, a, k, array_to_string(x[1:k], ' ') AS head, array_to_string(x[k + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.a, l.f AS l, r.f AS r, CAST((2000000 * CAST(k.a AS HUGEINT)) // (l.f + r.f) AS BIGINT) AS score
+      FROM k JOIN g l ON l.lang = k.lang AND l.phrase = k.head JOIN g r ON r.lang = k.lang AND r.phrase = k.rest
+      QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k.k) = 1),
+cover AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN c b ON b.lang = s.lang AND 100 * b.a >= 80 * s.a
+            AND len(string_split(s.phrase, ' ')) < b.words AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank, s.phrase, a, l, r, n, score
+FROM s JOIN t USING (lang) WHERE NOT EXISTS (SELECT 1 FROM cover v WHERE v.lang = s.lang AND v.phrase = s.phrase)
+QUALIFY rank <= 2000
+"""
+
+
 #: SQL cannot train, tokenise or learn weights: the other queries are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op2_warc": _OP2, "op6_quality_rules": _op6(),
-                              "op7_minhash": _OP7, "op10_cap_filters": _OP10}
+                              "op7_minhash": _OP7, "op10_cap_filters": _OP10, "op11_collocations": _op11()}
