@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, sf):
             verdict = test_quality_rules.brute([(r["doc_id"], r["text"], r["lang"]) for r in rows])
             want = [r for r in rows if verdict[r["doc_id"]][-1]]
         else:
-            component = test_minhash.brute([(r["doc_id"], r["text"]) for r in rows])
+            component = test_minhash.brute([(r["doc_id"], r["text"]) for r in rows], 80)  # the stage links at 0.8
             want = [r for r in rows if component[r["doc_id"]][1] == r["doc_id"]]
         assert len(want) < len(rows)
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in want)
