@@ -14,7 +14,7 @@ tasks.
 
 Tokenising.  A model that drops white space and lower-cases treats every
 word alike wherever it stands.  Its distinct words are encoded once for a
-group of documents (and remembered up to ``KNOWN_WORDS``); a document's ids
+group of documents (and remembered, up to ``KNOWN_WORDS``); a document's ids
 are then gathered from them.  Texts that hold a special token's string, and
 models of any other kind, go to the library as a whole.
 
@@ -44,7 +44,7 @@ from revlens.session import materialize
 SIZE = 2048
 END_ID = 1
 GROUP_BYTES = 1 << 23  # texts encoded together, about; a longer one is cut into parts of this size
-KNOWN_WORDS = 300_000  # words whose ids a task remembers
+KNOWN_WORDS = 600_000  # words whose ids a Python worker remembers, over all of its tasks
 TASK_BLOCK = 1024  # tasks whose counts are summed together
 
 # The normaliser and pre-tokeniser for which words can be encoded one by one.
@@ -56,7 +56,8 @@ WORDWISE = {
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
-_STOPS = ".,;:!?"  # a run of these after a letter or digit ends a word and is a pre-token of its own
+#: A run of these after an ASCII letter or digit ends a word and is a pre-token of its own.
+_STOPS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 @lru_cache(maxsize=2)
@@ -79,29 +80,42 @@ def _split_word(word: str) -> tuple[str, str]:
 
 
 class WordEncoder:
-    """Ids of texts by their distinct words; equal to the library's ids of the whole texts."""
+    """Ids of texts by their distinct words; equal to the library's ids of the whole texts.
+
+    Ids of words are held as bytes.  Beyond ``known`` words the older half is
+    forgotten, except for words met again.
+    """
 
     def __init__(self, model: str, known: int = KNOWN_WORDS):
         self.tok, self.plain, self.special = _tokenizer(model)
-        self.known, self.limit = {}, known
+        self.known, self.older, self.limit = {"": b""}, {}, known // 2
 
-    def words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word."""
+    def _learn(self, words: list[str]) -> None:
+        """Make the ids of distinct words known."""
         if len(self.known) > self.limit:
-            self.known.clear()
-        parts = [_split_word(w) for w in words]
-        new = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w and w not in self.known]
+            self.known, self.older = {"": b""}, self.known
+        new = []
+        for w in words:
+            if (ids := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
         if new:
             enc = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, of = enc.ids, np.array([-1 if x is None else x for x in enc.word_ids], np.int64)
-            ends = np.searchsorted(of, np.arange(len(new)), "right").tolist()
-            at = 0
-            for w, e in zip(new, ends):
-                self.known[w] = tuple(ids[at:e])
+            of = np.array([-1 if x is None else x for x in enc.word_ids], np.int64)
+            data, at = np.array(enc.ids, "<u4").tobytes(), 0
+            for w, e in zip(new, (4 * np.searchsorted(of, np.arange(len(new)), "right")).tolist()):
+                self.known[w] = data[at:e]
                 at = e
-        found = self.known
-        found[""] = ()
-        return [found[a] + found[b] if b else found[a] for a, b in parts]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        parts = [_split_word(w) for w in words]
+        missing = {x for p in parts for x in p if x not in self.known}
+        if missing:
+            self._learn([x for x in dict.fromkeys(chain.from_iterable(parts)) if x] if len(self.known) > self.limit else list(missing))
+        known = self.known
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
 
     def group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; where each begins, and the end)."""
@@ -113,8 +127,8 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", folded))
         code = lists.flatten().dictionary_encode()
         each = self.words(code.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
         codes = np.asarray(code.indices).astype(np.int64)
         n = size[codes]
         begin = np.concatenate(([0], np.cumsum(n)))
@@ -141,6 +155,12 @@ class WordEncoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+@lru_cache(maxsize=1)
+def encoder(model: str) -> WordEncoder:
+    """The encoder of a Python worker: what it has learnt serves the worker's next tasks."""
+    return WordEncoder(model)
+
+
 def binary_pieces(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: powers of two of at most ``size``, the longest first."""
     out, at, bit = [], 0, size
@@ -163,7 +183,7 @@ def pieces(docs: DataFrame, model: str, size: int = SIZE, end_id: int = END_ID,
     numbers = ("start", "length", "ids_crc32", "doc_tokens", "place")
 
     def run(batches):
-        enc, task, placed = WordEncoder(model), TaskContext.get().partitionId(), {}
+        enc, task, placed = encoder(model), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4")
         for b in batches:
             texts = b.column(1).cast(pa.large_string())
