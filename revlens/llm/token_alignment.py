@@ -35,7 +35,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +47,9 @@ from revlens.llm.common import salted_left_join
 from revlens.llm.packing import _tokenizer as byte_tokenizer
 from revlens.session import materialize
 
-BATCH_ROWS = 2_000  # documents of a batch
-BATCH_BYTES = 1 << 22  # text of a batch, about; a longer text stands alone
+BATCH_ROWS = 4_000  # documents whose pairs are named together
+BATCH_BYTES = 1 << 23  # and their text, about
+SLICE_BYTES = 1 << 20  # text that is aligned at a time, about; a longer text stands alone
 PART_CHARS = 1 << 20  # a longer text is given to B in parts
 WIDE = 4_096  # links of a group from which it is expanded by distinct ids
 BLANK = "▁"
@@ -81,6 +81,11 @@ class ByteTokens:
         return self.tok.encode(" " + text, add_special_tokens=False).ids
 
 
+    def gives_back(self, ids: list[int], data: bytes) -> bool:
+        """Whether the ids' bytes are ``data``: a plain byte-level model changes nothing."""
+        return self.fast is not None or b"".join(map(self.bytes.__getitem__, ids)) == data
+
+
 class PieceTokens:
     """Tokenizer B: ids of the text (the model itself adds the space), and the bytes of each id."""
 
@@ -119,10 +124,9 @@ def _models(a: str, b: bytes) -> tuple[ByteTokens, PieceTokens]:
     return ByteTokens(a), PieceTokens(b)
 
 
-def cuts(ids_a: list[int], ids_b: list[int], len_a: list[int], len_b: list[int]) -> tuple[list[int], list[int]]:
+def cuts(ids_a: np.ndarray, ids_b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> tuple[list[int], list[int]]:
     """Numbers of A tokens and of B tokens up to each byte offset at which tokens of both end."""
-    ends_a = dict(zip(accumulate(map(len_a.__getitem__, ids_a)), range(1, len(ids_a) + 1)))
-    ends_b = dict(zip(accumulate(map(len_b.__getitem__, ids_b)), range(1, len(ids_b) + 1)))
+    ends_a, ends_b = (dict(zip(np.cumsum(n[ids]).tolist(), range(1, len(ids) + 1))) for ids, n in ((ids_a, len_a), (ids_b, len_b)))
     common = sorted(ends_a.keys() & ends_b.keys())
     return list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
 
@@ -180,32 +184,36 @@ def align(docs: DataFrame, model_a: str, model_b: bytes, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         A, B = _models(model_a, model_b)
-        len_a, len_b, base = list(map(len, A.bytes)), list(map(len, B.bytes)), len(B.bytes)
+        len_a, len_b = (np.array(list(map(len, x.bytes)), np.int64) for x in (A, B))
+        base = len(len_b)
         names = [f"{i}{c}" for i in range(max(len(len_a), base)) for c in ",|;"]
-        batch = TaskContext.get().partitionId() << 32
+        batch, held_rows, held_bytes = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
             ahead = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64))))
             at = 0
             while at < b.num_rows:
-                to = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(ahead, ahead[at] + BATCH_BYTES, "right")) - 1))
+                to = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(ahead, ahead[at] + SLICE_BYTES, "right")) - 1))
+                size = int(ahead[to] - ahead[at])
+                if held_rows and (held_rows + to - at > BATCH_ROWS or held_bytes + size > BATCH_BYTES):
+                    batch, held_rows, held_bytes = batch + 1, 0, 0
+                held_rows, held_bytes = held_rows + to - at, held_bytes + size
                 texts = [t or "" for t in b.column(1).slice(at, to - at).to_pylist()]
-                short = [t if len(t) <= part_chars else "" for t in texts]
-                ids = [([], []) for _ in texts]
-                for i, (t, ids_b) in enumerate(zip(texts, B.ids(short))):
+                none = np.zeros(0, np.int64)
+                ids, cut = [(none, none)] * len(texts), [(none, none)] * len(texts)
+                for i, (t, ids_b) in enumerate(zip(texts, B.ids([t if len(t) <= part_chars else "" for t in texts]))):
                     if not t:
                         continue
                     if len(t) > part_chars:
                         ids_b = B.long_ids(t, part_chars)
                     ids_a, want = A.ids(t), (" " + t).encode()
-                    if b"".join(map(A.bytes.__getitem__, ids_a)) == want == b"".join(map(B.bytes.__getitem__, ids_b)):
-                        ids[i] = ids_a, ids_b
-                cut = [cuts(x, y, len_a, len_b) for x, y in ids]
-                flat = lambda lists: np.fromiter((x for own in lists for x in own), np.int64)
-                a, c = flat(x for x, _ in ids), flat(y for _, y in ids)
+                    if A.gives_back(ids_a, want) and b"".join(map(B.bytes.__getitem__, ids_b)) == want:
+                        ids[i] = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+                        cut[i] = tuple(np.array(x, np.int64) for x in cuts(*ids[i], len_a, len_b))
+                a, c = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
                 count = lambda lists: np.array([len(x) for x in lists], np.int64)
                 n_groups, n_a, n_b = count(x for x, _ in cut), count(x for x, _ in ids), count(y for _, y in ids)
-                sizes = lambda k: flat(np.diff(x[k], prepend=0).tolist() for x in cut)
-                g_a, g_b, doc = sizes(0), sizes(1), np.repeat(np.arange(len(texts)), n_groups)
+                g_a, g_b = (np.concatenate([np.diff(x[k], prepend=0) for x in cut]) for k in (0, 1))
+                doc = np.repeat(np.arange(len(texts)), n_groups)
                 of, pairs, links = expand(a, c, g_a, g_b, doc, base)
                 n_links = np.zeros(len(texts), np.int64)
                 np.add.at(n_links, doc, g_a * g_b)
@@ -216,7 +224,6 @@ def align(docs: DataFrame, model_a: str, model_b: bytes, key: str = "doc_id", te
                      pa.array(_digests(a, c, g_a, g_b, np.cumsum(n_a + n_b), names), pa.string()),
                      *(pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (pairs, links))],
                     ["batch", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links"])
-                batch += 1
                 at = to
 
     return rows.mapInArrow(run, fields)

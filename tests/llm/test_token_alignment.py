@@ -81,7 +81,6 @@ def test_query(spark):
 @pytest.mark.parametrize("wide, batch", [(4096, 2000), (3, 4)])
 def test_edge_rows(docs_of, monkeypatch, wide, batch):
     docs = [(1, None), (1, ""), (None, "Some words"), (2, "Some words"), (2, "Some words"), *((10 + i, t) for i, t in enumerate(ODD))]
-    # (tasks of a local session take the module's values from their own import: patched values hold for direct calls)
     monkeypatch.setattr(ta, "WIDE", wide)
     monkeypatch.setattr(ta, "BATCH_ROWS", batch)
     assert rows(ta.alignments(docs_of(docs).repartition(3), MODEL_A, MODEL_B)) == brute(docs)
@@ -113,5 +112,6 @@ def test_parts_of_long_texts_give_the_same_pieces():
 
 
 def test_a_text_without_common_ends_is_one_group():
-    assert ta.cuts([0, 0, 0], [0], [2], [6]) == ([3], [1])
-    assert ta.cuts([], [], [2], [6]) == ([], [])
+    of = lambda *x: np.array(x, np.int64)
+    assert ta.cuts(of(0, 0, 0), of(0), of(2), of(6)) == ([3], [1])
+    assert ta.cuts(of(), of(), of(2), of(6)) == ([], [])
