@@ -19,11 +19,12 @@ Two physical strategies give the same results; the caller chooses:
 * ``inline`` (the default for a ``Lexicon``): the dictionary is a literal of
   the plan; tokens are scanned with higher-order functions in the stage of
   the scan.  No join, no shuffle.  The plan grows with the dictionary.
-* ``join`` (the only one for a lexicon table): tokens are exploded with
-  their two predecessors, joined to the table, summed per distinct text
-  (map-side first) and joined back by the text's hash.  The score is a
+* ``join`` (the only one for a lexicon table): the tokens of each distinct
+  text are exploded with their two predecessors, joined to the table, summed
+  per text and joined back by two hashes of the text.  The score is a
   function of the text alone, so blank, NULL and repeated review ids do not
-  matter.  The table is never collected.
+  matter, and copies of a text are not exploded.  The table is never
+  collected.
 """
 
 from __future__ import annotations
@@ -139,13 +140,14 @@ def joined_parts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
 
     ``lexicon`` is a table (word, polarity, intensity, role).  Only token
     contexts that hit a scored word leave the first join.  A text that many
-    rows share is scored once per row and its sums are divided by the number
-    of rows, which is exact, so no row key is needed.
+    rows share is one row before its tokens are exploded: copies meet by two
+    hashes, map-side first.
     """
     one = lambda role, col, out: lexicon.filter(F.col("role") == role).groupBy("word") \
         .agg(F.max(col).cast("long").alias(out))  # noqa: E731  one row per word
     keyed = df.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(1), text))
-    toks = keyed.select("_h1", "_h2", tokens(text).alias("_t"))
+    toks = keyed.filter(F.col(text).isNotNull()).select("_h1", "_h2", text).dropDuplicates(["_h1", "_h2"]) \
+        .select("_h1", "_h2", tokens(text).alias("_t"))
     ctx = toks.select(
         "_h1", "_h2",
         F.explode_outer(F.transform("_t", lambda w, i: F.struct(
@@ -160,11 +162,8 @@ def joined_parts(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
         hits = salted_left_join(hits, flag, [p], F.struct("_h1", "word"))
     boosted = F.when(F.col("mult").isNotNull(), _boost(F.col("base"), F.col("mult"))).otherwise(F.col("base"))
     negated = F.coalesce("neg_p1", F.lit(False)) | F.coalesce("neg_p2", F.lit(False))
-    sums = hits.groupBy("_h1", "_h2").agg(F.sum(F.when(negated, -boosted).otherwise(boosted * 2)).alias("_s"),
-                                          F.count(F.lit(1)).alias("_n"))
-    copies = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
-    sums = sums.join(copies, ["_h1", "_h2"]).select(
-        "_h1", "_h2", F.expr("_s div _c").alias("_sent_sum"), F.expr("_n div _c").cast("int").alias("_sent_hits"))
+    sums = hits.groupBy("_h1", "_h2").agg(F.sum(F.when(negated, -boosted).otherwise(boosted * 2)).alias("_sent_sum"),
+                                          F.count(F.lit(1)).cast("int").alias("_sent_hits"))
     spread = F.xxhash64(*[F.col(c) for c in df.columns if c != text])
     out = salted_left_join(keyed, sums, ["_h1", "_h2"], spread).drop("_h1", "_h2")
     return out.withColumn("_sent_sum", F.coalesce("_sent_sum", F.lit(0).cast("long"))) \

@@ -59,18 +59,52 @@ def store_labels(stores: list[str], taken: list[str]) -> dict[str, str]:
     return {s: f"store {s}" if s in taken else s for s in stores}
 
 
-def with_store_counts(totals: DataFrame, rows: DataFrame, key: str, stores: list[str]) -> DataFrame:
-    """``totals`` (one row per ``key``) with one count column per configured store.
+#: Number of reviews that a row of a grain table stands for.
+WEIGHT = "n_reviews"
 
-    One aggregate by key and store, then a pivot of that small result; the
-    work per row does not grow with the number of stores.
+
+def as_grains(e: DataFrame, dims: list[str], replied: bool = False, scored: bool = False) -> DataFrame:
+    """Reviews counted by ``dims``: WEIGHT, and on demand ``replied`` and ``score_e4`` sums.
+
+    ``e``: review rows, or a table that is counted already by these and
+    other columns (``metrics.review_grains``), which is returned as it is:
+    the result tables add up whatever grain they are given.
+    """
+    if WEIGHT in e.columns:
+        return e
+    sums = [F.count(F.lit(1)).alias(WEIGHT)]
+    sums += [F.count_if(F.coalesce("has_reply", F.lit(False))).alias("replied")] * replied
+    sums += [F.sum(F.col("score_e4").cast("long")).alias("score_e4")] * scored
+    return e.groupBy(*dims).agg(*sums)
+
+
+def n_if(cond: Column | None = None) -> Column:
+    """Number of reviews of a grain table, of those with ``cond``."""
+    n = F.col(WEIGHT) if cond is None else F.when(cond, F.col(WEIGHT))
+    return F.coalesce(F.sum(n), F.lit(0).cast("long"))
+
+
+def mean_rating(cond: Column | None = None) -> Column:
+    """Mean rating of the rated reviews of a grain table; ratings are multiples of a half, so their sums are exact."""
+    rated = F.col("rating").isNotNull() if cond is None else cond & F.col("rating").isNotNull()
+    return F.try_divide(F.sum(F.when(rated, F.col("rating") * F.col(WEIGHT))), n_if(rated).cast("double"))
+
+
+def by_key_and_store(g: DataFrame, key: str, stores: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per ``key``: the ``sums`` over all stores, and ``_by_store``, a map store -> reviews for the configured ones.
+
+    One aggregate by key and store; the totals follow from that small result.
     """
-    names = store_labels(stores, totals.columns)
-    wide = rows.filter(F.col("store").isin(stores)).groupBy(key, "store").agg(F.count(F.lit(1)).alias("_n")) \
-        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("store", "_n"))).alias("_m"))
-    out = totals.join(wide, key, "left")
-    counts = [F.coalesce(F.try_element_at("_m", F.lit(s)), F.lit(0).cast("long")).alias(names[s]) for s in stores]
-    return out.select(*totals.columns, *counts)
+    small = g.groupBy(key, "store").agg(n_if().alias("_n"), *[c.alias(k) for k, c in sums.items()])
+    entry = F.when(F.col("store").isin(stores), F.struct("store", "_n"))
+    return small.groupBy(key).agg(*[F.sum(k).alias(k) for k in sums], F.map_from_entries(F.collect_list(entry)).alias("_by_store"))
+
+
+def with_store_columns(totals: DataFrame, stores: list[str]) -> DataFrame:
+    """``totals`` with one count column per configured store instead of the map ``_by_store``."""
+    shown = [c for c in totals.columns if c != "_by_store"]
+    names = store_labels(stores, shown)
+    return totals.select(*shown, *[F.coalesce(F.try_element_at("_by_store", F.lit(s)), F.lit(0).cast("long")).alias(names[s]) for s in stores])
 
 
 def rank_small(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -84,7 +118,7 @@ def rank_small(df: DataFrame, order: list[Column], name: str = "rank") -> DataFr
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Consecutive 1-based rank in a total order, for unbounded lists.
+    """Consecutive 1-based rank (LONG) in a total order, for unbounded lists.
 
     One range-partitioned sort (the same exchange a global ``orderBy``
     uses), written to the shared folder.  Inside a sorted partition
@@ -113,4 +147,4 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     )
     out = part.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
     place = F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1
-    return out.withColumn(name, (F.col("_off") + place).cast("int")).drop("_pid", "_off", "_mid")
+    return out.withColumn(name, F.col("_off") + place).drop("_pid", "_off", "_mid")

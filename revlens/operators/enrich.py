@@ -15,6 +15,7 @@ from revlens.functions import categories as cat
 from revlens.functions import dates
 from revlens.functions.sentiment import Lexicon, with_sentiment
 from revlens.functions.text import is_nonblank
+from revlens.operators.category_table import with_category_table
 from revlens.schema import ANALYSIS_CATEGORIES, DEFAULT_AS_OF
 
 ENRICHED_COLUMNS = [
@@ -59,7 +60,10 @@ def apply_defaults(df: DataFrame) -> DataFrame:
 def build_reviews(reviews: DataFrame, as_of: _dt.date = DEFAULT_AS_OF, categories=ANALYSIS_CATEGORIES,
                   lexicon: Lexicon | DataFrame | None = None, extended_dates: bool = False,
                   whole_word: bool = False, defaults: bool = True, strategy: str | None = None) -> DataFrame:
-    """Enriched reviews: one row per input row, columns ``ENRICHED_COLUMNS``."""
+    """Enriched reviews: one row per input row, columns ``ENRICHED_COLUMNS``.
+
+    ``categories``: a dictionary, or a table (category, keyword, position).
+    """
     df = apply_defaults(reviews) if defaults else reviews
     df = dates.with_review_date(df, "date_raw", as_of, extended_dates)
     df = (df.withColumn("month", F.trunc("review_date", "MM"))
@@ -69,7 +73,10 @@ def build_reviews(reviews: DataFrame, as_of: _dt.date = DEFAULT_AS_OF, categorie
             .withColumn("has_text", is_nonblank("text"))
             # lower-cased once, read by the tags and the sentiment tokens
             .withColumn("_lt", F.lower("text")))
-    df = df.withColumn("category_list", cat.category_list(F.col("_lt"), categories, whole_word, lowered=True))
+    if isinstance(categories, DataFrame):  # a table of keywords is joined, a dictionary is part of the plan
+        df = with_category_table(df, "text", categories)
+    else:
+        df = df.withColumn("category_list", cat.category_list(F.col("_lt"), categories, whole_word, lowered=True))
     df = df.withColumn("categories", cat.joined(F.col("category_list")))
     df = with_sentiment(df, "text", lexicon, strategy, lowered_text="_lt").drop("_lt")
     extra = [c for c in df.columns if c not in ENRICHED_COLUMNS]
@@ -100,9 +107,12 @@ def enrich_if_blank(df: DataFrame, categories=ANALYSIS_CATEGORIES, lexicon: Lexi
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base.withColumn("_t", F.when(need_sent, text)).withColumn("_c", F.when(need_cats, text))
     computed = with_sentiment(base, "_t", lexicon, strategy)
+    if isinstance(categories, DataFrame):
+        computed, tags = with_category_table(computed, "_c", categories, "_tags"), F.col("_tags")
+    else:
+        tags = cat.category_list(F.col("_c"), categories)
     out = (computed
            .withColumn("sentiment", F.when(need_sent, F.col("sentiment")).otherwise(F.col("_old_sent")))
            .withColumn("sent_score", F.when(need_sent, F.col("sent_score")).otherwise(F.col("_old_score")))
-           .withColumn("categories", F.when(need_cats, cat.joined(cat.category_list(F.col("_c"), categories)))
-                       .otherwise(F.col("_old_cats"))))
-    return out.drop("_old_sent", "_old_score", "_old_cats", "_t", "_c", "sent_sum", "sent_hits", "score_e4")
+           .withColumn("categories", F.when(need_cats, cat.joined(tags)).otherwise(F.col("_old_cats"))))
+    return out.drop("_tags", "_old_sent", "_old_score", "_old_cats", "_t", "_c", "sent_sum", "sent_hits", "score_e4")

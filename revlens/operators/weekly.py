@@ -8,11 +8,14 @@ The new-review diff is a left anti join on the id; the planner broadcasts
 the previous id set when its estimated size allows and otherwise uses a
 shuffle join (AQE re-plans at run time).  The id set is de-duplicated
 first, so a hot id (the blank id of cards without one) becomes one row.
+The diff of all dates is one window by id; trends need only its sums, which
+weekly runs store and add up.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,24 +76,63 @@ def weekly_new(snapshots: DataFrame, as_of: _dt.date, categories=WEEKLY_CATEGORI
     return enrich_new(new_reviews(snapshots, as_of), categories, lexicon)
 
 
-def snapshot_new(snapshots: DataFrame) -> DataFrame:
+#: Ids watched for being frequent, and the share of all rows from which one is handled on its own.
+HOT_IDS, HOT_SHARE = 64, 1 / 256
+
+
+@dataclass(frozen=True)
+class Calendar:
+    """What the one-pass diff must know beforehand: one entry per snapshot date, and per frequent id the dates that hold it."""
+    dates: list[_dt.date]
+    hot: dict[str, frozenset[_dt.date]]
+
+    def ordinal(self, c: str = "snapshot_date") -> Column:
+        return F.element_at(F.create_map(*[x for i, d in enumerate(self.dates) for x in (F.lit(d), F.lit(i))]), F.col(c))
+
+    def previous(self, c: str = "snapshot_date") -> Column:
+        """The date before, NULL for the first."""
+        pairs = [x for d, p in zip(self.dates, [None, *self.dates]) for x in (F.lit(d), F.lit(p).cast("date"))]
+        return F.element_at(F.create_map(*pairs), F.col(c))
+
+
+def calendar(snapshots: DataFrame) -> Calendar:
+    """Snapshot dates, and the ids that hold more than ``HOT_SHARE`` of all rows (a missing id counts as the blank one).
+
+    One narrow pass over dates and ids with mergeable sketches, nothing
+    shuffled by id; a second one, over the rows of the frequent ids only, if
+    there are any.  At most ``HOT_IDS`` ids by one row per date come back.
+    """
+    ids = snapshots.select("snapshot_date", _rid().alias("_id"))
+    got = ids.agg(F.sort_array(F.collect_set("snapshot_date")).alias("dates"), F.count(F.lit(1)).alias("n"),
+                  F.expr(f"approx_top_k(_id, {HOT_IDS}, {64 * HOT_IDS})").alias("top")).first()
+    hot = {r["item"] for r in got["top"] or [] if r["count"] > got["n"] * HOT_SHARE} | {""}
+    held: dict[str, set[_dt.date]] = {x: set() for x in hot}
+    for r in ids.filter(F.col("_id").isin(sorted(hot))).distinct().collect():
+        held[r["_id"]].add(r["snapshot_date"])
+    return Calendar(list(got["dates"] or []), {x: frozenset(d) for x, d in held.items()})
+
+
+def snapshot_new(snapshots: DataFrame, known: Calendar | None = None) -> DataFrame:
     """Per date, rows whose id is not in the immediately preceding snapshot.
 
     The first date counts every row as new; an id that leaves and returns
-    counts again.  The date -> previous date table has one row per snapshot
-    date (bounded by the run history, not the data), so it is broadcast.
+    counts again.  One scan and one exchange: rows meet by id, and a row is
+    new if none of its id's rows lies one date earlier.  Rows of frequent
+    ids, the blank one among them, are dealt by their content instead; the
+    calendar tells whether the date before holds their id.
     """
-    dates = snapshots.select("snapshot_date").distinct()
-    prev = dates.withColumn("prev_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")))
-    # one row per date: does it hold rows without an id
-    blank = snapshots.groupBy(F.col("snapshot_date").alias("_bd")).agg(F.bool_or(_rid() == "").alias("_prev_blank"))
-    prev = prev.join(blank, F.col("prev_date") == F.col("_bd"), "left").drop("_bd")
-    cur = snapshots.join(F.broadcast(prev), "snapshot_date") \
-        .filter((_rid() != "") | ~F.coalesce("_prev_blank", F.lit(False))).drop("_prev_blank")
-    ids = snapshots.filter(_rid() != "").select(F.col("snapshot_date").alias("_pd"), _rid().alias("_pid")).distinct()
-    key = F.when(_rid() != "", _rid()).otherwise(F.concat(F.lit("\0"), F.xxhash64(*snapshots.columns).cast("string")))
-    cond = (F.col("prev_date") == F.col("_pd")) & (F.col("_id") == F.col("_pid"))
-    return cur.withColumn("_id", key).join(ids, cond, "left_anti").drop("_id")
+    known = known or calendar(snapshots)
+    if not known.dates:
+        return snapshots.withColumn("prev_date", F.col("snapshot_date")).limit(0)
+    hot = _rid().isin(sorted(known.hot))
+    key = F.when(hot, F.concat(F.lit("\0"), F.xxhash64(*snapshots.columns).cast("string"))).otherwise(_rid())
+    earlier = Window.partitionBy("_key").orderBy("_ord").rangeBetween(-1, -1)
+    rows = snapshots.withColumns({"_key": key, "_ord": known.ordinal(), "prev_date": known.previous()})
+    rows = rows.withColumn("_before", F.count(F.lit(1)).over(earlier))
+    # frequent ids: (id, date) pairs whose date before holds the id
+    again = [f"{d} {i}" for i, held in sorted(known.hot.items()) for p, d in zip(known.dates, known.dates[1:]) if p in held]
+    seen = F.concat(F.col("snapshot_date").cast("string"), F.lit(" "), _rid()).isin(again)
+    return rows.filter(F.when(hot, ~seen).otherwise(F.col("_before") == 0)).drop("_key", "_ord", "_before")
 
 
 # -------------------------------------------------------------------------- predicates
@@ -247,44 +289,64 @@ def alerts(new: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------------- trends
 
-def weekly_grains(new: DataFrame, stores: list[str], dates: DataFrame | None = None) -> DataFrame:
-    """Sums per snapshot date and configured store, and per date over all rows (store NULL, is_all), zero filled.
+def week_sums(new: DataFrame, by: list[str]) -> DataFrame:
+    """Partial states of new rows per group: counts and sums that can be added up over stores and dates.
 
-    One aggregate by date and store over the new rows of every week; all
-    trend tables follow from this small result.  ``dates`` lists the
-    snapshot dates, so that a week without new rows is a row of zeros; by
-    default the dates of ``new``.  Needs columns snapshot_date, store,
-    rating, and sentiment, has_reply where present.
+    Needs rating, and sentiment and has_reply where present.
     """
     has = set(new.columns)
-    sums = {
-        "new": F.count(F.lit(1)), "critical": count_if(F.col("rating") <= 2), "low": count_if(F.col("rating") == 3),
-        "good": count_if(F.col("rating") >= 4), "rsum": F.sum("rating"), "rated": F.count("rating"),
-        "positive": count_if(F.col("sentiment") == "Positive") if "sentiment" in has else F.lit(0),
-        "negative": count_if(F.col("sentiment") == "Negative") if "sentiment" in has else F.lit(0),
-        "without_reply": count_if(~F.col("has_reply")) if "has_reply" in has else F.lit(0),
-    }
-    got = new.groupBy("snapshot_date", "store").agg(*[c.alias(k) for k, c in sums.items()])
-    dates = (new if dates is None else dates).select("snapshot_date").distinct()
-    grid = dates.select("snapshot_date", F.explode(F.array(*map(F.lit, stores))).alias("store"))
-    zero = lambda df: df.withColumns({k: F.coalesce(k, F.lit(0)).cast("double" if k == "rsum" else "long") for k in sums})
-    by_store = zero(grid.join(got, ["snapshot_date", "store"], "left")).withColumn("is_all", F.lit(False))
-    overall = got.groupBy("snapshot_date").agg(*[F.sum(k).alias(k) for k in sums])
-    overall = zero(dates.join(overall, "snapshot_date", "left")).select(
-        "snapshot_date", F.lit(None).cast("string").alias("store"), *sums, F.lit(True).alias("is_all"))
-    return by_store.unionByName(overall)
+    sent = lambda x: count_if(F.col("sentiment") == x) if "sentiment" in has else F.lit(0).cast("long")
+    replied = lambda c: count_if(c) if "has_reply" in has else F.lit(0).cast("long")
+    r, reply = F.col("rating"), F.col("has_reply") if "has_reply" in has else None
+    sums = [F.count(F.lit(1)), count_if(r <= 2), count_if(r == 3), count_if(r >= 4), sent("Positive"), sent("Negative"), sent("Neutral"),
+            sent("No Text"), replied(reply), replied(None if reply is None else ~reply), F.coalesce(F.sum(r.cast("double")), F.lit(0.0)), F.count(r)]
+    return new.groupBy(*by).agg(*[c.alias(k) for k, c in zip(SUMS, sums)])
 
 
-def _mean() -> Column:
-    return F.when(F.col("rated") > 0, F.col("rsum") / F.col("rated"))
+#: Columns of the partial states, in the order of ``week_sums``.
+SUMS = ["new", "critical", "low", "good", "positive", "negative", "neutral", "no_text", "with_reply", "without_reply", "rsum", "rated"]
+
 
+def grains_of(sums: DataFrame, stores: list[str], dates: list[_dt.date]) -> DataFrame:
+    """Partial states per date and configured store, and per date over all rows (store NULL, is_all), zero filled.
 
-def narrow_new(snapshots: DataFrame, lexicon: Lexicon | DataFrame | None = None, scored: bool = False) -> DataFrame:
-    """New rows of every snapshot date (J2) with only what trends need: the text is scored first and never crosses the join."""
+    ``sums``: snapshot_date, store and the columns of ``week_sums``;
+    ``dates``: all snapshot dates, so that a week without new rows is a row
+    of zeros.
+    """
+    spark = sums.sparkSession
+    grid = spark.createDataFrame([(d, s) for d in dates for s in stores], "snapshot_date date, store string")
+    zero = lambda df: df.withColumns({k: F.coalesce(k, F.lit(0)).cast("double" if k == "rsum" else "long") for k in SUMS})
+    by_store = zero(grid.join(sums, ["snapshot_date", "store"], "left")).withColumn("is_all", F.lit(False))
+    overall = sums.groupBy("snapshot_date").agg(*[F.sum(k).alias(k) for k in SUMS])
+    overall = zero(spark.createDataFrame([(d,) for d in dates], "snapshot_date date").join(overall, "snapshot_date", "left"))
+    keep = ["snapshot_date", "store", *SUMS, "is_all"]
+    return by_store.select(*keep).unionByName(
+        overall.withColumns({"store": F.lit(None).cast("string"), "is_all": F.lit(True)}).select(*keep))
+
+
+def weekly_grains(snapshots: DataFrame, stores: list[str], lexicon: Lexicon | DataFrame | None = None, scored: bool = False) -> DataFrame:
+    """Partial states of every snapshot date from the snapshots themselves: diffed in one pass, scored afterwards.
+
+    Where weekly runs have stored their sums, ``grains_of`` over those is
+    the cheaper way.
+    """
+    known = calendar(snapshots)
+    narrow = ["snapshot_date", "review_id", "store", "rating"]
     if scored:
-        rows = enrich_if_blank(snapshots, WEEKLY_CATEGORIES, lexicon).withColumn("has_reply", is_nonblank("owner_reply"))
-        return snapshot_new(rows.select("snapshot_date", "review_id", "store", "rating", "sentiment", "has_reply"))
-    return snapshot_new(snapshots.select("snapshot_date", "review_id", "store", "rating"))
+        new = snapshot_new(snapshots.select(*narrow, *[c for c in SCORED_FROM if c in snapshots.columns]), known)
+        new = enrich_if_blank(new, WEEKLY_CATEGORIES, lexicon).withColumn("has_reply", is_nonblank("owner_reply"))
+    else:
+        new = snapshot_new(snapshots.select(*narrow), known)
+    return grains_of(week_sums(new, ["snapshot_date", "store"]), stores, known.dates)
+
+
+#: What scoring the new rows needs beside the narrow columns.
+SCORED_FROM = ["text", "owner_reply", "sentiment", "sent_score", "categories"]
+
+
+def _mean() -> Column:
+    return F.when(F.col("rated") > 0, F.col("rsum") / F.col("rated"))
 
 
 def trends_of(grains: DataFrame, min_dates: int = 2) -> DataFrame:
@@ -299,7 +361,7 @@ def snapshot_trends(snapshots: DataFrame, stores: list[str], min_dates: int = 2)
 
     Needs at least ``min_dates`` snapshots, otherwise empty.
     """
-    return trends_of(weekly_grains(narrow_new(snapshots), stores, snapshots), min_dates)
+    return trends_of(weekly_grains(snapshots, stores), min_dates)
 
 
 def trends_wide(long: DataFrame, stores: list[str]) -> DataFrame:
@@ -345,7 +407,7 @@ def week_over_week(snapshots: DataFrame, stores: list[str], lexicon: Lexicon | D
     direction is up / down / unchanged; is_good follows the metric's
     polarity (a fall of critical or % negative is good).
     """
-    return wow_of(weekly_grains(narrow_new(snapshots, lexicon, scored=True), stores, snapshots))
+    return wow_of(weekly_grains(snapshots, stores, lexicon, scored=True))
 
 
 def cumulative_of(grains: DataFrame) -> DataFrame:
@@ -358,4 +420,4 @@ def cumulative_of(grains: DataFrame) -> DataFrame:
 
 def cumulative_rating(snapshots: DataFrame, stores: list[str]) -> DataFrame:
     """Mean rating of each week's new reviews and the running mean over weeks."""
-    return cumulative_of(weekly_grains(narrow_new(snapshots), stores, snapshots))
+    return cumulative_of(weekly_grains(snapshots, stores))

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from revlens.functions import text as txt
 from revlens.functions.sentiment import Lexicon, with_sentiment
-from revlens.operators import metrics, notable, trends, weekly, words
+from revlens.operators import category_table, metrics, notable, trends, weekly, words
 from revlens.operators.enrich import enrich_if_blank
-from revlens.schema import (DEFAULT_AS_OF, REPORT_SHEETS, TRUNC_CRITICAL, TRUNC_NOTABLE, TRUNC_PRINTED, TRUNC_REPLY,
+from revlens.schema import (ANALYSIS_CATEGORIES, DEFAULT_AS_OF, REPORT_SHEETS, TRUNC_CRITICAL, TRUNC_NOTABLE, TRUNC_PRINTED, TRUNC_REPLY,
                             WEEKLY_CATEGORIES)
 from revlens.session import fresh_path, materialize
 from revlens.sources import cards as cards_mod
@@ -32,7 +32,8 @@ from revlens.streaming.incremental import read_history, run_week
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.date = DEFAULT_AS_OF,
                  enriched: DataFrame | None = None, snapshots: DataFrame | None = None,
-                 new: DataFrame | None = None):
+                 new: DataFrame | None = None, grains: DataFrame | None = None, category_grains: DataFrame | None = None,
+                 weekly_grains: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
@@ -42,6 +43,16 @@ class Inputs:
             self.__dict__["snapshots"] = snapshots
         if new is not None:
             self.__dict__["new"] = new
+        # counted once by a report; a single query counts the reviews by the columns that it needs
+        self._grains, self._category_grains, self.shared_weekly_grains = grains, category_grains, weekly_grains
+
+    @property
+    def grains(self) -> DataFrame:
+        return self.enriched if self._grains is None else self._grains
+
+    @property
+    def category_grains(self) -> DataFrame:
+        return self.enriched if self._category_grains is None else self._category_grains
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -89,7 +100,7 @@ def _enriched_flat(e: DataFrame) -> DataFrame:
 def q_scan_reviews(i: Inputs) -> DataFrame:
     """Files that hold one JSON array each, of up to 1,000 reviews."""
     path = fresh_path(i.spark, "raw-reviews-json")
-    io.write_json_arrays(i.reviews.select(*REVIEW_COLUMNS), path, F.floor(F.col("review_id").cast("long") / 1000))
+    io.write_json_arrays(i.reviews.select(*REVIEW_COLUMNS), path)
     return io.read_reviews_json(i.spark, path).select(*REVIEW_COLUMNS)
 
 
@@ -108,10 +119,9 @@ def q_all_snapshots(i: Inputs) -> DataFrame:
 def q_json_snapshots(i: Inputs) -> DataFrame:
     """Snapshots as dated JSON files, one array each, the date in the name."""
     path = fresh_path(i.spark, "json-snapshots")
-    files = F.lit(i.snapshots.count() // 1000 + 1)  # of some hundred rows each
     for d, _ in fx.SNAPSHOT_PLAN:
         rows = weekly.snapshot_at(i.snapshots, d).select("review_id", "store", "rating", "text", "sentiment")
-        io.write_json_arrays(rows, f"{path}/reviews_{d.isoformat()}.json", F.pmod(F.xxhash64("review_id", "store", "text"), files))
+        io.write_json_arrays(rows, f"{path}/reviews_{d.isoformat()}.json")
     schema = "review_id string, store string, rating double, text string, sentiment string"
     return io.read_json_snapshots(i.spark, path, schema).select("snapshot_date", "review_id", "store", "rating", "sentiment")
 
@@ -133,12 +143,16 @@ def q_latest_snapshot(i: Inputs) -> DataFrame:
 def q_write_report(i: Inputs) -> DataFrame:
     """Write every table of every sheet under report=<name>/ and read back the row counts (SNK3)."""
     path = fresh_path(i.spark, "report")
-    # enrich once and diff once: every sheet reads these materialised tables
+    # enrich, diff and count once: every sheet reads these materialised tables
     # (lineage cut in the shared folder, so a lost executor re-reads files)
-    shared = Inputs(i.spark, i.sf_dir, i.as_of, enriched=materialize(i.enriched, "report-enriched"),
-                    snapshots=i.snapshots, new=materialize(i.new, "report-new"))
+    e = materialize(i.enriched, "report-enriched")
+    shared = Inputs(i.spark, i.sf_dir, i.as_of, enriched=e, snapshots=i.snapshots, new=materialize(i.new, "report-new"),
+                    grains=materialize(metrics.review_grains(e), "report-grains"),
+                    category_grains=materialize(metrics.category_grains(e), "report-category-grains"),
+                    weekly_grains=materialize(weekly.weekly_grains(i.snapshots, i.stores, scored=True), "report-weekly-grains"))
     names = [(sheet, name) for sheet, queries in REPORT_SHEETS.items() for name in queries]
     io.write_report({name: QUERIES[name](shared) for _, name in names}, path)
+    i.report_path = path
     parts = [io.read_report(i.spark, path, name).agg(F.count(F.lit(1)).alias("rows"))
              .select(F.lit(sheet).alias("report"), F.lit(name).alias("result"), "rows") for sheet, name in names]
     return cards_mod.union_sources(parts)
@@ -155,7 +169,7 @@ def q_dedup_reviews(i: Inputs) -> DataFrame:
 
 
 def q_newest_per_store(i: Inputs) -> DataFrame:
-    return cards_mod.newest_per_store(i.cards, 50).select("store", "rank", "review_id", "ord")
+    return cards_mod.newest_per_store(i.cards).select("store", "rank", "review_id", "ord")
 
 
 def q_union_sources(i: Inputs) -> DataFrame:
@@ -174,7 +188,7 @@ def q_collection_summary(i: Inputs) -> DataFrame:
 
 
 def q_capture_rate(i: Inputs) -> DataFrame:
-    return metrics.capture_rate(i.cards, i.store_dim)
+    return metrics.capture_rate(cards_mod.kept_keys(i.raw_cards), i.store_dim)
 
 
 # ---------------------------------------------------------------- projections
@@ -204,6 +218,13 @@ def q_categorize(i: Inputs) -> DataFrame:
     return i.enriched.select("review_id", "categories")
 
 
+def q_categorize_join(i: Inputs) -> DataFrame:
+    """The table of keywords joined, with the keywords of the dictionary."""
+    table = category_table.to_table(i.spark, ANALYSIS_CATEGORIES)
+    tagged = category_table.with_category_table(i.reviews.select("review_id", "text"), "text", table)
+    return tagged.select("review_id", F.array_join("category_list", ", ").alias("categories"))
+
+
 def q_sentiment_score(i: Inputs) -> DataFrame:
     return i.enriched.select("review_id", "sent_sum", "sent_hits", "sent_score", "score_e4")
 
@@ -238,26 +259,26 @@ def q_truncate_text(i: Inputs) -> DataFrame:
 
 
 def q_star_bar(i: Inputs) -> DataFrame:
-    d = metrics.rating_distribution(i.enriched).filter(F.col("is_all"))
+    d = metrics.rating_distribution(i.grains).filter(F.col("is_all"))
     return d.select("stars", txt.star_label(F.col("stars")).alias("star_label"), "cnt", "pct",
                     txt.text_bar(F.col("pct"), 5).alias("bar"), txt.text_bar(F.col("pct"), 4).alias("bar_print"))
 
 
 # ---------------------------------------------------------------- analysis
 
-def q_dataset_totals(i): return metrics.dataset_totals(i.enriched)
-def q_store_kpis(i): return metrics.store_kpis(i.enriched)
-def q_store_comparison(i): return metrics.store_comparison(i.enriched)
-def q_rating_distribution(i): return metrics.rating_distribution(i.enriched)
-def q_rating_matrix(i): return metrics.rating_matrix(i.enriched, i.stores)
-def q_sentiment_stats(i): return metrics.sentiment_stats(i.enriched)
-def q_sentiment_share(i): return metrics.sentiment_share(i.enriched)
-def q_category_totals(i): return metrics.category_totals(i.enriched)
-def q_category_metrics(i): return metrics.category_metrics(i.enriched, i.stores)
-def q_yearly_summary(i): return trends.yearly_summary(i.enriched, i.stores)
-def q_monthly_detail(i): return trends.monthly_detail(i.enriched, i.stores)
-def q_monthly_volume(i): return trends.monthly_volume(i.enriched, i.stores)
-def q_monthly_avg_rating(i): return trends.monthly_avg_rating(i.enriched)
+def q_dataset_totals(i): return metrics.dataset_totals(i.grains)
+def q_store_kpis(i): return metrics.store_kpis(i.grains)
+def q_store_comparison(i): return metrics.store_comparison(i.grains)
+def q_rating_distribution(i): return metrics.rating_distribution(i.grains)
+def q_rating_matrix(i): return metrics.rating_matrix(i.grains, i.stores)
+def q_sentiment_stats(i): return metrics.sentiment_stats(i.grains)
+def q_sentiment_share(i): return metrics.sentiment_share(i.grains)
+def q_category_totals(i): return metrics.category_totals(i.category_grains)
+def q_category_metrics(i): return metrics.category_metrics(i.category_grains, i.stores)
+def q_yearly_summary(i): return trends.yearly_summary(i.grains, i.stores)
+def q_monthly_detail(i): return trends.monthly_detail(i.grains, i.stores)
+def q_monthly_volume(i): return trends.monthly_volume(i.grains, i.stores)
+def q_monthly_avg_rating(i): return trends.monthly_avg_rating(i.grains)
 def q_notable_critical(i): return notable.notable_critical(i.enriched)
 def q_notable_critical_by_store(i): return notable.notable_critical_by_store(i.enriched)
 def q_notable_most_liked(i): return notable.notable_most_liked(i.enriched)
@@ -285,10 +306,14 @@ def q_critical_list(i): return weekly.critical_list(i.new)
 def q_unanswered(i): return weekly.unanswered(i.new)
 def q_flagged_reviews(i): return weekly.flagged_reviews(i.new)
 def q_alerts(i): return weekly.alerts(i.new)
-def q_snapshot_trends(i): return weekly.snapshot_trends(i.snapshots, i.stores)
-def q_snapshot_trends_wide(i): return weekly.snapshot_trends_wide(i.snapshots, i.stores)
-def q_week_over_week(i): return weekly.week_over_week(i.snapshots, i.stores)
-def q_cumulative_rating(i): return weekly.cumulative_rating(i.snapshots, i.stores)
+def _weekly_grains(i, scored=False):
+    return i.shared_weekly_grains if i.shared_weekly_grains is not None else weekly.weekly_grains(i.snapshots, i.stores, scored=scored)
+
+
+def q_snapshot_trends(i): return weekly.trends_of(_weekly_grains(i))
+def q_snapshot_trends_wide(i): return weekly.trends_wide(weekly.trends_of(_weekly_grains(i)), i.stores)
+def q_week_over_week(i): return weekly.wow_of(_weekly_grains(i, scored=True))
+def q_cumulative_rating(i): return weekly.cumulative_of(_weekly_grains(i))
 
 
 def _weekly_runs(i: Inputs) -> str | None:
@@ -302,7 +327,7 @@ def _weekly_runs(i: Inputs) -> str | None:
     arrived = io.read_snapshots(i.spark, landing)
     # one row per weekly run date: a bounded list
     dates = sorted(r["snapshot_date"] for r in arrived.select("snapshot_date").distinct().collect())
-    for d in dates:
+    for d in dates:  # (each run publishes before the next one begins)
         run_week(weekly.snapshot_at(arrived, d).drop("snapshot_date"), d, snap_path, hist_path)
     return hist_path if len(dates) > 1 else None
 

@@ -259,9 +259,9 @@ def store_counts(cond: str | None = None, col: str = "store") -> str:
 STARS = [5, 4, 3, 2, 1]
 
 
-def _rank(order: str, part: str = "") -> str:
+def _rank(order: str, part: str = "", kind: str = "INTEGER") -> str:
     p = f"PARTITION BY {part} " if part else ""
-    return f"CAST(row_number() OVER ({p}ORDER BY {order}) AS INTEGER)"
+    return f"CAST(row_number() OVER ({p}ORDER BY {order}) AS {kind})"
 
 
 SQL: dict[str, str] = {}
@@ -282,7 +282,7 @@ SQL["normalize_cards"] = ("SELECT store, review_id, ord, author, rating, date_ra
 SQL["dedup_reviews"] = ("SELECT store, coalesce(review_id, '') AS review_id, min(ord) AS ord FROM raw_cards "
                         "GROUP BY store, coalesce(review_id, '')")
 SQL["newest_per_store"] = (f"SELECT * FROM (SELECT store, {_rank('ord, review_id', 'store')} AS rank, review_id, ord "
-                           "FROM cards) WHERE rank <= 50")
+                           f"FROM cards) WHERE rank <= {SNAPSHOT_CAP}")
 SQL["union_sources"] = ("SELECT 'reviews' AS source, review_id, store, rating, CAST(NULL AS BIGINT) AS ord, "
                         "CAST(NULL AS BOOLEAN) AS has_text FROM reviews UNION ALL "
                         "SELECT 'cards', review_id, store, rating, ord, has_text FROM cards")
@@ -308,6 +308,7 @@ SQL["reply_flag"] = f"SELECT review_id, owner_reply, {nonblank('owner_reply')} A
 SQL["has_text"] = f"SELECT review_id, {nonblank('text')} AS has_text FROM reviews"
 SQL["parse_relative_date"] = "SELECT review_id, date_raw, review_date, month_year, year FROM enriched"
 SQL["categorize"] = "SELECT review_id, categories FROM enriched"
+SQL["categorize_join"] = SQL["categorize"]
 SQL["sentiment_score"] = "SELECT review_id, sent_sum, sent_hits, sent_score, score_e4 FROM enriched"
 SQL["sentiment_label"] = "SELECT review_id, sentiment FROM enriched"
 SQL["enrich"] = ("SELECT s.snapshot_date, s.review_id, CASE WHEN filled THEN 'Positive' ELSE lb.sentiment END AS sentiment, "
@@ -452,19 +453,19 @@ _r_or5 = "coalesce(CASE WHEN rating <> 0 THEN rating END, 5)"
 _list_cols = "rank, review_id, store, rating, sentiment, substring(text, 1, {n}) AS text, date_raw, author, categories, has_reply"
 _triage = f"(coalesce(sentiment, '') <> 'Negative') ASC, {_r_or3} DESC, review_id, store"
 SQL["triage_list"] = (
-    f"SELECT {_list_cols.format(n=500)} FROM (SELECT *, {_rank(_triage)} AS rank FROM newe)")
+    f"SELECT {_list_cols.format(n=500)} FROM (SELECT *, {_rank(_triage, kind="BIGINT")} AS rank FROM newe)")
 SQL["critical_list"] = (
-    f"SELECT {_list_cols.format(n=600)} FROM (SELECT *, {_rank('rating, review_id, store')} AS rank FROM newe "
+    f"SELECT {_list_cols.format(n=600)} FROM (SELECT *, {_rank('rating, review_id, store', kind="BIGINT")} AS rank FROM newe "
     f"WHERE {_r_or5} <= 2)")
 _unans = f"(({_r_or5} <= 3 OR coalesce(sentiment, '') = 'Negative') AND NOT has_reply)"
 SQL["unanswered"] = f"SELECT review_id, store, rating, sentiment, has_reply FROM newe WHERE {_unans}"
 SQL["flagged_reviews"] = (
-    f"SELECT {_list_cols.format(n=600)} FROM (SELECT *, {_rank(_r_or5 + ', review_id')} AS rank FROM ("
+    f"SELECT {_list_cols.format(n=600)} FROM (SELECT *, {_rank(_r_or5 + ', review_id', kind="BIGINT")} AS rank FROM ("
     f"SELECT * FROM newe WHERE {_r_or5} <= 2 OR {_unans} "
     "QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY store DESC) = 1))")
 SQL["alerts"] = (
     f"SELECT rank, review_id, store, rating, has_reply, needs_reply FROM (SELECT *, NOT has_reply AS needs_reply, "
-    f"{_rank('(NOT has_reply) DESC, rating, review_id, store')} AS rank FROM newe WHERE {_r_or5} <= 2)")
+    f"{_rank('(NOT has_reply) DESC, rating, review_id, store', kind="BIGINT")} AS rank FROM newe WHERE {_r_or5} <= 2)")
 _sums = (
     "count(j.rid) AS new, count(j.rid) FILTER (WHERE j.rating <= 2) AS critical, "
     "count(j.rid) FILTER (WHERE j.rating = 3) AS low, count(j.rid) FILTER (WHERE j.rating >= 4) AS good, "

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import SparkSession
 
 
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: only the session conf is visible
+    except PySparkAttributeError:  # Spark Connect: only the session conf is visible
         sc = None
     if not d and sc is not None:
         d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()

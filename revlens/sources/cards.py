@@ -70,6 +70,11 @@ def normalize_cards(cards: DataFrame) -> DataFrame:
     return dedup_keep_first(normalize_fields(cards))
 
 
+def kept_keys(cards: DataFrame) -> DataFrame:
+    """(store, review_id) of the cards that ``normalize_cards`` keeps: their distinct keys, no other column read."""
+    return cards.select("store", F.coalesce(F.col("review_id"), F.lit("")).alias("review_id")).distinct()
+
+
 def newest_per_store(reviews: DataFrame, n: int = SNAPSHOT_CAP, order: str = "ord") -> DataFrame:
     """First ``n`` rows per store in newest-first order.
 

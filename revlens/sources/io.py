@@ -1,8 +1,8 @@
 """Sources and sinks (SRC1-SRC3, SNK1-SNK3).
 
 * Raw reviews arrive as JSON (an array per file, or JSON lines).  They are
-  read with an explicit schema and kept as Parquet: a multi-line JSON file
-  is one task, Parquet splits and prunes.
+  read with an explicit schema, large arrays by many tasks, and kept as
+  Parquet, which prunes.
 * Snapshots are one table partitioned by ``snapshot_date``; a same-day
   rerun replaces its partition only (dynamic partition overwrite).
 * Reports are one table per result under ``report=<name>/``.
@@ -11,13 +11,17 @@
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.operators.enrich import apply_defaults
 from revlens.schema import RAW_REVIEW_SCHEMA, SNAPSHOT_EXTRA_FIELDS
+from revlens.session import materialize
+from revlens.sources.json_arrays import read_json_arrays
 
 
 SCAN_PARTITIONS = "spark.revlens.scanPartitions"
@@ -26,8 +30,8 @@ SCAN_PARTITIONS = "spark.revlens.scanPartitions"
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan over the partitions that the session asks for.
 
-    A small file, or a multi-line JSON file of any size, is one task, and
-    all per-row text work would run on one core.  Sessions that read such
+    A small file is one task, and all per-row text work would run on one
+    core.  Sessions that read such
     files set ``spark.revlens.scanPartitions``; without the setting, as for
     large tables, the scan keeps its own splits and nothing is shuffled.
     """
@@ -38,19 +42,27 @@ def spread(df: DataFrame) -> DataFrame:
 def read_reviews_json(spark: SparkSession, path: str, multiline: bool = True, stored: bool = False) -> DataFrame:
     """Raw review scan with an explicit schema and record defaults (SRC1, P1, P2).
 
-    ``stored`` also reads the fields of a stored snapshot: its run date and
-    the enrichment it already has.  A multi-line JSON file is one task; see
-    ``spread``.
+    ``multiline``: files of one JSON array each, split at object boundaries
+    (``json_arrays``); otherwise one object per line.  ``stored`` also reads
+    the fields of a stored snapshot: its run date and the enrichment it
+    already has.
     """
     schema = T.StructType([*RAW_REVIEW_SCHEMA.fields, *SNAPSHOT_EXTRA_FIELDS]) if stored else RAW_REVIEW_SCHEMA
-    raw = spark.read.schema(schema).option("multiLine", multiline).json(path)
-    return apply_defaults(spread(raw))
+    raw = read_json_arrays(spark, path, schema).drop("file_path") if multiline else spread(spark.read.schema(schema).json(path))
+    return apply_defaults(raw)
 
 
-def write_json_arrays(df: DataFrame, path: str, group: F.Column) -> None:
-    """Files of one JSON array each, one per value of ``group``, which bounds the array."""
-    rows = df.select(group.alias("file"), F.struct(*df.columns).alias("r"))
-    rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file").text(path)
+def write_json_arrays(df: DataFrame, path: str, rows: int = 1_000) -> None:
+    """Files of one JSON array of at most ``rows`` rows each.
+
+    The rows are written first and dealt to files by their place in the
+    written parts, so no value of any column decides the size of an array.
+    """
+    at = F.monotonically_increasing_id()
+    placed = materialize(df, "json-rows").select(
+        F.concat(F.shiftright(at, 33).cast("string"), F.lit("-"), F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows).cast("string")).alias("file"),
+        F.struct(*df.columns).alias("r"))
+    placed.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file").text(path)
 
 
 def write_reviews(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -79,15 +91,14 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
 
 
-def snapshot_date_from_file(path_col: str = "_metadata.file_path") -> F.Column:
+def snapshot_date_from_file(path_col: str = "file_path") -> F.Column:
     """Date of a JSON snapshot named ``reviews_YYYY-MM-DD.json``, a file or a folder of files."""
     return F.to_date(F.regexp_extract(F.col(path_col), r"reviews_(\d{4}-\d{2}-\d{2})", 1))
 
 
 def read_json_snapshots(spark: SparkSession, path: str, schema) -> DataFrame:
     """Legacy layout: one JSON array per run date, the date in the file name."""
-    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return df.withColumn("snapshot_date", snapshot_date_from_file())
+    return read_json_arrays(spark, path, schema).withColumn("snapshot_date", snapshot_date_from_file()).drop("file_path")
 
 
 def previous_snapshot_date(snapshots: DataFrame, as_of: _dt.date) -> _dt.date | None:
@@ -109,10 +120,19 @@ def latest_snapshot(snapshots: DataFrame, as_of: _dt.date) -> tuple[DataFrame, _
     return snapshots.filter(F.col("snapshot_date") == F.lit(d)), d
 
 
-def write_report(results: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """One table per result under ``<path>/report=<name>/`` (SNK3)."""
-    for name, df in results.items():
-        df.write.mode("overwrite").format(fmt).save(f"{path}/report={name}")
+def write_report(results: dict[str, DataFrame], path: str, fmt: str = "parquet", at_once: int = 4) -> None:
+    """One table per result under ``<path>/report=<name>/`` (SNK3).
+
+    Report tables are small and each is a job of its own: ``at_once`` of
+    them are submitted side by side, so that Spark fills its cores.
+    """
+    def write(item: tuple[str, DataFrame]) -> None:
+        item[1].write.mode("overwrite").format(fmt).save(f"{path}/report={item[0]}")
+
+    if results:
+        spark = next(iter(results.values())).sparkSession
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(inheritable_thread_target(spark)(write), results.items()))
 
 
 def read_report(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 
 from revlens import jobs
 from revlens.functions.sentiment import Lexicon
@@ -96,3 +97,47 @@ def test_weekly_baseline_is_scored_with_the_jobs_lexicon(spark, tmp_path):
         got = sorted((str(r["snapshot_date"]), r["metric"], r["value"], r["prev_value"]) for r in wow.collect())
         assert got == [("2026-01-01", "negative", 1, None), ("2026-01-01", "positive", 2, None),
                        ("2026-01-08", "negative", 1, 1), ("2026-01-08", "positive", 0, 2)]
+
+
+def test_weekly_trends_list_every_snapshot_and_configured_store(spark, tmp_path):
+    """New rows 5, 3, 0, 1: the empty week is a row of zeros, and the week after is compared with it."""
+    import json
+    ids = ["12345", "12345678", "12345678", "123456789"]
+    table, done = fresh_path(spark, "t"), None
+    dim = spark.createDataFrame([("s",), ("quiet",)], "name string")
+    for k, own in enumerate(ids):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"review_id": i, "store": "s", "text": "great", "rating": 4} for i in own]))
+        done = jobs.run_weekly(spark, str(tmp_path / f"{k}.json"), table, fresh_path(spark, "o"), dt.date(2026, 1, 5 + 7 * k), store_dim=dim)
+    trends = {r["snapshot_date"].day: (r["s_new"], r["quiet_new"]) for r in spark.read.parquet(done["weekly_trends"]).collect()}
+    assert trends == {5: (5, 0), 12: (3, 0), 19: (0, 0), 26: (1, 0)}
+    wow = spark.read.parquet(done["week_over_week"]).filter("is_all and metric = 'new'")
+    assert {r["snapshot_date"].day: (r["value"], r["prev_value"]) for r in wow.collect()} == {5: (5, None), 12: (3, 5), 19: (0, 3), 26: (1, 0)}
+    by_store = {r["store"]: r["total"] for r in spark.read.parquet(done["weekly_by_store"]).collect()}
+    assert by_store == {"s": 1, "quiet": 0}
+
+
+def test_collection_skips_a_source_that_cannot_be_read(spark, capsys):
+    cards = Inputs(spark, SF001).raw_cards
+    path, out = fresh_path(spark, "cards"), fresh_path(spark, "collect")
+    cards.write.parquet(path)
+    done = jobs.run_collection(spark, [path, "/no/such/source"], out)
+    assert "source skipped: /no/such/source" in capsys.readouterr().err
+    assert spark.read.parquet(done["reviews"]).count() == QUERIES["normalize_cards"](Inputs(spark, SF001)).count()
+    with pytest.raises(ValueError, match="no source"):
+        jobs.run_collection(spark, ["/no/such/source"], out)
+
+
+def test_command_line_with_own_dictionaries(spark, tmp_path, capsys):
+    import json
+    (tmp_path / "r.json").write_text(json.dumps([{"review_id": "1", "store": "s", "text": "zork zork plugh words", "rating": 5}]))
+    (tmp_path / "cats.json").write_text("\n".join(json.dumps(r) for r in [
+        {"category": "Magic", "keyword": "plu", "position": 1}, {"category": "Caves", "keyword": "ZORK", "position": 0}]))
+    (tmp_path / "stop.txt").write_text("zork\nWORDS")
+    out = fresh_path(spark, "cli")
+    jobs.main(["analysis", str(tmp_path / "r.json"), out, "--as-of", "2026-03-02", "--stores", "s,closed", "--categories", str(tmp_path / "cats.json"),
+               "--stop-words", str(tmp_path / "stop.txt")])
+    assert f"{out}/report=top_words" in capsys.readouterr().out
+    read = lambda n: spark.read.parquet(f"{out}/report={n}").collect()
+    assert {r["word"] for r in read("top_words")} == {"plugh"}
+    assert [r["categories"] for r in read("all_reviews")] == ["Caves, Magic"]
+    assert {(r["category"], r["s"], r["closed"]) for r in read("category_metrics")} == {("Caves", 1, 0), ("Magic", 1, 0)}

@@ -88,12 +88,40 @@ def test_keep_first_limits_before_the_shuffle_and_sorts_no_text(spark, name):
     assert plan.count("WindowGroupLimit") == 2, plan
 
 
+def test_diff_of_all_dates_is_one_scan_and_one_exchange_by_id(spark):
+    for name in ("snapshot_new", "snapshot_trends", "cumulative_rating", "week_over_week"):
+        plan = _plan(QUERIES[name](Inputs(spark, SF001)))
+        assert plan.count("documents.parquet") == 1, name
+        assert plan.count("Exchange hashpartitioning(_key") == 1 and "Anti" not in plan, name
+
+
 def test_trends_carry_no_text_through_the_diff(spark):
-    for name in ("week_over_week", "snapshot_trends", "cumulative_rating"):
+    for name in ("snapshot_trends", "cumulative_rating"):
         opt = _optimized(QUERIES[name](Inputs(spark, SF001)))
-        anti = opt[opt.index("LeftAnti"):]
-        left = anti.split("\n")[1]
-        assert "text" not in left.split("]")[0], left
+        window = opt[opt.index("Window ["):]
+        assert "text" not in window.split("\n")[1], name
+
+
+def test_only_new_rows_are_scored(spark):
+    opt = _optimized(QUERIES["week_over_week"](Inputs(spark, SF001)))
+    at = opt.index("Window [")
+    assert "regexp_extract_all" in opt[:at] and "regexp_extract_all" not in opt[at:]
+
+
+def test_result_tables_read_the_reviews_once(spark):
+    """Store counts come from the same aggregate as the totals."""
+    for name in ("category_metrics", "yearly_summary", "monthly_detail", "monthly_volume", "rating_matrix"):
+        assert _plan(QUERIES[name](Inputs(spark, SF001))).count("documents.parquet") == 1, name
+
+
+def test_ranks_of_unbounded_lists_are_long(spark):
+    for name in ("triage_list", "critical_list", "flagged_reviews", "alerts"):
+        assert dict(QUERIES[name](Inputs(spark, SF001)).dtypes)["rank"] == "bigint"
+
+
+def test_capture_rate_reads_keys_only(spark):
+    assert "candidate" not in _plan(QUERIES["capture_rate"](Inputs(spark, SF001)))
+    assert "text" not in _optimized(QUERIES["capture_rate"](Inputs(spark, SF001)))
 
 
 def test_grouping_sets_use_expand(spark):
