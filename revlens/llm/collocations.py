@@ -53,8 +53,8 @@ MIN_COUNT = 30
 COVER_PERCENT = 80  # a phrase is dropped if a longer candidate holds it with at least this share of its frequency
 TOP = 2_000
 UNKNOWN = "und"
-GROUP_BYTES = 1 << 23  # text whose windows are counted together, about; a longer text stands alone
-RANGE_WINDOWS = 1_500_000  # windows of a range, about
+GROUP_BYTES = 1 << 22  # text whose windows are counted together, about; a longer text stands alone
+RANGE_WINDOWS = 1_000_000  # windows of a range, about
 SAMPLE_DOCS, SAMPLE_WINDOWS = 10_000, 8  # texts that place the ranges, about, and windows of each
 
 _SPACE, _STOP = np.zeros(256, bool), np.zeros(256, bool)
@@ -92,7 +92,17 @@ class Windows:
         self.langs, self.words, self.lang, self.codes, self.count = langs, words, lang, codes, count
 
     def merged(self) -> Windows:
-        order = np.lexsort((*self.codes[::-1], self.lang))
+        # as many columns as fit into one number are sorted together
+        keys, room = [self.lang.astype(np.int64)], 63 - max(1, len(self.langs)).bit_length()
+        bits = max(1, len(self.words)).bit_length()
+        for c in self.codes:
+            if room < bits:
+                keys.append(np.zeros(len(c), np.int64))
+                room = 63
+            keys[-1] = keys[-1] << bits | c
+            room -= bits
+        order = np.lexsort(keys[::-1])
+        del keys
         lang, codes, count = self.lang[order], self.codes[:, order], self.count[order]
         new = np.ones(len(lang), bool)
         new[1:] = (lang[1:] != lang[:-1]) | (codes[:, 1:] != codes[:, :-1]).any(axis=0)
@@ -106,7 +116,9 @@ class Windows:
     def pack(self, lo: int, hi: int) -> bytes:
         """The windows ``lo:hi`` with the words that they use, compressed."""
         codes = self.codes[:, lo:hi]
-        used, local = np.unique(codes, return_inverse=True)
+        on = np.zeros(len(self.words), bool)
+        on[codes] = True
+        used, local = np.flatnonzero(on), (np.cumsum(on) - 1)[codes]
         words = " ".join(self.words[c] for c in used.tolist()).encode()  # no word holds a space
         langs = json.dumps(self.langs).encode()
         head = struct.pack("<5q", hi - lo, len(codes), len(used), len(langs), len(words))
@@ -121,8 +133,8 @@ class Windows:
         langs, at = json.loads(body[:n_langs]), n_langs + n_bytes
         words = body[n_langs:at].decode().split(" ")
         assert len(words) == n_words or not n
-        lang = np.frombuffer(body, "<u4", n, at).astype(np.int64)
-        codes = np.frombuffer(body, "<u4", n * order, at + 4 * n).astype(np.int64).reshape(order, n)
+        lang = np.frombuffer(body, "<u4", n, at).astype(np.int32)
+        codes = np.frombuffer(body, "<u4", n * order, at + 4 * n).astype(np.int32).reshape(order, n)
         return Windows(langs, words, lang, codes, np.frombuffer(body, "<i8", n, at + 4 * n * (1 + order)))
 
     @staticmethod
@@ -133,7 +145,7 @@ class Windows:
         lang, codes, at = [], [], 0
         for p in parts:
             codes.append(code[at: at + len(p.words)][p.codes])
-            lang.append(np.array([langs.index(x) for x in p.langs], np.int64)[p.lang])
+            lang.append(np.array([langs.index(x) for x in p.langs], np.int32)[p.lang])
             at += len(p.words)
         return Windows(langs, words, np.concatenate(lang), np.concatenate(codes, axis=1), np.concatenate([p.count for p in parts])).merged()
 
@@ -146,16 +158,16 @@ def _ordered(words: pa.Array) -> tuple[list[str], np.ndarray]:
         own.append("")
         names = pa.array(own, pa.large_string())
     order = np.asarray(pa.compute.sort_indices(names.cast(pa.large_binary())))
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
-    return names.take(pa.array(order)).to_pylist(), rank[np.asarray(found.indices).astype(np.int64)]
+    return names.take(pa.array(order)).to_pylist(), rank[np.asarray(found.indices)]
 
 
 def leads(data: np.ndarray, off: np.ndarray, lang_of: list[str], order: int) -> tuple[Windows, np.ndarray]:
     """The padded window that every word leads (each counted once, in text order), and its document."""
     words, doc, goes_on = words_of(data, off)
     names, code = _ordered(words)
-    codes = np.zeros((order, len(code)), np.int64)
+    codes = np.zeros((order, len(code)), np.int32)
     codes[0] = code
     on = np.ones(len(code), bool)
     for k in range(1, order):  # the word k places on, while the piece goes on
@@ -163,7 +175,7 @@ def leads(data: np.ndarray, off: np.ndarray, lang_of: list[str], order: int) ->
         codes[k, : len(code) - k] = np.where(on[: len(code) - k], code[k:], 0) if len(code) > k else 0
     langs = sorted(set(lang_of))
     number = {x: i for i, x in enumerate(langs)}
-    lang = np.array([number[x] for x in lang_of], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
+    lang = np.array([number[x] for x in lang_of], np.int32)[doc] if len(doc) else np.zeros(0, np.int32)
     return Windows(langs, names, lang, codes, np.ones(len(code), np.int64)), doc
 
 
@@ -245,7 +257,7 @@ def folded(w: Windows, min_count: int, alone: bool = False) -> Windows:
     n = len(w.lang)
     if not n:
         return w
-    keep = np.zeros(n, np.int64)  # words that a window keeps
+    keep = np.zeros(n, np.int32)  # words that a window keeps
     level = np.concatenate(([True], w.lang[1:] != w.lang[:-1]))
     for k, c in enumerate(w.codes, 1):
         level = level | np.concatenate(([True], c[1:] != c[:-1]))
@@ -255,7 +267,7 @@ def folded(w: Windows, min_count: int, alone: bool = False) -> Windows:
         if not alone:
             stays[[0, -1]] = True
         keep[np.repeat(stays, np.diff(np.append(at, n))) & (keep == k - 1)] = k
-    codes = np.where(np.arange(len(w.codes))[:, None] < keep, w.codes, 0)
+    codes = np.where(np.arange(len(w.codes), dtype=np.int32)[:, None] < keep, w.codes, np.int32(0))
     return Windows(w.langs, w.words, w.lang, codes, w.count).merged()
 
 
