@@ -2,9 +2,10 @@
 
 1. equal vectors form a class, one of which goes on;
 2. filter directions are codewords of ``CODES`` random product codes: a
-   codeword joins one word for each half of the (randomly turned) space.  A
-   vector is list-decoded to all codewords within the cap, from the sorted
-   scores of its halves, without going through the product;
+   codeword joins one word for each part (two parts, more for very many
+   vectors) of the randomly turned space.  A vector is list-decoded to all
+   codewords within the cap, from the sorted scores of its parts, without
+   going through the product;
 3. vectors that share a filter are compared in double precision.  A bucket
    is cut into blocks, and each pair of blocks is a unit of work of bounded
    size.  A pair counts in the smallest filter that both have, so it counts
@@ -13,10 +14,12 @@
 
 The cap and the size of the codes follow from the number of vectors by one
 rule: about ``BUCKET`` unrelated vectors in a cap, and ``SHARED`` filters
-expected in common at the threshold.  Many small codes rather than a few
-large ones, since the codewords of one code come in clusters; measured at
-the threshold itself, about 2 pairs in 1,000 to 12 in 1,000 (3 million
-vectors) share no filter, and nearer pairs are missed less often.
+expected in common at the threshold, for any number of vectors: where two
+parts would need more than ``WORDS`` words each, codes have one part more,
+and there are four times as many codes.  Many small codes rather than a few large ones, since the codewords of one
+code come in clusters; measured at the threshold itself, about 2 pairs in
+1,000 to 12 in 1,000 (3 million vectors) share no filter, and nearer pairs
+are missed less often.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components, and rows without an id, link with nothing.  Vectors
@@ -39,6 +42,7 @@ from revlens.session import materialize
 
 THRESHOLD = 0.9
 CODES, BUCKET, SHARED = 32, 256, 8.0
+WORDS = 1 << 11  # words of a part, at most
 WIDEST = 0.005  # share of the sphere in a cap, at most
 PLAIN_BELOW = 8  # dimensions from which filters pay; below, all vectors share one bucket
 BLOCK = 1_024
@@ -55,32 +59,58 @@ def _tail(d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=64)
-def parameters(n: int, d: int, threshold: float = THRESHOLD) -> tuple[float, int]:
-    """(cap height, words per half) for ``n`` vectors of ``d`` dimensions."""
+def parameters(n: int, d: int, threshold: float = THRESHOLD) -> tuple[float, int, int, int]:
+    """(cap height, codes, parts of a code, words of a part) for ``n`` vectors of ``d`` dimensions.
+
+    Raises where the codes cannot give ``SHARED`` filters in common: the
+    dimensions are too few for the parts, or the filters too many to number.
+    """
     t, tail = _tail(d)
     share = min(WIDEST, BUCKET / max(n, 1))
-    height = float(t[np.searchsorted(-tail, -share)])
+    at = np.searchsorted(-tail, -share)
+    height = float(t[at])
     # Chance that a second vector at the threshold is in the cap of a first: mean over the first's place in the cap.
     t2, tail2 = _tail(d - 1)
     s = t[t >= height][:-1]
     need = (height - threshold * s) / np.sqrt((1 - threshold ** 2) * (1 - s * s))
     weight = np.power(1 - s * s, (d - 3) / 2)
     joint = float((np.interp(need, t2, tail2, left=1, right=0) * weight).sum() / weight.sum()) * share
-    return height, int(min(1 << 14, max(4, np.ceil(np.sqrt(SHARED / (CODES * joint))))))
+    if not joint > 0:
+        raise ValueError(f"no cap for {n} vectors of {d} dimensions at {threshold}")
+    parts, codes = 2, CODES
+    while SHARED / (codes * joint) > float(WORDS) ** parts:
+        parts, codes = parts + 1, codes * 4
+    words = int(max(4, np.ceil((SHARED / (codes * joint)) ** (1 / parts))))
+    if parts > d // 4 and parts > 2 or (d + 1) * codes * words ** parts >= 1 << 63:
+        raise ValueError(f"{SHARED / joint:.2g} codewords cannot be made of {d} dimensions")
+    return height, codes, parts, words
+
+
+def shared_filters(n: int, d: int, threshold: float = THRESHOLD) -> float:
+    """Filters that a pair at the threshold is expected to have in common, with the parameters for ``n`` vectors."""
+    height, codes, parts, words = parameters(n, d, threshold)
+    t, tail = _tail(d)
+    t2, tail2 = _tail(d - 1)
+    s = t[t >= height][:-1]
+    need = (height - threshold * s) / np.sqrt((1 - threshold ** 2) * (1 - s * s))
+    weight = np.power(1 - s * s, (d - 3) / 2)
+    second = float((np.interp(need, t2, tail2, left=1, right=0) * weight).sum() / weight.sum())
+    return codes * float(words) ** parts * second * float(np.interp(height, t, tail))
 
 
 @lru_cache(maxsize=8)
-def _codes(d: int, words: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per code: a random turn of the space and the words of both halves, as columns."""
+def _codes(d: int, codes: int, parts: int, words: int) -> list[tuple[np.ndarray, ...]]:
+    """Per code: a random turn of the space and the words of its parts, as columns."""
+    edges = [d * k // parts for k in range(parts + 1)]
     out = []
-    for c in range(CODES):
+    for c in range(codes):
         rng = np.random.default_rng([c, d, words])
         turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
-        halves = []
-        for k in (d // 2, d - d // 2):
+        own = []
+        for k in np.diff(edges):
             w = rng.standard_normal((k, words))
-            halves.append(w / np.linalg.norm(w, axis=0) * np.sqrt(k / d))
-        out.append((turn, *halves))
+            own.append(w / np.linalg.norm(w, axis=0) * np.sqrt(k / d))
+        out.append((turn, *own))
     return out
 
 
@@ -89,23 +119,30 @@ def filters_of(x: np.ndarray, n: int, threshold: float = THRESHOLD) -> tuple[np.
     d = x.shape[1]
     if d < PLAIN_BELOW:
         return np.arange(len(x)), np.full(len(x), d << 32, np.int64)
-    height, words = parameters(n, d, threshold)
+    height, codes, parts, words = parameters(n, d, threshold)
+    edges = [d * k // parts for k in range(parts + 1)]
     rows, found = [], []
-    for c, (turn, first, second) in enumerate(_codes(d, words)):
+    for c, (turn, *own) in enumerate(_codes(d, codes, parts, words)):
         y = x @ turn
-        a, b = y[:, : d // 2] @ first, y[:, d // 2:] @ second
-        order = np.argsort(-b, axis=1)
-        best = np.take_along_axis(b, order, axis=1)
-        r, i = np.nonzero(a + best[:, :1] >= height)  # words of the first half that any word of the second completes
-        k = 0
-        while len(r):  # the next best word of the second half, as long as the sum is within the cap
-            rows.append(r)
-            found.append(((d * CODES + c) * words + i) * words + order[r, k])
-            k += 1
-            if k == words:
-                break
-            on = a[r, i] + best[r, k] >= height
-            r, i = r[on], i[on]
+        scores = [y[:, a:e] @ w for a, e, w in zip(edges, edges[1:], own)]
+        best = np.stack([s.max(axis=1) for s in scores])
+        rest = np.cumsum(best[::-1], axis=0)[::-1]  # what the parts from k on can add
+        r, code = np.nonzero(scores[0] + rest[1][:, None] >= height)  # words of the first part that the others can complete
+        held = scores[0][r, code]
+        for k in range(1, parts):
+            order = np.argsort(-scores[k], axis=1)
+            sorted_ = np.take_along_axis(scores[k], order, axis=1)
+            after = rest[k + 1] if k + 1 < parts else np.zeros(len(x))
+            on, at, new = np.arange(len(r)), 0, []
+            while len(on) and at < words:  # the next best word, as long as the cap can be reached
+                on = on[held[on] + sorted_[r[on], at] + after[r[on]] >= height]
+                new.append((on, order[r[on], at], sorted_[r[on], at]))
+                at += 1
+            if new:
+                at, word, score = (np.concatenate(v) for v in zip(*new))
+                r, code, held = r[at], code[at] * words + word, held[at] + score
+        rows.append(r)
+        found.append((d * codes + c) * words ** parts + code)
     row, f = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (rows, found))
     by = np.lexsort((f, row))
     return row[by], f[by]
