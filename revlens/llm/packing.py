@@ -6,10 +6,12 @@ Pattern packing by non-negative least squares:
    piece lengths has ``size`` cells however many documents there are;
 2. patterns of up to ``DEPTH`` lengths on a grid that fill a sequence are
    enumerated; non-negative least squares fits how often each is used to
-   the histogram; the counts are rounded down;
-3. each pattern takes the longest remaining lengths of its grid cells, and
-   last the longest that still fits; what it leaves open and the residual
-   pieces are packed best-fit decreasing.
+   the histogram; the counts are rounded;
+3. each pattern takes remaining lengths of its grid cells that fill a
+   sequence exactly; what is left is fitted again, ``ROUNDS`` times;
+4. the residual pieces are packed best-fit decreasing, together with those
+   of as few patterns as it takes to need no more sequences than best-fit
+   decreasing alone would.
 
 All of it works on lengths with counts, never on single documents: the plan
 has a bounded number of rows, and pieces of equal length are
@@ -38,8 +40,10 @@ from revlens.session import materialize
 SIZE = 2048
 DEPTH = 3
 GRID = 128  # cells of the length grid
-SLACK = 0  # tokens that a realised pattern may leave open
+ROUNDS = 3  # fits, each to what the one before has left
+RELEASED = (0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 1)  # shares of the patterns that are given back, in the order tried
 RANK_ROWS = 1_000  # pieces ranked in one part, about
+PART_BLOCK = 1_024  # parts whose counts are summed together
 MAX_ROWS = 500
 
 
@@ -185,25 +189,55 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 4_000) -> np.ndarray:
 
 
 def plan(histogram: dict[int, int], size: int = SIZE, depth: int = DEPTH, grid: int = GRID) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many times); uses every piece of the histogram once."""
+    """Sequences as (lengths, how many times); uses every piece of the histogram once.
+
+    Patterns first, then best-fit decreasing for what they leave.  Patterns
+    can take short pieces that the rest would need to fill up: those with
+    the shortest pieces are given back, ``RELEASED`` of them at a time, until
+    the plan needs no more sequences than best-fit decreasing alone.
+    """
     left = {n: c for n, c in histogram.items() if c > 0}
     if any(not 0 < n <= size for n in left):
         raise ValueError("lengths must be between 1 and the sequence size")
-    whole, out = left.pop(size, 0), []
+    whole = left.pop(size, 0)
+    plain = sum(c for _, c in best_fit({}, dict(left), size))
+    made = fit_patterns(left, size, depth, grid)
+    for share in RELEASED:
+        kept, pool, back = dict(made), defaultdict(int, left), round(share * sum(made.values()))
+        for p in made:
+            for n in p:
+                pool[n] -= made[p]
+        for p in sorted(made, key=lambda p: (min(p), p)):
+            k = min(back, kept[p])
+            kept[p], back = kept[p] - k, back - k
+            for n in p:
+                pool[n] += k
+        rest = best_fit({}, {n: c for n, c in pool.items() if c > 0}, size)
+        if sum(kept.values()) + sum(c for _, c in rest) <= plain:
+            break
+    packed = defaultdict(int, {(size,): whole})
+    for p, c in [*kept.items(), *rest]:
+        packed[p] += c
+    return [(p, c) for p, c in packed.items() if c > 0]
+
+
+def fit_patterns(histogram: dict[int, int], size: int, depth: int, grid: int) -> dict[tuple[int, ...], int]:
+    """Full sequences by patterns: repeat counts by non-negative least squares, rounded and realised; ``ROUNDS`` times on what is left."""
+    left, made = dict(histogram), defaultdict(int)
     cell = -(-size // grid)
     cells = -(-size // cell)
-    by_cell = defaultdict(list)  # grid cell -> its lengths, ascending
-    for n in sorted(left):
-        by_cell[-(-n // cell)].append(n)
-    shapes = [p for p in patterns(cells, depth) if all(by_cell.get(c) for c in p)]
-    open_bins: dict[tuple[int, ...], int] = defaultdict(int)
-    if shapes:
+    for _ in range(ROUNDS):
+        by_cell = defaultdict(int)  # grid cell -> its pieces
+        for n, c in left.items():
+            by_cell[-(-n // cell)] += c
+        shapes = [p for p in patterns(cells, depth) if all(c in by_cell for c in p)]
+        if not shapes:
+            break
         a = np.zeros((cells, len(shapes)))
         for j, p in enumerate(shapes):
             for c in p:
                 a[c - 1, j] += 1
-        b = np.array([sum(left[n] for n in by_cell.get(c, ())) for c in range(1, cells + 1)], float)
-        times = np.floor(nnls(a, b) + 1e-9).astype(np.int64)
+        times = np.round(nnls(a, np.array([by_cell.get(c, 0) for c in range(1, cells + 1)], float))).astype(np.int64)
         held = sorted(left)  # lengths of which pieces remain
         for j in np.argsort(-times, kind="stable"):
             r = int(times[j])
@@ -212,36 +246,34 @@ def plan(histogram: dict[int, int], size: int = SIZE, depth: int = DEPTH, grid:
                 if not k:
                     break
                 k = min(k, r)
-                open_bins[take] += k
+                made[take] += k
                 r -= k
                 for n in take:
                     left[n] -= k
                     if left[n] == 0:
                         held.remove(n)
-    if whole:
-        out.append(((size,), whole))
-    return out + best_fit(open_bins, {n: c for n, c in left.items() if c > 0}, size)
+                        del left[n]
+    return dict(made)
 
 
 def _realise(shape: tuple[int, ...], left: dict[int, int], held: list[int], cell: int, size: int) -> tuple[tuple[int, ...], int]:
-    """Lengths for a pattern and how often all of them last: each the longest of its grid cell, the last one the longest that fits.
+    """Lengths for a pattern that fill a sequence, and how often all of them last; 0 times if there are none.
 
-    None (0 times) if they would leave more than ``SLACK`` tokens open: the
-    pieces then do better among the residuals.
+    Each is one of its grid cell, longer ones first; the last one is what
+    is then missing, whatever its cell.
     """
-    take: list[int] = []
-    for i, c in enumerate(shape):
-        last = i == len(shape) - 1 and i > 0
-        low, high = (0, size - sum(take)) if last else ((c - 1) * cell, c * cell)
-        at = bisect_right(held, high) - 1
-        while at >= 0 and held[at] > low and left[held[at]] <= take.count(held[at]):
-            at -= 1
-        if at < 0 or held[at] <= low:
-            return (), 0
-        take.append(held[at])
-    if size - sum(take) > SLACK:
-        return (), 0
-    return tuple(sorted(take, reverse=True)), min(left[n] // take.count(n) for n in set(take))
+    def grow(i: int, take: tuple[int, ...], room: int) -> tuple[int, ...]:
+        if i == len(shape) - 1:
+            return (*take, room) if left.get(room, 0) > take.count(room) else ()
+        at = bisect_right(held, min(room, shape[i] * cell)) - 1
+        while at >= 0 and held[at] > (shape[i] - 1) * cell:
+            n, at = held[at], at - 1
+            if left[n] > take.count(n) and (got := grow(i + 1, (*take, n), room - n)):
+                return got
+        return ()
+
+    take = tuple(sorted(grow(0, (), size), reverse=True))
+    return take, min((left[n] // take.count(n) for n in set(take)), default=0)
 
 
 def best_fit(bins: dict[tuple[int, ...], int], left: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -309,9 +341,13 @@ def pack(parts: DataFrame, size: int = SIZE, key: str = "doc_id") -> DataFrame:
     shares = [x for n, c in sorted(hist.items()) if c > RANK_ROWS for x in (F.lit(n), F.lit(-(-c // RANK_ROWS)))]
     share = F.coalesce(F.create_map(*shares)[F.col("length")], F.lit(1)) if shares else F.lit(1)
     dealt = parts.withColumn("_part", F.pmod(F.xxhash64(key, "piece", "start"), share).cast("int"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = dealt.groupBy("length", "_part").count() \
-        .select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    # what lies ahead of a part: within its block of parts, and before the block
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_part") / PART_BLOCK))
+    blocks = counts.groupBy("length", "_block").agg(F.sum("_n").alias("_n")) \
+        .select("length", "_block", before(Window.partitionBy("length").orderBy("_block")).alias("_blocks"))
+    ahead = counts.withColumn("_in", before(Window.partitionBy("length", "_block").orderBy("_part"))).join(blocks, ["length", "_block"]) \
+        .select("length", "_part", (F.col("_in") + F.col("_blocks")).alias("_ahead"))
     within = Window.partitionBy("length", "_part").orderBy(key, "piece", "ids_crc32")
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(ahead, ["length", "_part"]) \
         .withColumn("_rank", F.col("_rank") + F.col("_ahead")).drop("_part", "_ahead")
