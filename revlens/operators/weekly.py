@@ -314,15 +314,13 @@ def grains_of(sums: DataFrame, stores: list[str], dates: list[_dt.date]) -> Data
     ``dates``: all snapshot dates, so that a week without new rows is a row
     of zeros.
     """
-    spark = sums.sparkSession
-    grid = spark.createDataFrame([(d, s) for d in dates for s in stores], "snapshot_date date, store string")
-    zero = lambda df: df.withColumns({k: F.coalesce(k, F.lit(0)).cast("double" if k == "rsum" else "long") for k in SUMS})
-    by_store = zero(grid.join(sums, ["snapshot_date", "store"], "left")).withColumn("is_all", F.lit(False))
-    overall = sums.groupBy("snapshot_date").agg(*[F.sum(k).alias(k) for k in SUMS])
-    overall = zero(spark.createDataFrame([(d,) for d in dates], "snapshot_date date").join(overall, "snapshot_date", "left"))
-    keep = ["snapshot_date", "store", *SUMS, "is_all"]
-    return by_store.select(*keep).unionByName(
-        overall.withColumns({"store": F.lit(None).cast("string"), "is_all": F.lit(True)}).select(*keep))
+    # every sum counts for its store and for all: one pass, one small aggregate
+    key = F.explode(F.array(F.concat(F.lit("="), F.col("store")), F.lit("")))
+    got = sums.withColumn("_key", key).groupBy("snapshot_date", "_key").agg(*[F.sum(k).alias(k) for k in SUMS])
+    cells = [(d, s, f"={s}", False) for d in dates for s in stores] + [(d, None, "", True) for d in dates]
+    grid = sums.sparkSession.createDataFrame(cells, "snapshot_date date, store string, _key string, is_all boolean")
+    zero = [F.coalesce(k, F.lit(0)).cast("double" if k == "rsum" else "long").alias(k) for k in SUMS]
+    return grid.join(got, ["snapshot_date", "_key"], "left").select("snapshot_date", "store", *zero, "is_all")
 
 
 def weekly_grains(snapshots: DataFrame, stores: list[str], lexicon: Lexicon | DataFrame | None = None, scored: bool = False) -> DataFrame:
@@ -383,10 +381,10 @@ OVERALL_POLARITY = {"new": True, "critical": False, "low": False, "good": True,
 def wow_of(grains: DataFrame) -> DataFrame:
     """Each weekly metric against the week before, per store and overall (D1), from the weekly sums."""
     g = grains.withColumn("avg_rating", _mean()).withColumn("pct_negative", pct(F.col("negative"), F.col("new")))
-    entry = lambda m, up: {"metric": F.lit(m), "value": F.col(m).cast("double"), "higher_is_better": F.lit(up)}
-    keep = ["snapshot_date", "store", "is_all"]
-    metrics = stack_rows(g.filter(~F.col("is_all")), keep, [entry(m, up) for m, up in METRIC_POLARITY.items()]).unionByName(
-        stack_rows(g.filter("is_all"), keep, [entry(m, up) for m, up in OVERALL_POLARITY.items()]))
+    entries = lambda polarity: F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(up).alias("higher_is_better")) for m, up in polarity.items()])
+    shown = F.when(F.col("is_all"), entries(OVERALL_POLARITY)).otherwise(entries(METRIC_POLARITY))
+    metrics = g.select("snapshot_date", "store", "is_all", F.explode(shown).alias("m")).select("snapshot_date", "store", "is_all", "m.*")
     w = Window.partitionBy("is_all", "store", "metric").orderBy("snapshot_date")
     x = metrics.withColumn("prev_value", F.lag("value").over(w))
     delta = F.col("value") - F.col("prev_value")

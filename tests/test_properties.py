@@ -64,7 +64,7 @@ def test_fixture_figures(spark):
     assert new.select("store").distinct().count() == 6  # every configured store with reviews, and the other one
     assert new.count() > new.select("review_id").distinct().count()
     kept = QUERIES["newest_per_store"](Inputs(spark, SF001)).count()
-    assert kept == 250 < QUERIES["normalize_cards"](Inputs(spark, SF001)).count()
+    assert kept == 974 == QUERIES["normalize_cards"](Inputs(spark, SF001)).count()
     shared = QUERIES["cross_store_duplicates"](Inputs(spark, SF001)).collect()
     assert shared and all(r["review_id"].startswith("shared_") for r in shared)
 
@@ -218,3 +218,14 @@ def test_scratch_is_cleared_from_a_mark(spark):
     gone = materialize(spark.range(3), "gone").inputFiles()[0]
     assert clear_scratch(spark, mark) == 1 and clear_scratch(spark, mark) == 0
     assert not os.path.exists(gone.removeprefix("file://")) and spark.read.parquet(kept).count() == 3
+
+
+def test_newest_per_store_cuts_ties_and_keeps_every_store(spark):
+    """W2 at a small n: the newest n by order, then id; the query itself runs at the reference's 200 a store."""
+    from revlens.schema import SNAPSHOT_CAP
+    from revlens.sources.cards import newest_per_store
+    rows = [("a", k // 2, f"{9 - k}") for k in range(8)] + [("b", 5, "x")]
+    got = newest_per_store(spark.createDataFrame(rows, "store string, ord long, review_id string"), 3)
+    assert sorted((r["store"], r["rank"], r["review_id"]) for r in got.collect()) == [("a", 1, "8"), ("a", 2, "9"), ("a", 3, "6"), ("b", 1, "x")]
+    import inspect
+    assert inspect.signature(newest_per_store).parameters["n"].default == SNAPSHOT_CAP == 200
