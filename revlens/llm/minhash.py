@@ -281,12 +281,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     star = materialize(confirmed(materialize(star, "smh-star"), sets, threshold), "smh-confirmed")
     first = connected_components(star.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")))
     more = materialize(further_links(star, first, threshold), "smh-links")
-    groups = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     # Rows that repeat a key join their classes, too.
     ties = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     repeated = members.groupBy("id").agg(F.count_distinct("rep").alias("c")).filter("c > 1 and id is not null").select("id")
-    ties = ties.join(repeated, F.col("a") == F.col("id"), "left_semi")
-    groups = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(ties))
+    more = more.union(materialize(ties.join(repeated, F.col("a") == F.col("id"), "left_semi"), "smh-ties"))
+    # Without a further link the first components are the result already.
+    groups = first if more.isEmpty() else \
+        connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     out = salted_left_join(members, groups.withColumnRenamed("id", "rep"), ["rep"], F.col("id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -109,7 +109,9 @@ def train(x: np.ndarray, y: np.ndarray, rank: int = RANK) -> Model:
     if not len(y):
         return Model(np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
-    w = weigh(x, idf)
+    w = np.empty(x.shape, np.result_type(x, idf))
+    for a in range(0, len(x), BLOCK):  # the driver holds the counts and their weights, no third copy
+        w[a:a + BLOCK] = weigh(x[a:a + BLOCK], idf)
     q = np.random.default_rng(0).standard_normal((WIDTH, min(rank + 16, len(w)))).astype(np.float32)
     for _ in range(4):
         q = np.linalg.qr(w.T @ (w @ q))[0]
@@ -159,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for r, row in enumerate(rows):
         n = len(row["x"]) // 8
         x[r, np.frombuffer(row["x"], "<i4", n)] = np.frombuffer(row["x"], "<f4", n, 4 * n)
-    return train(x, np.array([r["y"] for r in rows], np.int64))
+    y = np.array([r["y"] for r in rows], np.int64)
+    rows.clear()  # the driver's memory is needed for the decomposition
+    return train(x, y)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

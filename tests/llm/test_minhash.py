@@ -133,3 +133,21 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 1 for i in range(1, 61)} | {i: 200 for i in range(200, 260)} | {299: 299, 300: 299}
     assert got == want
+
+
+@pytest.mark.parametrize("texts, calls", [
+    (["a b c d e f g"] * 3 + ["unlike words of another text here"], 1),
+    ([" ".join(f"w{i}" for i in range(200))] + [" ".join(f"w{i}" for i in range(k, 200)) for k in (1, 2)], 1)])
+def test_components_are_found_once_without_further_links(docs_of, monkeypatch, texts, calls):
+    """Each search for components is some ten stages an iteration, which the driver keeps track of."""
+    seen = []
+    monkeypatch.setattr(minhash, "connected_components", lambda edges: seen.append(1) or connected_components(edges))
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(list(enumerate(texts)))).collect()}
+    assert len(seen) == calls and found[0] == found[1] == found[2] == 0
+
+
+def test_repeated_keys_join_their_classes_and_links(docs_of):
+    near = [" ".join(f"w{i}" for i in range(k, 200)) for k in (0, 1)]
+    rows = [(5, near[0]), (7, near[1]), (7, "another text of some more words"), (3, "another text of some more words"), (9, "alone it stands here now")]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(rows)).collect()}
+    assert found == {3: 3, 5: 3, 7: 3, 9: 9}

@@ -61,3 +61,13 @@ def test_edge_rows(spark, docs_of):
     assert knn.quality_scores(docs_of([]), labels).collect() == []
     kept = knn.keep(docs_of(rows), knn.fit(docs_of(rows), labels.limit(0)))
     assert kept.columns == docs_of(rows).columns and kept.count() == len(rows)
+
+
+def test_training_holds_two_copies_of_the_counts_at_most():
+    import tracemalloc
+    x = np.random.default_rng(1).poisson(0.05, (3_000, knn.WIDTH)).astype(np.float32)
+    tracemalloc.start()
+    knn.train(x, np.arange(len(x)) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * x.nbytes  # beside the counts themselves
