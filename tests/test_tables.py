@@ -113,3 +113,47 @@ def test_report_reads_the_enriched_reviews_twice_for_all_counted_sheets(spark):
         for name in REPORT_SHEETS[sheet]:
             plan = QUERIES[name](shared)._jdf.queryExecution().optimizedPlan().toString()
             assert "documents" not in plan and "text" not in plan, name
+
+
+def _jobs(spark, work) -> int:
+    sc, group = spark.sparkContext, f"g{id(work)}"
+    sc.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_materialised_table_is_read_without_a_job(spark):
+    from revlens.session import materialize
+    df = spark.range(10).selectExpr("id", "array(struct(id as a, cast(id as string) as b)) as c")
+    got = []
+    assert _jobs(spark, lambda: got.append(materialize(df, "m"))) == 1
+    assert sorted(got[0].collect()) == sorted(df.collect()) and [f.dataType.simpleString() for f in got[0].schema] == ["bigint", "array<struct<a:bigint,b:string>>"]
+
+
+def test_small_lexicon_table_moves_no_token_and_no_text(spark):
+    df = frame(spark, ["great great nothing", "not so good", "", None] * 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = with_sentiment(df, "body", Lexicon.default().to_dataframe(spark)).select("sent_sum", "sent_hits", "sentiment")
+        plan = scored._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 4 and plan.count("SortMergeJoin") == 1, plan
+        node = scored._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() != "Join":
+            node = node.children().head()
+        assert "body" not in node.left().output().mkString(" ")
+        assert {tuple(r) for r in scored.collect()} >= {(0, 0, "No Text")} and scored.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_broadcast_and_shuffled_lexicon_give_the_same(spark, monkeypatch, most):
+    from revlens.functions import sentiment
+    monkeypatch.setattr(sentiment, "BROADCAST_WORDS", most)
+    df = frame(spark, ["very good but not so good", "terrible", "", None, "never really bad"] * 3)
+    table = with_sentiment(df, "body", Lexicon.default().to_dataframe(spark))
+    inline = with_sentiment(df, "body", Lexicon.default())
+    assert sorted(map(str, table.collect())) == sorted(map(str, inline.select(*table.columns).collect()))
