@@ -151,3 +151,42 @@ def test_repeated_keys_join_their_classes_and_links(docs_of):
     rows = [(5, near[0]), (7, near[1]), (7, "another text of some more words"), (3, "another text of some more words"), (9, "alone it stands here now")]
     found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(rows)).collect()}
     assert found == {3: 3, 5: 3, 7: 3, 9: 9}
+
+
+@pytest.mark.parametrize("small_edges", [0, 50_000])
+def test_components_are_the_same_with_salted_joins_and_with_broadcasts(spark, monkeypatch, small_edges):
+    from revlens.llm import components
+    monkeypatch.setattr(components, "SMALL_EDGES", small_edges)
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(1000, i) for i in range(1000, 1040)] + [(None, 7), (9, None)]
+    want = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    while True:
+        new = dict(want)
+        for a, b in edges:
+            if a in new and b in new:
+                new[a] = new[b] = min(new[a], new[b])
+        if new == want:
+            break
+        want = new
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
+def test_small_component_steps_are_few_files(spark):
+    """Not one file a shuffle partition, and no marker file: every file is made by processes of its own on a local disk."""
+    from pathlib import Path
+
+    from revlens import session
+    made = session.scratch_mark()
+    wide = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    folders = [Path(p.removeprefix("file:")) for p in session._made[made:]]
+    assert len(folders) > 3 and not any((f / "_SUCCESS").exists() for f in folders)
+    assert all(0 < len(list(f.glob("part-*"))) <= 16 for f in folders[1:])  # the first holds edges of unknown number
