@@ -42,9 +42,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm.common import salted_left_join
-from revlens.session import fresh_path
+from revlens.session import NO_MARKER, fresh_path
 
 ARCHIVE_BYTES = 64 << 20
+MANIFEST_ROWS = 10_000  # of a manifest's file
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 SUFFIX = ".warc.zst"
 # Fixed values of the formats.
@@ -288,10 +289,13 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     rows = pages.select(F.col(key).cast("long").alias("row"), F.col(url).cast("string").alias("url"), F.col(payload).alias("payload"))
     rows = with_revisits(rows, "row", F.coalesce(F.col("payload"), F.lit("")).cast("binary"))
     # A first small table, so that the folder exists where the tasks write.
-    done = rows.select("row", "url", "payload", "refers_to").mapInArrow(
-        _write_task(folder, archive_bytes), "archive string, records long, bytes long")
-    pages.sparkSession.createDataFrame([], "archive string").write.mode("ignore").parquet(f"{folder}/begun")
-    done.write.mode("overwrite").parquet(f"{folder}/manifest")
+    spark, listed = pages.sparkSession, "archive string, records long, bytes long"
+    done = rows.select("row", "url", "payload", "refers_to").mapInArrow(_write_task(folder, archive_bytes), listed)
+    spark.createDataFrame([], "archive string").write.mode("ignore").options(**NO_MARKER).parquet(f"{folder}/begun")
+    # One short row per archive, of each task's committed attempt: few files, not one per task.
+    names = done.collect()
+    spark.createDataFrame(names, listed).coalesce(1 + len(names) // MANIFEST_ROWS) \
+        .write.mode("overwrite").options(**NO_MARKER).parquet(f"{folder}/manifest")
 
 
 _FIELDS = ("archive string, offset long, record_type string, record_id string, target_uri string, row long, refers_to long, "

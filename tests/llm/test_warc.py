@@ -59,6 +59,16 @@ def test_payloads_come_back_from_several_archives(spark, tmp_path):
     assert warc.read_archives(spark, folder, manifest=f"{folder}/manifest").count() == 600
 
 
+def test_manifest_is_one_file_for_many_tasks(spark, tmp_path):
+    """On a local disk every file is made by processes of its own."""
+    folder = f"file://{tmp_path}/out"
+    warc.write_archives(pages_df(spark, [(i, "http://h", f"text {i % 7}") for i in range(120)]).repartition(12), folder)
+    found = spark.read.parquet(f"{folder}/manifest").collect()
+    assert sum(r["records"] for r in found) == 120 and {r["archive"] for r in found} == {p.name for p in (tmp_path / "out").glob("*.zst")}
+    assert len(list((tmp_path / "out" / "manifest").glob("part-*"))) == 1
+    assert not list((tmp_path / "out").glob("*/_SUCCESS"))
+
+
 RECORD = warc.build_record(1, "http://h", b"payload", None, False)
 
 
