@@ -3,8 +3,8 @@
 Sections: each sentiment (Positive, Negative, Neutral) over all stores, then
 each store over all its text.  Plan:
 
-1. tokens ``[a-z]{3,}`` of the lower-cased text, stop words removed, are
-   exploded and counted per (store, sentiment, word): the map-side partial
+1. tokens ``[a-z]{3,}`` of the lower-cased text are exploded, stop words
+   removed, and counted per (store, sentiment, word): the map-side partial
    aggregate collapses repeated words before the first shuffle;
 2. each (store, sentiment, word) count is fanned out to its two sections and
    summed per (section, word): a second, much smaller shuffle;
@@ -23,19 +23,18 @@ from revlens.schema import STOPWORDS, WORD_PATTERN
 SENTIMENT_SECTIONS = ["Positive", "Negative", "Neutral"]
 
 
-def word_tokens(text, stopwords=STOPWORDS) -> F.Column:
+def word_tokens(text) -> F.Column:
     text = F.col(text) if isinstance(text, str) else text
-    toks = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
-    return F.filter(toks, lambda w: ~w.isin(list(stopwords)))
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
 
 
 def word_counts(e: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """Counts per (store, sentiment, word) over rows with text."""
     # explode_outer + filter: a plain explode makes the optimizer push a
-    # size(tokens) > 0 filter to the scan, which tokenises every text twice
-    x = e.filter(F.col("has_text")).select("store", "sentiment",
-                                           F.explode_outer(word_tokens("text", stopwords)).alias("word")) \
-         .filter(F.col("word").isNotNull())
+    # size(tokens) > 0 filter to the scan, which tokenises every text twice;
+    # stop words go as rows, in generated code, not as elements of arrays
+    x = e.filter(F.col("has_text")).select("store", "sentiment", F.explode_outer(word_tokens("text")).alias("word")) \
+         .filter(F.col("word").isNotNull() & ~F.col("word").isin(list(stopwords)))
     return x.groupBy("store", "sentiment", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 

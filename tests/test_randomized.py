@@ -98,3 +98,20 @@ def test_scored_words_add_up(spark, seed):
     for strategy in ("inline", "join"):
         got = {r["review_id"]: (r["sent_sum"], r["sent_hits"], r["sentiment"]) for r in with_sentiment(df, strategy=strategy).collect()}
         assert [(r, got[r[0]]) for r in rows if got[r[0]] != r[2:]] == []
+
+
+def test_tags_by_one_pattern_equal_substrings_for_odd_dictionaries(spark):
+    """Keywords inside others, at one place, overlapping, of odd letters, shared, empty; texts NULL and empty."""
+    from revlens.functions import categories as cat
+    odd = [("a", ["ab", "abcd", "a-b"]), ("b", ["bc", "^x", "]["]), ("c", ["abc d", "É é", "&&"]), ("none", []), ("b", ["d.", "\\E", "𝄞x", "\n"])]
+    rng = random.Random(11)
+    letters = ["a", "b", "c", "d", "-", "^", "x", "]", "[", "&", "é", " ", ".", "\\", "E", "𝄞", "\n", "A", "É"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(400)] + ["", None, "abcd", "xabc dab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for categories in (odd, odd + [("all", ["zz", ""])], [("none", [])], []):
+        got = {r["i"]: r["c"] for r in df.select("i", cat.category_list("t", categories).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            want = [n for n, kws in categories if any(k.lower() in t.lower() for k in kws)] if t is not None else []
+            assert got[i] == (want or ["General"]), (t, categories)
+    plan = df.select(cat.category_list("t", odd).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "contains" not in plan.lower()  # one pass over the text
