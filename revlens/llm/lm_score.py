@@ -23,6 +23,11 @@ tokens, written as numbered words and a list of word hashes.  Then
 A frequent word is one entry a batch, so there are no hot keys, and a part
 holds about ``PART`` entries whatever the size of the corpus.
 
+Memory of a Python worker.  Sorting and arithmetic on the tokens of a batch
+run over a range of the hashes or over ``SLICE`` tokens at a time, numbers of
+words and pairs have 32 bits, and a worker opens one row at a time: besides
+a batch's tokens it holds small arrays only.
+
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end of
 the text.  Words and pairs are known by 64-bit hashes.
 
@@ -49,6 +54,8 @@ from revlens.session import materialize
 
 FOLDS = 10  # fold 0 is held out from all learning, fold 1 is deleted to learn the weights
 BATCH, PART = 1_500_000, 1_000_000
+SLICE = 1 << 17  # tokens computed with at a time
+TASK_PARTS = 4  # parts a task: as many tasks, and files, as the input needs
 BUCKETS = 48
 STEP = 0.05  # width, in decimal logarithms, of the cells in which held-out tokens are counted
 START, END = U(0x5354415254), U(0x454E44)  # stand for the start and the end among the word hashes
@@ -63,7 +70,32 @@ def packed(x: np.ndarray) -> bytes:
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.array(planes.T, order="C").view(kind).reshape(-1)
+
+
+def slices(n: int) -> list[slice]:
+    return [slice(s, min(n, s + SLICE)) for s in range(0, n, SLICE)]
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, and the place of each hash among them; a sixteenth of the hashes' range at a time."""
+    top, place = np.empty(len(hashes), np.uint8), np.empty(len(hashes), np.uint32)
+    for s in slices(len(hashes)):
+        top[s] = hashes[s] >> U(60)
+    found, n = [], 0
+    for k in range(16):
+        at = np.flatnonzero(top == k)
+        own, inverse = np.unique(hashes[at], return_inverse=True)
+        place[at] = inverse + n
+        found.append(own)
+        n += len(own)
+    return np.concatenate(found), place
+
+
+def one_by_one(table: pa.RecordBatch | pa.Table):
+    """The rows as dicts, one at a time: their binary columns are large."""
+    for i in range(table.num_rows):
+        yield table.slice(i, 1).to_pylist()[0]
 
 
 # ---------------------------------------------------------------- batches
@@ -80,17 +112,19 @@ def batches_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
         def close(role):
             nonlocal made
-            h, n = np.concatenate(open_words.pop(role)), np.concatenate(open_counts.pop(role))
-            words, ids, c = np.unique(h, return_inverse=True, return_counts=True)
-            rank = np.argsort(-c, kind="stable")  # frequent words get small numbers
+            n = np.concatenate(open_counts.pop(role))
+            words, ids = distinct(np.concatenate(open_words.pop(role)))
+            rank = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")  # frequent words get small numbers
             place = np.empty(len(rank), np.uint32)
             place[rank] = np.arange(len(rank), dtype=np.uint32)
+            for s in slices(len(ids)):
+                ids[s] = place[ids[s]]
             keys = pa.concat_arrays(open_keys.pop(role))
             made += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + made], pa.int64()), pa.array([role], pa.int32()), pa.array([len(h) + len(n)], pa.int64()),
+                [pa.array([(task << 32) + made], pa.int64()), pa.array([role], pa.int32()), pa.array([len(ids) + len(n)], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-                 *(pa.array([packed(x)], pa.binary()) for x in (n.astype(np.uint32), words[rank], place[ids]))],
+                 *(pa.array([packed(x)], pa.binary()) for x in (n.astype(np.uint32), words[rank], ids))],
                 ["batch", "role", "tokens", "keys", "counts", "words", "ids"])
 
         for b in record_batches:
@@ -130,23 +164,27 @@ def opened(counts: bytes, words: bytes, ids: bytes) -> Batch:
     n, hashes, ids = unpacked(counts, np.uint32).astype(np.int64), unpacked(words, np.uint64), unpacked(ids, np.uint32)
     hashes = np.append(hashes, END)
     order = np.argsort(hashes)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
     ends = np.cumsum(n + 1) - 1
-    token = np.empty(len(ids) + len(n), np.int64)
+    token = np.empty(len(ids) + len(n), np.uint32)
     inner = np.ones(len(token), bool)
     inner[ends] = False
-    token[inner], token[ends] = place[ids], place[-1]
+    for s in slices(len(ids)):
+        ids[s] = place[ids[s]]
+    token[inner], token[ends] = ids, place[-1]
     before = np.empty_like(token)
     before[1:] = token[:-1]
-    first = ends - n
+    first = np.zeros(len(token), bool)
+    first[ends - n] = True
     before[first] = place[-1]
-    keys = hashes[order]
-    left = keys[before]
-    left[first] = START
+    keys, pair_hash = hashes[order], np.empty(len(token), U)
     with np.errstate(over="ignore"):
-        pairs, pair = np.unique(mix(left * U(0xD1342543DE82EF95) + keys[token] + GOLDEN), return_inverse=True)
-    return Batch(n + 1, keys, token, before, pairs, pair)
+        for s in slices(len(token)):
+            left = np.where(first[s], START, keys[before[s]])
+            pair_hash[s] = mix(left * U(0xD1342543DE82EF95) + keys[token[s]] + GOLDEN)
+    del ids, inner, first
+    return Batch(n + 1, keys, token, before, *distinct(pair_hash))
 
 
 def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -161,7 +199,7 @@ def requests(batches: DataFrame, parts: int) -> DataFrame:
     """What the batches hold of every part: sorted keys and the batch's counts."""
     def run(record_batches):
         for b in record_batches:
-            for r in b.to_pylist():
+            for r in one_by_one(b):
                 x = opened(r["counts"], r["words"], r["ids"])
                 for kind, keys, place in ((WORDS, x.words, x.word), (PAIRS, x.pairs, x.pair)):
                     c, at = np.bincount(place, minlength=len(keys)).astype(np.uint32), _ranges(keys, parts)
@@ -184,19 +222,24 @@ _ANSWER = "kind int, part int, batch long, role int, total binary, rest binary,
 
 def _answer(table: pa.Table) -> pa.Table:
     """Totals over all training documents, and over those that are not deleted, for each list; then a row (batch -1) with N and V."""
-    rows = table.to_pylist()
+    rows = table.select(["kind", "part", "batch", "role"]).to_pylist()
+    counts = [unpacked(x.as_py(), np.uint32) for x in table.column("counts")]
+    at = np.concatenate(([0], np.cumsum([len(c) for c in counts])))
+    keys = np.empty(at[-1], U)
     with np.errstate(over="ignore"):
-        keys = [np.cumsum(unpacked(r["keys"], np.uint64), dtype=U) for r in rows]
-    sizes = [len(k) for k in keys]
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]).astype(np.float64)
-    role = np.repeat([r["role"] for r in rows], sizes)
-    total, rest = (np.bincount(place, counts * on).astype(np.uint64) for on in (role > 0, role > 1))
-    out, at = [], np.concatenate(([0], np.cumsum(sizes)))
+        for x, s, e in zip(table.column("keys"), at, at[1:]):
+            keys[s:e] = np.cumsum(unpacked(x.as_py(), np.uint64), dtype=U)
+    found, place = distinct(keys)
+    del keys
+    total, rest = np.zeros(len(found), U), np.zeros(len(found), U)
+    for r, c, s, e in zip(rows, counts, at, at[1:]):  # a list has a key once
+        for sums, least in ((total, 1), (rest, 2)):
+            if r["role"] >= least:
+                sums[place[s:e]] += c
+    out = []
     for r, s, e in zip(rows, at, at[1:]):
         own = place[s:e]
-        out.append({k: r[k] for k in ("kind", "part", "batch", "role")}
-                   | {"total": packed(total[own]), "rest": packed(rest[own]) if r["role"] == 1 else None})
+        out.append(r | {"total": packed(total[own]), "rest": packed(rest[own]) if r["role"] == 1 else None})
     out.append({"kind": rows[0]["kind"], "part": rows[0]["part"], "batch": -1, "role": -1, "n": int(total.sum()),
                 "v": int((total > 0).sum()), "n_rest": int(rest.sum()), "v_rest": int((rest > 0).sum())})
     fields = [("kind", pa.int32()), ("part", pa.int32()), ("batch", pa.int64()), ("role", pa.int32()), ("total", pa.binary()),
@@ -224,25 +267,31 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0), BUCKETS - 1).astype(np.int64)
 
 
-def estimates(x: Batch, words: np.ndarray, pairs: np.ndarray, size: Size) -> tuple[np.ndarray, ...]:
-    """Per token: bucket of its context and the pair and word estimates."""
-    context = words[x.before]
-    return bucket(context), pairs[x.pair] / np.maximum(context, 1), words[x.word] / max(size.n, 1)
+def estimates(x: Batch, words: np.ndarray, pairs: np.ndarray, size: Size, s: slice = slice(None)) -> tuple[np.ndarray, ...]:
+    """Per token of a slice: bucket of its context and the pair and word estimates."""
+    context = words[x.before[s]]
+    return bucket(context), pairs[x.pair[s]] / np.maximum(context, 1), words[x.word[s]] / max(size.n, 1)
 
 
 def _cells(size: Size):
     """Held-out tokens of a deleted batch, counted by bucket and cells of both estimates."""
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("bucket", "pair", "word", "n")}
-        for r in batch.to_pylist():
+        codes, counts = [], []
+        for r in one_by_one(batch.select(["counts", "words", "ids"])):
             x = opened(r["counts"], r["words"], r["ids"])
-            b, p2, p1 = estimates(x, *_totals(answers, "rest"), size)
-            with np.errstate(divide="ignore"):
-                q2, q1 = (np.where(p > 0, np.rint(-np.log10(p) / STEP), -1).astype(np.int64) for p in (p2, p1))
-            cells, n = np.unique(np.column_stack([b, q2, q1]), axis=0, return_counts=True)
-            for c, v in zip(out, (*cells.T, n)):
-                out[c] += v.tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+            totals = _totals(answers, "rest")
+            for s in slices(len(x.word)):
+                b, p2, p1 = estimates(x, *totals, size, s)
+                with np.errstate(divide="ignore"):
+                    q2, q1 = (np.where(p > 0, np.rint(-np.log10(p) / STEP), -1).astype(np.int64) for p in (p2, p1))
+                code, n = np.unique((b << 32) + ((q2 + 1) << 16) + q1 + 1, return_counts=True)  # estimates are over 2^-64
+                codes.append(code)
+                counts.append(n)
+        code, place = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.zeros(len(code), np.int64)
+        np.add.at(n, place, np.concatenate(counts))
+        cells = code >> 32, (code >> 16 & 0xFFFF) - 1, (code & 0xFFFF) - 1, n
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("bucket", "pair", "word", "n"), cells)})
     return run
 
 
@@ -277,16 +326,26 @@ def weights(cells: list[tuple[int, int, int, int]], size: Size, rounds: int = 20
 def _scored(size: Size, mixture: np.ndarray):
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
         parts = []
-        for r, keys in zip(batch.to_pylist(), batch.column("keys")):
+        for i, r in enumerate(one_by_one(batch.select(["role", "counts", "words", "ids"]))):
             x = opened(r["counts"], r["words"], r["ids"])
             words, pairs = _totals(answers, "total")
-            b, p2, p1 = estimates(x, words, pairs, size)
-            w = mixture[b]
-            p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (size.v + 1)
-            base = np.log10((words + 0.1) / (size.n + 0.1 * (size.v + 1)))[x.word]
-            at = np.cumsum(x.n) - x.n
-            cols = [x.n, *(np.add.reduceat(v, at) for v in ((words[x.word] > 0).astype(np.int64), base, np.log10(p) if size.n else base))]
-            parts.append(pa.table([keys.values, pa.array([r["role"] == 0] * len(x.n)), *(pa.array(c) for c in cols)],
+            base = np.log10((words + 0.1) / (size.n + 0.1 * (size.v + 1)))
+
+            def score(s):
+                b, p2, p1 = estimates(x, words, pairs, size, s)
+                w = mixture[b]
+                return np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (size.v + 1))
+
+            def summed(values, kind=np.float64):
+                out = np.empty(len(x.word), kind)
+                for s in slices(len(out)):
+                    out[s] = values(s)
+                return pa.array(np.add.reduceat(out, np.cumsum(x.n) - x.n))
+
+            by_word = summed(lambda s: base[x.word[s]])
+            cols = [x.n, summed(lambda s: words[x.word[s]] > 0, np.int64), by_word, summed(score) if size.n else by_word]
+            keys = batch.column("keys").slice(i, 1).combine_chunks()
+            parts.append(pa.table([keys.flatten(), pa.array([r["role"] == 0] * len(x.n)), *(pa.array(c) for c in cols)],
                                   names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(parts)
     return run
@@ -305,17 +364,20 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Score
     batches = materialize(batches_of(docs, key, text), "lm-batches")
     tokens = batches.agg(F.sum("tokens")).first()[0] or 0
     parts = max(1, -(-tokens // PART))
-    answers = materialize(requests(batches, parts).groupBy("kind", "part").applyInArrow(_answer, _ANSWER), "lm-answers")
+    tasks = -(-parts // TASK_PARTS)
+    asked = requests(batches, parts).repartition(tasks, "kind", "part")
+    answers = materialize(asked.groupBy("kind", "part").applyInArrow(_answer, _ANSWER), "lm-answers")
     s = answers.filter(f"batch = -1 and kind = {WORDS}").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n_rest", "v_rest"))).first()
     size, rest = Size(s[0], s[1]), Size(s[2], s[3])
-    cells = batches.filter("role = 1").groupBy("batch") \
-        .cogroup(answers.filter("batch >= 0 and role = 1").select("batch", "kind", "part", "rest").groupBy("batch")) \
+    by_batch = lambda rows: rows.repartition(tasks, "batch").groupBy("batch")
+    cells = by_batch(batches.filter("role = 1")) \
+        .cogroup(by_batch(answers.filter("batch >= 0 and role = 1").select("batch", "kind", "part", "rest"))) \
         .applyInArrow(_cells(rest), "bucket long, pair long, word long, n long")
     # The cells are bounded by the logarithms' range, not by the corpus.
     mixture = weights([tuple(r) for r in cells.groupBy("bucket", "pair", "word").agg(F.sum("n")).collect()], rest)
     kind = docs.schema[key].dataType.simpleString()
-    mine = answers.filter("batch >= 0").select("batch", "kind", "part", "total").groupBy("batch")
-    scored = batches.groupBy("batch").cogroup(mine).applyInArrow(
+    mine = answers.filter("batch >= 0").select("batch", "kind", "part", "total")
+    scored = by_batch(batches).cogroup(by_batch(mine)).applyInArrow(
         _scored(size, mixture), f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"),
                         "base_score", "score")

@@ -1,9 +1,14 @@
 """Deleted interpolation against a brute-force version on word lists."""
 
 import math
+import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from revlens.llm import lm_score, queries
@@ -124,3 +129,46 @@ def test_edge_rows(docs_of):
     none = lm_score.lm_scores(docs_of([(None, "a b"), (None, None)])).documents.collect()
     assert [(r["train_tokens"], r["base_score"], r["score"]) for r in none] == [(0, 0.0, 0.0)] * 2
     assert lm_score.lm_scores(docs_of([])).documents.collect() == []
+
+
+def test_memory_of_a_worker_per_token():
+    """Opening, asking, answering, counting and scoring a batch of a million tokens hold some small arrays besides them."""
+    n, per, rng = 1_000_000, 500, np.random.default_rng(4)
+    ids = (rng.zipf(1.3, n) % 60_000).astype(np.uint32)
+    stored = {"counts": lm_score.packed(np.full(n // per, per, np.uint32)), "ids": lm_score.packed(ids),
+              "words": lm_score.packed(lm_score.mix(np.arange(60_000, dtype=np.uint64)))}
+    batch = pa.Table.from_pylist([stored | {"batch": 1, "role": 1, "keys": list(range(n // per))}])
+
+    def most(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / n
+        finally:
+            tracemalloc.stop()
+
+    x, bytes_opened = most(lambda: lm_score.opened(**stored))
+    asked = []
+    for kind, keys, place in ((lm_score.WORDS, x.words, x.word), (lm_score.PAIRS, x.pairs, x.pair)):
+        lists = {"keys": lm_score.packed(np.diff(keys, prepend=np.uint64(0))),
+                 "counts": lm_score.packed(np.bincount(place).astype(np.uint32))}
+        asked.append(pa.Table.from_pylist([lists | {"kind": kind, "part": 0, "batch": b, "role": b} for b in (1, 2)]))
+    answers, bytes_answered = most(lambda: [lm_score._answer(t) for t in asked])
+    mine = pa.concat_tables(answers)
+    mine = mine.filter(pa.compute.equal(mine["batch"], 1))
+    size = lm_score.Size(2 * (n + n // per), len(x.words))
+    cells, bytes_cells = most(lambda: lm_score._cells(size)(batch, mine))
+    mixture = lm_score.weights([tuple(r.values()) for r in cells.to_pylist()], size)
+    scores, bytes_scored = most(lambda: lm_score._scored(size, mixture)(batch, mine))
+    assert sum(cells["n"].to_pylist()) == n + n // per
+    assert scores["n_known"].to_pylist() == [per + 1] * (n // per)
+    assert max(bytes_opened, bytes_answered, bytes_cells, bytes_scored) < 80, (bytes_opened, bytes_answered, bytes_cells, bytes_scored)
+
+
+def test_tasks_grow_with_the_tokens(spark, docs_of, monkeypatch):
+    """Answers and scores are dealt to a task for every few parts, not to a fixed number."""
+    monkeypatch.setattr(lm_score, "PART", 50)
+    monkeypatch.setattr(lm_score, "TASK_PARTS", 4, raising=False)
+    rows = [(i, f"a b c w{i % 7} d w{i % 11}") for i in range(300)]  # 2,100 tokens: 42 parts
+    out = lm_score.lm_scores(docs_of(rows)).documents
+    dealt = re.findall(r"Exchange hashpartitioning\(batch#\d+L, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt == ["11", "11"]
