@@ -245,13 +245,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     found = materialize(units.mapInArrow(_compare(kind, threshold), "cls long, links long, root long"), "caps-links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    groups = materialize(classes.select("cls", "rep", "c").join(links, "cls", "left")
-                         .join(groups.withColumnRenamed("id", "cls"), "cls", "left")
+    # The right sides grow with the vectors: all are merge joins, at every size.  Spark sizes a table read
+    # back by its compressed files, and the salted one without its copies.
+    groups = materialize(classes.select("cls", "rep", "c").join(links.hint("merge"), "cls", "left")
+                         .join(groups.withColumnRenamed("id", "cls").hint("merge"), "cls", "left")
                          .select("cls", "rep", F.coalesce("component", "cls").alias("component"),
                                  (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links")), "caps-groups")
     least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    groups = salted_left_join(groups, least, ["component"], F.col("cls"))
-    out = salted_left_join(rows.select("id", "cls"), groups.select("cls", "n_links", "component_id"), ["cls"], F.col("id"))
+    groups = salted_left_join(groups, least.hint("merge"), ["component"], F.col("cls"))
+    out = salted_left_join(rows.select("id", "cls"), groups.select("cls", "n_links", "component_id").hint("merge"), ["cls"], F.col("id"))
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

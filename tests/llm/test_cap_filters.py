@@ -106,3 +106,15 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, id int, cls int, c string")
     assert result(cap_filters.near_duplicates(df)) == brute(rows)
     assert cap_filters.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_tables_that_grow_with_the_vectors_are_not_broadcast(spark, monkeypatch):
+    """Whatever size Spark takes them for: it reads compressed files, and a salted table has sixteen copies of each row."""
+    plans, write = {}, cap_filters.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(cap_filters, "materialize", lambda df, name: plans.update({name: plan(df)}) or write(df, name))
+    rows = [(i, [float(i % 9 + 1), float(i % 5), 1.0]) for i in range(60)]
+    out = cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert result(out) == brute(rows)
+    for p in (plans["caps-groups"], plan(out)):
+        assert p.count("SortMergeJoin") >= 2 and "Broadcast" not in p

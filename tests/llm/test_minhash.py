@@ -172,6 +172,18 @@ def test_components_are_the_same_with_salted_joins_and_with_broadcasts(spark, mo
     assert got == want
 
 
+def test_minima_of_many_edges_are_not_broadcast(spark, monkeypatch):
+    """Whatever size Spark takes them for: it reads compressed files, and a salted table has sixteen copies of each row."""
+    from revlens.llm import components
+    plans, write = [], components.materialize
+    monkeypatch.setattr(components, "SMALL_EDGES", 0)
+    monkeypatch.setattr(components, "materialize", lambda df, name, parts=None: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or write(df, name, parts))
+    connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+
+
 def test_small_component_steps_are_few_files(spark):
     """Not one file a shuffle partition, and no marker file: every file is made by processes of its own on a local disk."""
     from pathlib import Path
