@@ -22,8 +22,10 @@ that holds most of the text is spread over many ranges; a window is one row
 per group of documents however often it occurs.
 
 Scores follow from joins of the candidates with the frequent phrases: salted,
-since one word begins many candidates.  All arithmetic is in integers or
-decimals without fractions.
+since one word begins many candidates, and merge joins at every size, since
+Spark sizes the phrases by their compressed files and without what is
+exploded from them.  All arithmetic is in integers or decimals without
+fractions.
 
 Defined results: a null or empty text has no words; a null lang is ``und``
 (and shares its figures with rows that say so).  Keys are not read: repeated
@@ -210,8 +212,9 @@ def range_bounds(rows: DataFrame, order: int, range_windows: int) -> list[tuple[
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary())), pa.array([(e - a) / len(found)] * len(found))],
                                                      ["key", "weight"])
 
-    # bounded by the sample's size
-    got = sorted((tuple(bytes(x) for x in r["key"]), r["weight"]) for r in picked.mapInArrow(run, "key array<binary>, weight double").collect())
+    # copies of a text are picked together: equal windows are added up first, so that what is collected is bounded by the sample's size
+    found = picked.mapInArrow(run, "key array<binary>, weight double").groupBy("key").agg(F.sum("weight").alias("weight"))
+    got = sorted((tuple(bytes(x) for x in r["key"]), r["weight"]) for r in found.collect())
     total = sum(x for _, x in got) / share
     n = -(-int(total) // range_windows)
     bounds, held = [], 0.0
@@ -314,7 +317,8 @@ def collocations(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT
     cuts = found.select("lang", "phrase", "words", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")) \
         .select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
     for c, name in (("head", "l"), ("rest", "r")):
-        cuts = salted_left_join(cuts, phrases.select("lang", F.col("phrase").alias(c), F.col("f").alias(name)), ["lang", c], F.col("phrase"))
+        own = phrases.select("lang", F.col("phrase").alias(c), F.col("f").alias(name)).hint("merge")
+        cuts = salted_left_join(cuts, own, ["lang", c], F.col("phrase"))
     scored = cuts.withColumn("l", _whole("l")).withColumn("r", _whole("r")) \
         .withColumn("score", F.expr("cast(2000000 as decimal(10,0)) * cast(a as decimal(20,0)) div (l + r)"))
     worst = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("x")).select("lang", "phrase", "x.*")
@@ -323,7 +327,7 @@ def collocations(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT
         F.sequence(F.lit(1), F.col("words") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " "))))
     covers = found.filter("words > 2").select("lang", F.explode(runs).alias("phrase"), F.col("a").alias("_f")) \
         .groupBy("lang", "phrase").agg(F.max("_f").alias("_f"))
-    kept = worst.join(covers, ["lang", "phrase"], "left") \
+    kept = worst.join(covers.hint("merge"), ["lang", "phrase"], "left") \
         .filter(F.col("_f").isNull() | (_whole("_f") * 100 < _whole("a") * cover)).drop("_f")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)

@@ -107,3 +107,22 @@ def _bytes(texts):
 def test_words_of_very_long_text():
     words, doc, on = co.words_of(*_bytes(["a " * 300_000, "b"]))
     assert len(words) == 300_001 and on[:-2].all() and not on[-2:].any() and isinstance(words, pa.LargeStringArray)
+
+
+def test_phrases_are_not_broadcast(spark):
+    """Whatever size Spark takes them for: it reads compressed files, and an exploded table has many rows for one."""
+    docs = corpus(6, 100)
+    out = co.collocations(make(spark, docs), min_count=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and plan.count("BroadcastHashJoin") <= 1  # but a row a language
+    assert rows(out) == brute(docs, min_count=3)
+
+
+def test_copies_of_a_text_are_collected_once(spark, monkeypatch):
+    """They are sampled together, however many there are."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    text = "one two three four five six"
+    bounds = co.range_bounds(co._rows(make(spark, [("en", text)] * 300 + [("de", "one two")] * 50), "text", "lang"), 4, 100)
+    assert max(map(len, seen)) == 8 and bounds == sorted(set(bounds)) and len(bounds) > 3
